@@ -19,17 +19,19 @@ def _hint(df: DataFrame, rows: int | None) -> DataFrame:
 def term_cosine(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
     """Cosine distance per group of all pairs of *different* terms that share a document.
 
-    ``counts`` holds (doc_id, grp, term, tf). Pairs that share none are at distance 1 and are not stored; a term is at
-    distance 0 from itself. ``vocab_rows`` is the measured vocabulary size, if known: it decides whether the term
-    numbers travel by broadcast or by a shuffle join.
+    ``counts`` holds (doc_id, grp, term, tf) of the vocabulary's terms and is read twice: persist it. Pairs that share
+    no document are at distance 1 and are not stored; a term is at distance 0 from itself. ``vocab_rows`` is the
+    measured vocabulary size, if known: it decides whether term numbers travel by broadcast or by a shuffle join.
     """
     ids = number_terms(vocab.select("term"))
-    sums = pair_sums_all(counts.join(_hint(ids, vocab_rows), "term"), "tf")
-    squares = sums.where("a = b")
-    norm = lambda side, name: squares.select("grp", F.col("a").alias(side), F.sqrt("s").alias(name))
-    apart = sums.where("a < b").join(norm("a", "na"), ["grp", "a"]).join(norm("b", "nb"), ["grp", "b"]).select(
-        "grp", "a", "b", F.least(F.greatest(1 - F.col("s") / (F.col("na") * F.col("nb")), F.lit(0.0)),
-                                 F.lit(2.0)).alias("s"))
+    numbered = counts.join(_hint(ids, vocab_rows), "term")
+    norms = numbered.groupBy("grp", "term_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    cos = F.col("s") / (F.col("na") * F.col("nb"))
+    apart = (
+        pair_sums_all(numbered, "tf").where("a < b")
+        .join(norms.toDF("grp", "a", "na"), ["grp", "a"]).join(norms.toDF("grp", "b", "nb"), ["grp", "b"])
+        .select("grp", "a", "b", F.least(F.greatest(1 - cos, F.lit(0.0)), F.lit(2.0)).alias("s"))
+    )
     return (mirrored(apart).join(_hint(ids.toDF("term", "a"), vocab_rows), "a")
             .join(_hint(ids.toDF("other", "b"), vocab_rows), "b")
             .select("grp", "term", "other", F.col("s").alias("dist")))
@@ -39,35 +41,35 @@ def term_nearest(cosine: DataFrame, vocab: DataFrame, groups: DataFrame, n: int
                  per_group: bool = False) -> DataFrame:
     """The ``n`` nearest (group, word) entries per term, over all groups (or per group), self entries included.
 
-    Ties go by group, then word. Only stored pairs closer than 1 compete first; a term with fewer than ``n`` of them
-    is filled with entries at distance 1. Those come in (group, word) order, so the first ``2 n`` pairs of that order
-    hold enough that are not among the closer ones, and the full set of absent pairs is never built.
+    Ties go by group, then word. The closest ``n`` stored pairs are picked first, by a limit that runs before the
+    shuffle. A term with fewer of them is filled with entries at distance 1. Those come in (group, word) order, so the
+    first ``2 n`` pairs of that order hold enough that are not among the closer ones, and the full set of absent pairs
+    is never built.
     """
     part = ["term", "grp"] if per_group else ["term"]
-    order = Window.partitionBy(*part).orderBy("dist", "grp", "word")
-    place = F.row_number().over(order)
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("dist", "grp", "word"))
+    columns = ["term", "grp", "word", "dist"]
+
+    def nearest(entries: DataFrame) -> DataFrame:
+        return entries.withColumn("_place", place).where(F.col("_place") <= n).select(columns)
+
     names, words = groups.select("grp").distinct(), vocab.select("term").distinct()
     # Self entries are at distance 0 in every group; globally only the first n groups can take part.
     selves_in = names if per_group else names.orderBy("grp").limit(n)
     selves = words.select("term", F.explode(selves_in.agg(F.collect_set("grp")).scalar()).alias("grp"))
     selves = selves.select("term", "grp", F.col("term").alias("word"), F.lit(0.0).alias("dist"))
     stored = cosine.select("term", "grp", F.col("other").alias("word"), tie_safe(F.col("dist")).alias("dist"))
-    near = stored.where("dist < 1").unionByName(selves).withColumn("_place", place).where(F.col("_place") <= n)
 
-    first_words = F.sort_array(words.orderBy("term").limit(2 * n).agg(F.collect_list("term")).scalar())
+    first_words = words.orderBy("term").limit(2 * n).agg(F.collect_list("term")).scalar()
     if per_group:
         slots = selves.select("term", "grp", F.explode(first_words).alias("word"))
     else:
         lead = names.orderBy("grp").limit(2 * n).select("grp", F.explode(first_words).alias("word"))
-        lead = lead.orderBy("grp", "word").limit(2 * n)
-        slots = words.select("term", F.explode(lead.agg(F.collect_list(F.struct("grp", "word"))).scalar()).alias("_e"))
-        slots = slots.select("term", "_e.grp", "_e.word")
-    short = near.groupBy(*part).agg(F.count("*").alias("_have")).where(F.col("_have") < n)
-    free = slots.join(short, part).join(near.select("term", "grp", "word"), ["term", "grp", "word"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("grp", "word"))
-    fill = free.withColumn("_r", rank).where(F.col("_r") <= n - F.col("_have"))
-    columns = ["term", "grp", "word", "dist"]
-    return near.select(columns).unionByName(fill.withColumn("dist", F.lit(1.0)).select(columns))
+        lead = lead.orderBy("grp", "word").limit(2 * n).agg(F.collect_list(F.struct("grp", "word"))).scalar()
+        slots = words.select("term", F.inline(lead))
+    near = nearest(stored.where("dist < 1").unionByName(selves))
+    filled = near.unionByName(slots.withColumn("dist", F.lit(1.0)))
+    return nearest(filled.groupBy("term", "grp", "word").agg(F.min("dist").alias("dist")))
 
 
 def group_distance(near: DataFrame, fill: float = 0.0) -> DataFrame:

@@ -74,7 +74,7 @@ def svd_topics(vectors: DataFrame, terms: list[str], k: int = MAX_TOPICS, key: s
         "topic_id int, term string, weight double")
     projected = matrix.multiply(DenseMatrix(len(terms), len(sigma), loadings.ravel(order="F")))
     rows = projected.rows.map(lambda r: (r.index, r.vector.toArray().tolist()))
-    wide = spark.createDataFrame(rows, f"{key} long, _scores array<double>")
+    wide = spark.createDataFrame(rows, f"{key} long, _scores array<double>", verifySchema=False)
     scores = wide.join(vectors.select(F.col(key).cast("long").alias(key), "grp"), key).select(
         key, "grp", F.posexplode("_scores").alias("topic_id", "score"))
     return TopicModel(topics, components, scores)

@@ -30,28 +30,37 @@ def vocab_shared(per_group: DataFrame, min_groups: int = 2) -> DataFrame:
 
 
 def vocab_common(stats: DataFrame, docs: DataFrame, min_df: int | float = 2, max_df: int | float = 0.3) -> DataFrame:
-    """Terms inside the frequency limits of every group; groups without such terms make it empty."""
+    """``(term, df, cf)`` of the terms inside the frequency limits of every group.
+
+    A term has to pass in all groups, so its sums over the groups are its corpus totals. Groups too small to have any
+    such term make the vocabulary empty.
+    """
     sizes = docs.groupBy("grp").agg(F.count("*").alias("n"))
     n_groups = sizes.agg(F.count("*").alias("n_groups")).scalar()
     within = stats.join(sizes, "grp").where(_between(min_df, max_df, F.col("n")))
-    return within.groupBy("term").agg(F.count("*").alias("_g")).where(F.col("_g") == n_groups).select("term")
+    sums = within.groupBy("term").agg(F.count("*").alias("_g"), F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return sums.where(F.col("_g") == n_groups).select("term", "df", "cf")
+
+
+def prune(terms: DataFrame, n_docs: Column, min_df: int | float, max_df: int | float, cap: int | None) -> DataFrame:
+    """Terms inside corpus-wide limits, capped to the highest total counts.
+
+    Whole numbers are absolute limits, fractions are relative to ``n_docs``. Equal counts are cut in term order.
+    """
+    kept = terms.where(_between(min_df, max_df, n_docs)).select("term", "df", "cf")
+    return kept if cap is None else kept.orderBy(F.desc("cf"), "term").limit(cap)
 
 
 def vocab_pruned(stats: DataFrame, n_docs: Column, min_df: int | float = 10, max_df: int | float = 0.5,
                  cap: int | None = 1000, group_min_df: int | None = None, min_groups: int = 2) -> DataFrame:
-    """``(term, df, cf)`` inside the corpus-wide limits, capped to the highest total counts.
+    """``prune`` over the corpus totals of all terms.
 
-    Whole numbers are absolute limits, fractions are relative to ``n_docs``. With ``group_min_df`` the shared
-    vocabulary's rule (that document frequency in ``min_groups`` groups) is applied in the same pass.
+    With ``group_min_df`` the shared vocabulary's rule (that document frequency in ``min_groups`` groups) is applied in
+    the same pass.
     """
-    sums = [F.sum("df").alias("df"), F.sum("cf").alias("cf")]
-    if group_min_df is not None:
-        sums.append(F.count_if(F.col("df") >= group_min_df).alias("_g"))
-    terms = stats.groupBy("term").agg(*sums)
-    if group_min_df is not None:
-        terms = terms.where(F.col("_g") >= min_groups)
-    terms = terms.where(_between(min_df, max_df, n_docs)).select("term", "df", "cf")
-    return terms if cap is None else terms.orderBy(F.desc("cf"), "term").limit(cap)
+    shared = F.count_if(F.col("df") >= (group_min_df or 0)) >= min_groups if group_min_df else F.lit(True)
+    totals = stats.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), shared.alias("_shared"))
+    return prune(totals.where("_shared"), n_docs, min_df, max_df, cap)
 
 
 def most_frequent(vocab: DataFrame, n: int) -> DataFrame:

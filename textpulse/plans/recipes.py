@@ -120,11 +120,14 @@ class Ngrams:
 
     @cached_property
     def cosine(self) -> DataFrame:
-        return distance.term_cosine(self.counts, self.vocab, vocab_rows=self.vocab.count())
+        size = self.vocab.count()
+        kept = terms.only_terms(self.counts, self.vocab, bounded=size <= distance.BROADCAST_TERMS)
+        return distance.term_cosine(kept.persist(), self.vocab, vocab_rows=size)
 
     @cached_property
     def near(self) -> DataFrame:
-        return distance.term_nearest(self.cosine, self.vocab, self.keys)
+        """At most 60 rows per term; kept, because group distances and edges read it several times."""
+        return distance.term_nearest(self.cosine, self.vocab, self.keys).persist()
 
     @cached_property
     def top(self) -> DataFrame:
@@ -373,12 +376,12 @@ def _common(spark, folder):
     docs, keys = corpora.documents(spark, folder), corpora.document_keys(spark, folder)
     tokenized = terms.tokenize(docs.drop("day"), text.ascii_tokens, WITH_EXTRA)
     stats = vocab.group_term_stats(terms.term_counts(tokenized))
-    return tokenized, keys, stats, vocab.vocab_common(stats, keys)
+    return tokenized, keys, vocab.vocab_common(stats, keys)
 
 
 @query
 def vocab_common(spark, folder):
-    return _common(spark, folder)[3]
+    return _common(spark, folder)[2].select("term")
 
 
 @query
@@ -516,10 +519,9 @@ def pivot_term_vector(spark, folder):
 
 
 def _vectors(spark, folder):
-    tokenized, keys, stats, common = _common(spark, folder)
+    tokenized, keys, common = _common(spark, folder)
     n = vocab.corpus_size(keys)
-    chosen = vocab.vocab_pruned(stats.join(common, "term", "left_semi"), n, 0.005, 1.0, cap=None)
-    return topics.tfidf_vectors(tokenized, chosen, n)
+    return topics.tfidf_vectors(tokenized, vocab.prune(common, n, 0.005, 1.0, cap=None), n)
 
 
 def _model(spark, folder):
