@@ -3,7 +3,7 @@
 # The English list that Spark's own StopWordsRemover loads.
 ENGLISH = tuple("""
 a about above after again against all am an and any are aren't as at be because been before being below between both
-but by can can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further
+but by can can't cannot could couldn't did didn't do does doesn't doing don don't down during each few for from further
 had hadn't has hasn't have haven't having he he'd he'll he's her here here's hers herself him himself his how how's
 i i'd i'll i'm i've if in into is isn't it it's its itself just let's me more most mustn't my myself no nor not now of
 off on once only or other ought our ours ourselves out over own s same shan't she she'd she'll she's should shouldn't

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.numeric import null_as_zero, tie_safe
 from textpulse.operators.pairs import mirrored, number_terms, pair_sums_all, pair_sums_for
+from textpulse.operators.sizes import small
 
 # A variance this small relative to the raw second moment is rounding noise of a constant column.
 CONSTANT = 1e-12
@@ -22,12 +23,13 @@ def _moments(weights: DataFrame, docs: DataFrame) -> DataFrame:
         F.col("ss") > CONSTANT * F.col("n") * F.col("sxx")).drop("sxx")
 
 
-def term_corr(weights: DataFrame, docs: DataFrame, vocab: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+def term_corr(weights: DataFrame, docs: DataFrame, vocab: DataFrame, chosen: DataFrame | None = None,
+              vocab_rows: int | None = None) -> DataFrame:
     """Pearson correlation over the documents of each group: ``(grp, term, other, corr)``, self included.
 
     A group in which ``term`` is constant has no rows; ``other`` appears if the pair is defined in some group, and
     reads 0 in the groups where it is not. ``chosen`` restricts ``term`` (a point read) and then only documents that
-    contain a chosen term are paired.
+    contain a chosen term are paired. ``weights`` are read more than once: persist or store them.
     """
     varying = _moments(weights, docs)
     wanted = varying if chosen is None else varying.join(chosen.select("term"), "term", "left_semi")
@@ -39,10 +41,9 @@ def term_corr(weights: DataFrame, docs: DataFrame, vocab: DataFrame, chosen: Dat
 
     if chosen is None:
         ids = number_terms(vocab.select("term"))
-        # One hop by broadcast, there and back: the capped vocabulary is at most a thousand short rows.
-        numbered = weights.join(F.broadcast(ids), "term")
-        a, b = ids.toDF("term", "a"), ids.toDF("other", "b")
-        sums = mirrored(pair_sums_all(numbered, "w")).join(F.broadcast(a), "a").join(F.broadcast(b), "b")
+        numbered = weights.join(small(ids, vocab_rows), "term")
+        a, b = small(ids.toDF("term", "a"), vocab_rows), small(ids.toDF("other", "b"), vocab_rows)
+        sums = mirrored(pair_sums_all(numbered, "w")).join(a, "a").join(b, "b")
         sums = sums.select("grp", "term", "other", "s")
     else:
         sums = pair_sums_for(weights, chosen, "w").toDF("grp", "term", "other", "s")

@@ -7,13 +7,9 @@ from pyspark.sql import functions as F
 
 from textpulse.functions.numeric import tie_safe
 from textpulse.operators.pairs import mirrored, number_terms, pair_sums_all
+from textpulse.operators.sizes import small
 
 NEAREST = 60
-BROADCAST_TERMS = 200_000
-
-
-def _hint(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_TERMS else df
 
 
 def term_cosine(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
@@ -24,7 +20,7 @@ def term_cosine(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = No
     measured vocabulary size, if known: it decides whether term numbers travel by broadcast or by a shuffle join.
     """
     ids = number_terms(vocab.select("term"))
-    numbered = counts.join(_hint(ids, vocab_rows), "term")
+    numbered = counts.join(small(ids, vocab_rows), "term")
     norms = numbered.groupBy("grp", "term_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     cos = F.col("s") / (F.col("na") * F.col("nb"))
     apart = (
@@ -32,8 +28,8 @@ def term_cosine(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = No
         .join(norms.toDF("grp", "a", "na"), ["grp", "a"]).join(norms.toDF("grp", "b", "nb"), ["grp", "b"])
         .select("grp", "a", "b", F.least(F.greatest(1 - cos, F.lit(0.0)), F.lit(2.0)).alias("s"))
     )
-    return (mirrored(apart).join(_hint(ids.toDF("term", "a"), vocab_rows), "a")
-            .join(_hint(ids.toDF("other", "b"), vocab_rows), "b")
+    return (mirrored(apart).join(small(ids.toDF("term", "a"), vocab_rows), "a")
+            .join(small(ids.toDF("other", "b"), vocab_rows), "b")
             .select("grp", "term", "other", F.col("s").alias("dist")))
 
 

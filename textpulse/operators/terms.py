@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.functions.text import drop_words, unigrams_bigrams, word_tokens
+from textpulse.operators.sizes import small
 
 Tokenizer = Callable[[Column], Column]
 
@@ -55,10 +56,9 @@ def without_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.join(terms.select("term"), "term", "left_anti")
 
 
-def only_terms(rows: DataFrame, vocab: DataFrame, bounded: bool = False) -> DataFrame:
-    """Rows whose term is in the vocabulary; ``bounded`` says that a cap limits the vocabulary's rows."""
-    vocab = vocab.select("term")
-    return rows.join(F.broadcast(vocab) if bounded else vocab, "term", "left_semi")
+def only_terms(rows: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
+    """Rows whose term is in the vocabulary; ``vocab_rows`` is the vocabulary's cap or count, if known."""
+    return rows.join(small(vocab.select("term"), vocab_rows), "term", "left_semi")
 
 
 def boilerplate_terms(texts: DataFrame, tokenizer: Tokenizer = word_tokens) -> DataFrame:
@@ -67,9 +67,9 @@ def boilerplate_terms(texts: DataFrame, tokenizer: Tokenizer = word_tokens) -> D
 
 
 def filtered_text(docs: DataFrame, tokenized: DataFrame, vocab: DataFrame, key: str = "doc_id",
-                  bounded: bool = False) -> DataFrame:
+                  vocab_rows: int | None = None) -> DataFrame:
     """Each document's surviving tokens in order, joined by blanks; a document that lost all keeps ``""``."""
-    rows = only_terms(token_rows(tokenized.select(key, "tokens")), vocab, bounded)
+    rows = only_terms(token_rows(tokenized.select(key, "tokens")), vocab, vocab_rows)
     kept = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("_kept"))
     joined = kept.select(key, F.array_join(F.col("_kept.term"), " ").alias("filtered_text"))
     return docs.select(key).join(joined, key, "left").select(

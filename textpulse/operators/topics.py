@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import DenseMatrix
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ TERMS_PER_TOPIC = 5
 TOPICS_PER_DOC = 10
 # The model (vocabulary and V x k loadings) is held by the driver, as in every Spark ML estimator.
 MAX_MODEL_TERMS = 20_000
+GRAM_TERMS = 4_096  # 128 MB as doubles
+RANK_TOLERANCE = 1e-12  # on squared singular values
 
 
 @dataclass
@@ -54,30 +57,53 @@ def tfidf_vectors(tokenized: DataFrame, vocab: DataFrame, n_docs: Column, key: s
     return stages.transform(tokenized).select(key, "grp", "features"), terms
 
 
+def _right_singular(matrix: RowMatrix, n_terms: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(sigma, V)`` of the ``k`` largest singular values.
+
+    Up to ``GRAM_TERMS`` terms, one pass over the documents sums the terms' Gram matrix, whose eigenvectors are V.
+    Above, the matrix would be too large to hold and the Lanczos solver passes over the documents repeatedly.
+    """
+    if n_terms <= GRAM_TERMS:
+        values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        keep = np.arange(n_terms)[::-1][:k]
+        keep = keep[values[keep] > RANK_TOLERANCE * values[-1]]
+        return np.sqrt(values[keep]), vectors[:, keep]
+    svd = matrix.computeSVD(k, computeU=False)
+    return svd.s.toArray(), svd.V.toArray()
+
+
 def svd_topics(vectors: DataFrame, terms: list[str], k: int = MAX_TOPICS, key: str = "doc_id") -> TopicModel:
     """The ``k`` strongest topics (at most one per term), each signed so that its largest loading is positive.
 
-    ``vectors`` are read more than once by the solver, so persist them first.
+    ``vectors`` are read by the solver and again for the scores, so persist them first.
     """
     spark = vectors.sparkSession
-    plain = MLUtils.convertVectorColumnsFromML(
-        vectors.select(F.col(key).cast("long").alias("index"), F.col("features").alias("vector")), "vector")
-    matrix = IndexedRowMatrix(plain, numCols=len(terms))
-    svd = matrix.computeSVD(min(k, len(terms)), computeU=False)
-    loadings = svd.V.toArray()
-    loadings = loadings * np.where(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
-    sigma = svd.s.toArray()
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"), numCols=len(terms))
+    sigma, loadings = _right_singular(matrix, len(terms), min(k, len(terms)))
+    largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
+    loadings = loadings * np.where(largest < 0, -1.0, 1.0)
 
     topics = spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "topic_id int, sigma double")
     components = spark.createDataFrame(
         [(i, t, float(w)) for i in range(len(sigma)) for t, w in zip(terms, loadings[:, i])],
         "topic_id int, term string, weight double")
-    projected = matrix.multiply(DenseMatrix(len(terms), len(sigma), loadings.ravel(order="F")))
-    rows = projected.rows.map(lambda r: (r.index, r.vector.toArray().tolist()))
-    wide = spark.createDataFrame(rows, f"{key} long, _scores array<double>", verifySchema=False)
-    scores = wide.join(vectors.select(F.col(key).cast("long").alias(key), "grp"), key).select(
-        key, "grp", F.posexplode("_scores").alias("topic_id", "score"))
-    return TopicModel(topics, components, scores)
+    return TopicModel(topics, components, document_scores(vectors, loadings, key))
+
+
+def document_scores(vectors: DataFrame, loadings: np.ndarray, key: str = "doc_id") -> DataFrame:
+    """Each document's vector times V, one row per topic: a map over Arrow batches, without a shuffle."""
+    shared = vectors.sparkSession.sparkContext.broadcast(loadings)
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # A vector column arrives as its parts; sparse ones name the positions of their values.
+            scores = [v["values"] @ (shared.value if v["indices"] is None else shared.value[v["indices"]])
+                      for v in pdf["features"]]
+            yield pd.DataFrame({key: pdf[key], "grp": pdf["grp"], "_scores": scores})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    wide = vectors.select(key, "grp", "features").mapInPandas(project, f"{key} {kind}, grp string, _scores array<double>")
+    return wide.select(key, "grp", F.posexplode("_scores").alias("topic_id", "score"))
 
 
 def topic_terms(components: DataFrame, n: int = TERMS_PER_TOPIC) -> DataFrame:

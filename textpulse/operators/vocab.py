@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MAX_TERMS = 1000
+
 
 def corpus_size(docs: DataFrame) -> Column:
     """Number of documents as a scalar sub-query; it counts documents that have no token left."""
@@ -52,7 +54,7 @@ def prune(terms: DataFrame, n_docs: Column, min_df: int | float, max_df: int | f
 
 
 def vocab_pruned(stats: DataFrame, n_docs: Column, min_df: int | float = 10, max_df: int | float = 0.5,
-                 cap: int | None = 1000, group_min_df: int | None = None, min_groups: int = 2) -> DataFrame:
+                 cap: int | None = MAX_TERMS, group_min_df: int | None = None, min_groups: int = 2) -> DataFrame:
     """``prune`` over the corpus totals of all terms.
 
     With ``group_min_df`` the shared vocabulary's rule (that document frequency in ``min_groups`` groups) is applied in

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from textpulse.functions.stopwords import WITH_EXTRA
+from textpulse.functions.stopwords import ENGLISH, WITH_EXTRA
 from textpulse.plans.recipes import GROUPS, NGRAM_MIN_DF, WORDS
 from textpulse.sources.articles import FAILED_MARKER, FAILED_PATTERN
 from textpulse.sources.items import URL_PREFIX
@@ -18,7 +18,7 @@ def _list(values) -> str:
 
 
 W3, W2, A2 = r"'[\p{L}\p{N}_]{3,}'", r"'[\p{L}\p{N}_]{2,}'", "'[a-z]{2,}'"
-STOP = _list(WITH_EXTRA)
+STOP, STOP_EN = _list(WITH_EXTRA), _list(ENGLISH)
 N = "(SELECT count(*) FROM documents)"
 TITLE = "split_part(text, chr(10), 1)"
 
@@ -78,7 +78,7 @@ VIEWS = {
         LEFT JOIN pair p ON p.grp = x.grp AND p.term = x.term AND p.other = o.other""",
     # n-grams
     "uni": f"""SELECT doc_id, grp, pos, term FROM (SELECT doc_id, grp, generate_subscripts(l, 1) AS pos, unnest(l) AS term
-        FROM (SELECT doc_id, grp, regexp_extract_all(lower(text), {A2}) AS l FROM d)) WHERE term NOT IN ({STOP})""",
+        FROM (SELECT doc_id, grp, regexp_extract_all(lower(text), {A2}) AS l FROM d)) WHERE term NOT IN ({STOP_EN})""",
     "ng": """SELECT doc_id, grp, term, count(*) AS tf FROM (SELECT doc_id, grp, term FROM uni UNION ALL
         SELECT doc_id, grp, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) FROM uni)
         WHERE term IS NOT NULL GROUP BY ALL""",
@@ -182,7 +182,7 @@ BODIES = {
     "term_counts": _counts(A2, name="tf"),
     "vocab_per_group": "SELECT grp, term, df FROM st WHERE df >= 5",
     "vocab_shared": "SELECT term, count(*) AS n_groups FROM st WHERE df >= 5 GROUP BY term HAVING count(*) >= 2",
-    "vocab_common": f"""SELECT term FROM (SELECT grp, term, count(*) AS df FROM ascii WHERE term NOT IN ({STOP}) GROUP BY ALL)
+    "vocab_common": f"""SELECT term FROM (SELECT grp, term, count(*) AS df FROM ascii WHERE term NOT IN ({STOP_EN}) GROUP BY ALL)
         JOIN size USING (grp) WHERE df >= 2 AND df <= CAST(0.3 AS DOUBLE) * n GROUP BY term
         HAVING count(*) = (SELECT count(DISTINCT source) FROM documents)""",
     "vocab_pruned": "SELECT term, df, cf FROM v",

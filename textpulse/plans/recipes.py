@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.functions import dates, text
-from textpulse.functions.stopwords import WITH_EXTRA
+from textpulse.functions.stopwords import ENGLISH, WITH_EXTRA
 from textpulse.operators import assoc, clean, compare, distance, ranks, reshape, terms, topics, trends, vocab, weights
 from textpulse.plans import corpora
 from textpulse.session import shared_dir, spread
@@ -88,7 +88,7 @@ class Main:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return weights.tfidf(self.tf, self.vocab, self.n)
+        return weights.tfidf(self.tf, self.vocab, self.n, vocab_rows=vocab.MAX_TERMS)
 
     def top(self, n: int) -> DataFrame:
         return vocab.most_frequent(self.vocab, n)
@@ -110,7 +110,7 @@ class Ngrams:
 
     @cached_property
     def counts(self) -> DataFrame:
-        tokenized = terms.tokenize(self.docs, text.ascii_tokens, WITH_EXTRA, bigrams=True)
+        tokenized = terms.tokenize(self.docs, text.ascii_tokens, ENGLISH, bigrams=True)
         return terms.term_counts(tokenized.drop("day"))
 
     @cached_property
@@ -121,7 +121,7 @@ class Ngrams:
     @cached_property
     def cosine(self) -> DataFrame:
         size = self.vocab.count()
-        kept = terms.only_terms(self.counts, self.vocab, bounded=size <= distance.BROADCAST_TERMS)
+        kept = terms.only_terms(self.counts, self.vocab, vocab_rows=size)
         return distance.term_cosine(kept.persist(), self.vocab, vocab_rows=size)
 
     @cached_property
@@ -342,7 +342,7 @@ def boilerplate_filter(spark, folder):
 @query
 def vocab_filter(spark, folder):
     counts = _counted(spark, folder, text.word_tokens)
-    return terms.only_terms(counts, Main(spark, folder).vocab, bounded=True).select("doc_id", "term", "n")
+    return terms.only_terms(counts, Main(spark, folder).vocab, vocab.MAX_TERMS).select("doc_id", "term", "n")
 
 
 @query
@@ -354,7 +354,7 @@ def filtered_text(spark, folder):
 
 @query
 def ngrams_1_2(spark, folder):
-    return _counted(spark, folder, text.ascii_tokens, WITH_EXTRA, bigrams=True)
+    return _counted(spark, folder, text.ascii_tokens, ENGLISH, bigrams=True)
 
 
 @query
@@ -374,7 +374,7 @@ def vocab_shared(spark, folder):
 
 def _common(spark, folder):
     docs, keys = corpora.documents(spark, folder), corpora.document_keys(spark, folder)
-    tokenized = terms.tokenize(docs.drop("day"), text.ascii_tokens, WITH_EXTRA)
+    tokenized = terms.tokenize(docs.drop("day"), text.ascii_tokens, ENGLISH)
     stats = vocab.group_term_stats(terms.term_counts(tokenized))
     return tokenized, keys, vocab.vocab_common(stats, keys)
 
@@ -470,7 +470,8 @@ def melt(spark, folder):
 @query
 def term_corr(spark, folder):
     main = Main(spark, folder)
-    return assoc.term_corr(main.weights.persist(), main.keys, main.vocab).select("grp", "term", "other", r6("corr"))
+    corr = assoc.term_corr(main.weights.persist(), main.keys, main.vocab, vocab_rows=vocab.MAX_TERMS)
+    return corr.select("grp", "term", "other", r6("corr"))
 
 
 @query
