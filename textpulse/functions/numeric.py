@@ -28,7 +28,10 @@ def tie_safe(x: Column) -> Column:
 
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
-_erf = np.vectorize(math.erf, otypes=[float])
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.array([math.erf(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def _span(lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpulse.functions.numeric import null_as_zero, tie_safe
+from textpulse.functions.numeric import tie_safe
 from textpulse.operators.pairs import mirrored, number_terms, pair_sums_all, pair_sums_for
 from textpulse.operators.sizes import small
 
@@ -13,13 +13,13 @@ from textpulse.operators.sizes import small
 CONSTANT = 1e-12
 
 
-def _moments(weights: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per group, the terms whose weight varies over *all* documents of the group: n, mean sum and spread."""
+def _moments(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Per group, the terms whose weight varies over *all* documents of the group: ``(grp, term_id, term, n, sx, ss)``."""
     x = F.col("w")
-    sums = weights.groupBy("grp", "term").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
+    sums = rows.groupBy("grp", "term_id", "term").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
     sizes = docs.groupBy("grp").agg(F.count("*").alias("n"))
     spread = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    return sums.join(sizes, "grp").select("grp", "term", "n", "sx", spread.alias("ss"), "sxx").where(
+    return sums.join(sizes, "grp").select("grp", "term_id", "term", "n", "sx", spread.alias("ss"), "sxx").where(
         F.col("ss") > CONSTANT * F.col("n") * F.col("sxx")).drop("sxx")
 
 
@@ -30,32 +30,63 @@ def term_corr(weights: DataFrame, docs: DataFrame, vocab: DataFrame, chosen: Dat
     A group in which ``term`` is constant has no rows; ``other`` appears if the pair is defined in some group, and
     reads 0 in the groups where it is not. ``chosen`` restricts ``term`` (a point read) and then only documents that
     contain a chosen term are paired. ``weights`` are read more than once: persist or store them.
-    """
-    varying = _moments(weights, docs)
-    wanted = varying if chosen is None else varying.join(chosen.select("term"), "term", "left_semi")
-    other = varying.select("grp", F.col("term").alias("other"), F.col("sx").alias("sy"), F.col("ss").alias("tt"))
-
-    # Bounded by the vocabulary cap squared per group, which is also the size of the answer.
-    defined = wanted.join(other, "grp").select("term", "other").distinct()
-    cells = wanted.join(defined, "term").join(other, ["grp", "other"], "left")
 
+    Pairs that never share a document have a correlation too, so the answer is dense: groups x terms x terms. It is
+    unfolded only at the very end, inside the row of its (group, term), from two arrays no longer than the vocabulary:
+    the sums of products of that term, and the moments of all terms of the group.
+    """
+    ids = number_terms(vocab.select("term"))
+    rows = weights.join(small(ids, vocab_rows), "term").select("doc_id", "grp", "term_id", "term", "w")
+    varying = _moments(rows, docs)
     if chosen is None:
-        ids = number_terms(vocab.select("term"))
-        numbered = weights.join(small(ids, vocab_rows), "term")
-        a, b = small(ids.toDF("term", "a"), vocab_rows), small(ids.toDF("other", "b"), vocab_rows)
-        sums = mirrored(pair_sums_all(numbered, "w")).join(a, "a").join(b, "b")
-        sums = sums.select("grp", "term", "other", "s")
+        wanted, sums = varying, mirrored(pair_sums_all(rows, "w"))
     else:
-        sums = pair_sums_for(weights, chosen, "w").toDF("grp", "term", "other", "s")
+        picked = ids.join(chosen.select("term"), "term", "left_semi").select("term_id")
+        wanted = varying.join(small(picked, vocab_rows), "term_id", "left_semi")
+        sums = pair_sums_for(rows, picked, "w")
+
+    none = lambda kind: F.lit(None).cast(kind)
+    entry = lambda *cols: F.collect_list(
+        F.struct(*[c.alias(n) for c, n in zip(cols, ("b", "own", "s", "sy", "tt", "other"))]))
+    products = sums.groupBy("grp", F.col("a").alias("term_id")).agg(entry(
+        F.col("b").cast("int"), F.lit(0), F.col("s"), none("double"), none("double"), none("string")).alias("_products"))
+    peers = varying.groupBy("grp").agg(entry(
+        F.col("term_id").cast("int"), F.lit(1), none("double"), F.col("sx"), F.col("ss"), F.col("term")).alias("_peers"))
+
+    merged = wanted.join(products, ["grp", "term_id"]).join(peers, "grp").select(
+        "grp", "term", "n", "sx", "ss", F.sort_array(F.concat("_products", "_peers")).alias("_m"))
 
-    r = (F.col("n") * null_as_zero(F.col("s")) - F.col("sx") * F.col("sy")) / F.sqrt(F.col("ss") * F.col("tt"))
-    return cells.join(sums, ["grp", "term", "other"], "left").select(
-        "grp", "term", "other", null_as_zero(_unit(r)).alias("corr"))
+    def correlate(x: Column, i: Column) -> Column:
+        """A peer's correlation; its sum of products, if there is one, is the entry just before it."""
+        before = F.get(F.col("_m"), i - 1)
+        s = F.when(before["b"] == x["b"], before["s"]).otherwise(0.0)
+        r = (F.col("n") * F.coalesce(s, F.lit(0.0)) - F.col("sx") * x["sy"]) / F.sqrt(F.col("ss") * x["tt"])
+        return F.when(x["own"] == 1, F.struct(x["other"].alias("other"), _unit(r).alias("corr")))
+
+    known = merged.select("grp", "term", F.inline_outer(F.transform("_m", correlate))).where(F.col("other").isNotNull())
+    return known.unionByName(_undefined(wanted, varying, docs, ids))
+
+
+def _undefined(wanted: DataFrame, varying: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Zero rows where ``other`` is constant in the group but the pair is defined in another group.
+
+    The candidates are few when most terms vary in most groups, so they are made from the constant terms outwards.
+    """
+    one = wanted.select("grp", "term")
+    two = varying.select("grp", F.col("term").alias("other"))
+    terms = ids.agg(F.collect_list("term")).scalar()
+    constant = docs.select("grp").distinct().select("grp", F.explode(terms).alias("other")).join(
+        two, ["grp", "other"], "left_anti")
+    missing = one.join(constant, "grp").select("grp", "term", "other")
+    elsewhere = (missing.select("term", "other").distinct().join(one.toDF("g", "term"), "term")
+                 .join(two.toDF("g", "other"), ["g", "other"], "left_semi").select("term", "other").distinct())
+    return missing.join(elsewhere, ["term", "other"], "left_semi").select(
+        "grp", "term", "other", F.lit(0.0).alias("corr"))
 
 
 def _unit(r: Column) -> Column:
-    """Rounding may leave a correlation a hair outside [-1, 1]; null stays null."""
-    return F.when(r > 1, F.lit(1.0)).when(r < -1, F.lit(-1.0)).otherwise(r)
+    """Rounding may leave a correlation a hair outside [-1, 1]."""
+    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
 
 
 def word_correlations(corr: DataFrame, top: int = 10) -> DataFrame:

@@ -29,24 +29,30 @@ def number_terms(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
 
 
+def _total(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("grp", "a", "b").agg(F.sum("s").alias("s"))
+
+
 def pair_sums_for(rows: DataFrame, chosen: DataFrame, value: str, key: str = "doc_id") -> DataFrame:
-    """Pairs (a, b), a of ``chosen``, b any term of the same document, a = b included."""
-    left = rows.join(chosen.select("term"), "term", "left_semi").select(
-        key, "grp", F.col("term").alias("a"), F.col(value).alias("_x"))
-    right = rows.select(key, F.col("term").alias("b"), F.col(value).alias("_y"))
-    return left.join(right, key).groupBy("grp", "a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("s"))
+    """Pairs (a, b) of term ids, a of ``chosen.term_id``, b any term of the same document, a = b included."""
+    left = rows.join(chosen, "term_id", "left_semi").select(key, "grp", F.col("term_id").alias("a"), F.col(value).alias("_x"))
+    right = rows.select(key, F.col("term_id").alias("b"), F.col(value).alias("_y"))
+    return _total(left.join(right, key).select("grp", "a", "b", (F.col("_x") * F.col("_y")).alias("s")))
 
 
 def pair_sums_all(rows: DataFrame, value: str, key: str = "doc_id") -> DataFrame:
-    """Every co-occurring pair with ``a <= b`` (term ids of ``rows.term_id``)."""
-    cells = (
+    """Every co-occurring pair of term ids with ``a <= b``.
+
+    The number of range partitions is given, because folding costs far more than the size of its input suggests and
+    adaptive execution would merge small partitions into too few tasks.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _total(
         rows.where(F.col("grp").isNotNull())
         .select("grp", F.col(key).alias("doc"), F.col("term_id").cast("int").alias("t"),
                 F.col(value).cast("double").alias("x"))
-        .repartitionByRange("grp", "doc").sortWithinPartitions("grp", "doc")
-        .mapInPandas(_fold, "grp string, a int, b int, s double")
-    )
-    return cells.groupBy("grp", "a", "b").agg(F.sum("s").alias("s"))
+        .repartitionByRange(tasks, "grp", "doc").sortWithinPartitions("grp", "doc")
+        .mapInPandas(_fold, "grp string, a int, b int, s double"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
