@@ -104,3 +104,11 @@ def test_densities_integrate_to_one(spark):
         h = .9 * vs.std(ddof=1) * len(vs) ** -.2
         want = np.exp(-((part.x.to_numpy()[:, None] - vs) / h) ** 2 / 2).sum(axis=1) / (len(vs) * h * np.sqrt(2 * np.pi))
         assert np.allclose(part.density, want)
+
+
+def test_empty_vocabulary_gives_no_topics(spark):
+    tokenized = terms.tokenize(spark.createDataFrame([(1, "a", "one")], "doc_id long, grp string, text string"))
+    none = spark.createDataFrame([], "term string, df long")
+    vectors, words = topics.tfidf_vectors(tokenized, none, vocab.corpus_size(tokenized))
+    found = topics.svd_topics(vectors, words)
+    assert words == [] and found.topics.count() == found.components.count() == found.scores.count() == 0

@@ -13,8 +13,13 @@ from textpulse.operators.sizes import small
 CONSTANT = 1e-12
 
 
-def _moments(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _numbered(weights: DataFrame, ids: DataFrame, vocab_rows: int | None) -> DataFrame:
+    return weights.join(small(ids, vocab_rows), "term").select("doc_id", "grp", "term_id", "term", "w")
+
+
+def term_moments(weights: DataFrame, docs: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
     """Per group, the terms whose weight varies over *all* documents of the group: ``(grp, term_id, term, n, sx, ss)``."""
+    rows = _numbered(weights, number_terms(vocab.select("term")), vocab_rows)
     x = F.col("w")
     sums = rows.groupBy("grp", "term_id", "term").agg(F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
     sizes = docs.groupBy("grp").agg(F.count("*").alias("n"))
@@ -24,20 +29,21 @@ def _moments(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def term_corr(weights: DataFrame, docs: DataFrame, vocab: DataFrame, chosen: DataFrame | None = None,
-              vocab_rows: int | None = None) -> DataFrame:
+              vocab_rows: int | None = None, moments: DataFrame | None = None) -> DataFrame:
     """Pearson correlation over the documents of each group: ``(grp, term, other, corr)``, self included.
 
     A group in which ``term`` is constant has no rows; ``other`` appears if the pair is defined in some group, and
     reads 0 in the groups where it is not. ``chosen`` restricts ``term`` (a point read) and then only documents that
-    contain a chosen term are paired. ``weights`` are read more than once: persist or store them.
+    contain a chosen term are paired. ``weights`` and ``moments``, one row per group and term
+    (``term_moments``), are read more than once: persist or store them.
 
     Pairs that never share a document have a correlation too, so the answer is dense: groups x terms x terms. It is
     unfolded only at the very end, inside the row of its (group, term), from two arrays no longer than the vocabulary:
     the sums of products of that term, and the moments of all terms of the group.
     """
     ids = number_terms(vocab.select("term"))
-    rows = weights.join(small(ids, vocab_rows), "term").select("doc_id", "grp", "term_id", "term", "w")
-    varying = _moments(rows, docs)
+    rows = _numbered(weights, ids, vocab_rows)
+    varying = term_moments(weights, docs, vocab, vocab_rows) if moments is None else moments
     if chosen is None:
         wanted, sums = varying, mirrored(pair_sums_all(rows, "w"))
     else:

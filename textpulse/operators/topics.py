@@ -26,6 +26,9 @@ MAX_MODEL_TERMS = 20_000
 GRAM_TERMS = 4_096  # 128 MB as doubles
 RANK_TOLERANCE = 1e-12  # on squared singular values
 
+_TOPICS = "topic_id int, sigma double"
+_COMPONENTS = "topic_id int, term string, weight double"
+
 
 @dataclass
 class TopicModel:
@@ -48,7 +51,7 @@ def tfidf_vectors(tokenized: DataFrame, vocab: DataFrame, n_docs: Column, key: s
         raise ValueError(f"more than {MAX_MODEL_TERMS} terms: raise min_df or lower max_df")
     terms = [r["term"] for r in rows]
     if not terms:
-        raise ValueError("the vocabulary is empty: no topics can be found")
+        return tokenized.select(key, "grp"), terms
     stages = PipelineModel([
         CountVectorizerModel.from_vocabulary(terms, "tokens", "_tf"),
         ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="_tf", outputCol="_x"),
@@ -78,15 +81,19 @@ def svd_topics(vectors: DataFrame, terms: list[str], k: int = MAX_TOPICS, key: s
     ``vectors`` are read by the solver and again for the scores, so persist them first.
     """
     spark = vectors.sparkSession
+    kind = vectors.schema[key].dataType.simpleString()
+    if not terms:
+        return TopicModel(*[spark.createDataFrame([], s) for s in (
+            _TOPICS, _COMPONENTS, f"{key} {kind}, grp string, topic_id int, score double")])
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"), numCols=len(terms))
     sigma, loadings = _right_singular(matrix, len(terms), min(k, len(terms)))
     largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
     loadings = loadings * np.where(largest < 0, -1.0, 1.0)
 
-    topics = spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "topic_id int, sigma double")
+    topics = spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], _TOPICS)
     components = spark.createDataFrame(
         [(i, t, float(w)) for i in range(len(sigma)) for t, w in zip(terms, loadings[:, i])],
-        "topic_id int, term string, weight double")
+        _COMPONENTS)
     return TopicModel(topics, components, document_scores(vectors, loadings, key))
 
 

@@ -43,7 +43,8 @@ def prepare(docs: DataFrame, out: str, boilerplate: DataFrame | None = None, sto
                  f"{out}/vocab")
     weighted = _save(weights.tfidf(tf, kept, n, vocab_rows=cap), f"{out}/weights")
     store.write_by_term(trends.term_day_mean(weighted, keys, kept), f"{out}/term_day")
-    store.write_by_term(assoc.term_corr(weighted, keys, kept, vocab_rows=cap), f"{out}/term_corr")
+    moments = _save(assoc.term_moments(weighted, keys, kept, cap), f"{out}/term_moments")
+    store.write_by_term(assoc.term_corr(weighted, keys, kept, vocab_rows=cap, moments=moments), f"{out}/term_corr")
 
 
 def rank_terms(out: str, series: DataFrame, window: int = trends.WINDOW) -> None:

@@ -132,6 +132,14 @@ def _r(x: str, name: str | None = None) -> str:
     return f"round({x}, 6) + 0.0 AS {name or x}"
 
 
+def _plain(html: str) -> str:
+    """Mark-up out, the character references that the pages use resolved."""
+    text = (f"regexp_replace({html}, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')")
+    for code, char in (("quot", "'\"'"), ("copy", "chr(169)"), ("middot", "chr(183)")):
+        text = f"replace({text}, '&{code};', {char})"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
 def _counts(pattern: str, where: str = "TRUE", name: str = "n") -> str:
     return f"""SELECT doc_id, term, count(*) AS {name} FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), {pattern}))
         AS term FROM documents) WHERE {where} GROUP BY ALL"""
@@ -149,6 +157,9 @@ BODIES = {
     "upsert_latest": """SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id
         ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "delete_by_key": "SELECT doc_id, grp FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "page_text": f"SELECT page_id, {_plain('html')} AS text FROM pages",
+    "page_content": f"""SELECT page_id, {_plain("regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)")} AS content
+        FROM pages WHERE regexp_matches(html, '<article')""",
     "page_links": """SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS link FROM (
         SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)""",
     "failed_page_filter": f"""SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'error: {FAILED_MARKER}'

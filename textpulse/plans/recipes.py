@@ -467,18 +467,21 @@ def melt(spark, folder):
 # --- association and distance -----------------------------------------------------------------------------------------
 
 
+def _corr(main: Main, chosen: DataFrame | None = None) -> DataFrame:
+    kept = main.weights.persist()
+    moments = assoc.term_moments(kept, main.keys, main.vocab, vocab.MAX_TERMS).persist()
+    return assoc.term_corr(kept, main.keys, main.vocab, chosen, vocab.MAX_TERMS, moments)
+
+
 @query
 def term_corr(spark, folder):
-    main = Main(spark, folder)
-    corr = assoc.term_corr(main.weights.persist(), main.keys, main.vocab, vocab_rows=vocab.MAX_TERMS)
-    return corr.select("grp", "term", "other", r6("corr"))
+    return _corr(Main(spark, folder)).select("grp", "term", "other", r6("corr"))
 
 
 @query
 def word_correlations(spark, folder):
     main = Main(spark, folder)
-    corr = assoc.term_corr(main.weights.persist(), main.keys, main.vocab, chosen=main.top(5))
-    return assoc.word_correlations(corr).select("term", "grp", "other", r6("corr"))
+    return assoc.word_correlations(_corr(main, main.top(5))).select("term", "grp", "other", r6("corr"))
 
 
 @query
