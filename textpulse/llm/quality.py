@@ -29,7 +29,7 @@ WORD_BINS = 1 << 14
 COMMON = 100
 CLASSES = 7
 MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.5, 0.9
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.6
 MAX_LANGUAGES = 512
 UNNAMED = "\0"  # the reference of texts without a language
 REPEAT_WINDOW = 8
