@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm import decontaminate, langid, quality
+from textpulse.llm import decontaminate, langid, pii, quality
 from textpulse.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_pii(spark, folder):
+    found = pii.find_pii(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(pii.count_kind(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
+        F.sha2(pii.listed(base_only=True), 256).alias("base_sha256"), pii.listed().alias("spans"))
+
+
 @query
 def op3_language(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
