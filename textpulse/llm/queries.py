@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm import decontaminate, langid, pii, quality
+from textpulse.llm import decontaminate, langid, mixing, pii, quality, rollups, urlfilter, warc
 from textpulse.llm.tables import table
+from textpulse.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +35,47 @@ def op3_language(spark, folder):
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op4_warc(spark, folder):
+    """Write, read back, and complete revisits from the responses they name."""
+    path = shared_dir(spark, "llm-warc")
+    warc.write(warc.resolve(warc.headers(table(spark, folder, "pages"))), path)
+    return warc.originals(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_mixing(spark, folder):
+    """Sources repeat at most four times as often as the least repeated one; nothing is left out."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "passes", "copies", "block")
+
+
+@query
+def op6_token_counts(spark, folder):
+    """Load all documents, delete toxic ones, revise poor ones to their distinct lines, deliver the deletes again."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, folder, "labels")
+    rollup = rollups.Rollup(spark, shared_dir(spark, "llm-rollup"))
+    ledger = rollups.counted(docs)
+    rollup.commit("load", ledger)
+    toxic = labels.where("toxic = 1").select("doc_id")
+    deletes = rollups.negated(ledger.join(toxic, "doc_id", "left_semi"))
+    rollup.commit("toxic", deletes)
+    poor = labels.where("quality = 0 AND toxic = 0").select("doc_id")
+    before = docs.join(poor, "doc_id", "left_semi")
+    after = before.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n"))
+    rollup.commit("poor", rollups.negated(rollups.counted(before)).unionByName(rollups.counted(after)))
+    rollup.commit("toxic", deletes)
+    return rollup.totals().select("source", "lang", "version", "n_docs", "n_tokens")
+
+
+@query
+def op7_urls(spark, folder):
+    judged = urlfilter.judge(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
 @query
 def op8_decontaminate(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -46,3 +88,41 @@ def op8_decontaminate(spark, folder):
 def op10_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return quality.judge(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "char_distance", "word_distance")
+
+
+SQL["op4_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM h)
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+    FROM g"""
+
+SQL["op6_token_counts"] = r"""
+    WITH d AS (SELECT d.doc_id, source, lang, CASE WHEN l.quality = 0 THEN (
+            SELECT string_agg(line, chr(10) ORDER BY first) FROM (
+                SELECT line, min(i) AS first FROM (SELECT unnest(str_split(text, chr(10))) AS line,
+                    generate_subscripts(str_split(text, chr(10)), 1) AS i) GROUP BY line)) ELSE text END AS text
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE coalesce(l.toxic, 0) <> 1),
+    c AS (SELECT source, lang, 'space-1' AS version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM d
+        UNION ALL SELECT source, lang, 'word-1', len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+')) FROM d)
+    SELECT source, lang, version, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL"""
+
+SQL["op8_decontaminate"] = r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    sized AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+    items AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win
+        FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+    starts AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k),
+    hits AS (SELECT doc_id, i, s.k, item_id FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM starts) s
+        JOIN items ON items.win = s.win AND items.k = s.k),
+    hit_words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY doc_id),
+    hit_items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
