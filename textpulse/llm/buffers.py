@@ -150,9 +150,11 @@ BLOCK = 1 << 13
 _PART = "name string, block int, cells binary"
 
 
-def summed_vectors(df: DataFrame, count: Callable, size: int) -> DataFrame:
+def summed_vectors(df: DataFrame, count: Callable, size: int, union: bool = False) -> DataFrame:
     """Sums of named integer vectors over all rows: ``(name, block, cells)`` with ``BLOCK`` 64-bit cells a row.
 
+    With ``union`` the cells are sets of bits and united.
+
     ``count(batches)`` runs in each task and returns its own ``{name: vector of size}``. Tasks' vectors are added by
     (name, block) as a stream, so neither a task nor the driver ever holds more than the sums themselves.
     """
@@ -172,7 +174,8 @@ def summed_vectors(df: DataFrame, count: Callable, size: int) -> DataFrame:
         for batch in batches:
             for name, block, cells in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 part = np.frombuffer(zlib.decompress(cells), np.int64)
-                sums[name, block] = sums[name, block] + part if (name, block) in sums else part
+                have = sums.get((name, block))
+                sums[name, block] = part if have is None else have | part if union else have + part
         if sums:
             yield pa.RecordBatch.from_arrays([
                 pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()),

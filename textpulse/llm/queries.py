@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm import decontaminate, langid, mixing, pii, quality, rollups, urlfilter, warc
+from textpulse.llm import decontaminate, jaccard, langid, mixing, pii, quality, rollups, urlfilter, warc
 from textpulse.llm.tables import table
 from textpulse.session import shared_dir
 
@@ -29,6 +29,12 @@ def op1_pii(spark, folder):
         F.sha2(pii.listed(base_only=True), 256).alias("base_sha256"), pii.listed().alias("spans"))
 
 
+@query
+def op2_jaccard(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard.similar_groups(docs, n=3, share=(90, 100))
+
+
 @query
 def op3_language(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -126,3 +132,15 @@ SQL["op8_decontaminate"] = r"""
     SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
         coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM w LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+SQL["op2_jaccard"] = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id
+    FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = w.doc_id GROUP BY ALL"""
