@@ -170,5 +170,5 @@ def remove_hits(found: DataFrame, drop_share: float = 0.5, text: str = "text") -
     begin = F.concat(F.array(F.lit(0)), starts)
     end = F.concat(F.filter(spans, lambda _, i: i % 2 == 0), F.array(F.octet_length(text)))
     cut = F.array_join(F.transform(F.arrays_zip(begin.alias("b"), end.alias("e")), lambda s: F.decode(
-        F.substring(raw, s["b"] + 1, s["e"] - s["b"]), F.lit("UTF-8"))), "")
+        F.substring(raw, s["b"] + 1, s["e"] - s["b"]), "UTF-8")), "")
     return kept.withColumn(text, F.when(F.col("n_hit") > 0, cut).otherwise(F.col(text))).drop(*(f.name for f in FIELDS))
