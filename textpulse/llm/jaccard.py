@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpulse.llm.buffers import LOWER_VALUES, VISIBLE, Prefix, collect_vectors, mix, summed_vectors, text_chunks, words
-from textpulse.llm.tables import stored
+from textpulse.llm.tables import bit_table, in_bit_table, stored
 
 SKETCH = 1 << 18
 MAX_MATCH = 4
@@ -291,31 +291,10 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(table.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _present(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A bit table of hashed ids, of fixed size: what is not in it is not among ``ids``."""
-    def count(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        seen = np.zeros(bits // 64, np.uint64)
-        for batch in batches:
-            h = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(bits - 1)
-            np.bitwise_or.at(seen, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-        return {"": seen.view(np.int64)}
-
-    return collect_vectors(summed_vectors(ids, count, bits // 64, union=True), bits // 64, 1).get("", np.zeros(bits // 64, np.int64))
-
-
 def _texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
     """(id, text) of ``ids``. Most other texts are dropped before the shuffle by a bit table of fixed size."""
-    table = docs.sparkSession.sparkContext.broadcast(_present(ids).view(np.uint64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = table.value
-        for batch in batches:
-            h = mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(len(seen) * 64 - 1)
-            on = (seen[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(on.astype(bool)))
-
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    kept = rows.mapInArrow(run, "id bigint, text string")
+    kept = in_bit_table(rows, "id", bit_table(ids.select("id")))
     return kept.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm import decontaminate, jaccard, langid, mixing, pii, quality, rollups, urlfilter, warc
+from textpulse.llm import decontaminate, jaccard, langid, mixing, pii, quality, rollups, suffixes, urlfilter, warc
 from textpulse.llm.tables import table
 from textpulse.session import shared_dir
 
@@ -90,6 +90,12 @@ def op8_decontaminate(spark, folder):
                         decontaminate.items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op9_suffixes(spark, folder):
+    cut = suffixes.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op10_quality(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")

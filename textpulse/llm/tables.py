@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from textpulse.llm.buffers import collect_vectors, mix, summed_vectors
 from textpulse.session import shared_dir
 
+BITS = 1 << 23  # 1 MB; as it fills up, more rows pass that an exact join then drops
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -17,3 +24,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, f"llm-{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _places(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
+    return (h >> np.uint64(6)).astype(np.int64), h & np.uint64(63)
+
+
+def bit_table(ids: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A table of hashed ids (one bigint column, no nulls), of fixed size: what is not in it is not among ``ids``."""
+    def count(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        seen = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            cell, bit = _places(batch.column(0), bits)
+            np.bitwise_or.at(seen, cell, np.uint64(1) << bit)
+        return {"": seen.view(np.int64)}
+
+    found = collect_vectors(summed_vectors(ids, count, bits // 64, union=True), bits // 64, 1)
+    return found.get("", np.zeros(bits // 64, np.int64)).view(np.uint64)
+
+
+def in_bit_table(df: DataFrame, key: str, seen: np.ndarray, inside: bool = True) -> DataFrame:
+    """Rows whose ``key`` may be among the ids of the table, or those that certainly are not."""
+    table = df.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, bit = _places(batch.column(key), len(table.value) * 64)
+            hit = ((table.value[cell] >> bit) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(hit if inside else ~hit))
+
+    return df.mapInArrow(run, df.schema)
