@@ -7,7 +7,7 @@ bounds the broadcast whatever the number of URLs; all URLs that a rule decides a
 limit is calibrated.
 
 A URL's score is the difference of its log-likelihoods divided by its length. The limit is the one that separates the held
-back URLs best (largest sum of both classes' shares on their side; the smallest such limit).
+back URLs best (largest sum of both classes' shares on their side), in the middle between the scores around it.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; a URL without characters
 scores null and is blocked, as there is nothing to fetch; without accepted or rejected examples to learn from, every score
@@ -108,9 +108,10 @@ def calibrate(scored: DataFrame) -> float:
     gain = (F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(whole)
             - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(whole))
     usable = (F.sum("r").over(whole) > 0) & (F.sum("a").over(whole) > 0)
-    best = bins.select("limit", F.when(usable, gain).alias("gain")).where("gain IS NOT NULL").orderBy(
-        F.desc("gain"), "limit").first()
-    return 0.0 if best is None else float(best["limit"]) - 0.005  # rounding put half a bin below its centre
+    before = F.coalesce(F.lag("limit").over(Window.orderBy("limit")), F.col("limit"))
+    best = bins.select(((F.col("limit") + before) / 2).alias("limit"), F.when(usable, gain).alias("gain")).where(
+        "gain IS NOT NULL").orderBy(F.desc("gain"), "limit").first()
+    return 0.0 if best is None else float(best["limit"])
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
