@@ -69,9 +69,9 @@ def op6_token_counts(spark, folder):
     deletes = rollups.negated(ledger.join(toxic, "doc_id", "left_semi"))
     rollup.commit("toxic", deletes)
     poor = labels.where("quality = 0 AND toxic = 0").select("doc_id")
-    before = docs.join(poor, "doc_id", "left_semi")
-    after = before.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n"))
-    rollup.commit("poor", rollups.negated(rollups.counted(before)).unionByName(rollups.counted(after)))
+    revised = rollups.counted(docs.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")))
+    changes = rollups.negated(ledger).unionByName(revised)  # counts meet the labels, texts stay where they are
+    rollup.commit("poor", changes.join(poor, "doc_id", "left_semi"))
     rollup.commit("toxic", deletes)
     return rollup.totals().select("source", "lang", "version", "n_docs", "n_tokens")
 
