@@ -68,7 +68,7 @@ def test_prefix_grows_with_match(spark):
     rows = spark.createDataFrame(near_copies(), "doc_id bigint, text string")
     for r in jaccard.prefixes(rows, 3, jaccard.Fraction(9, 10)).collect():
         probe = r["n_shingles"] - math.ceil(0.9 * r["n_shingles"] - 1e-9) + r["k"]
-        assert len(r["tokens"]) == min(probe, r["n_shingles"]) and 1 <= r["k"] <= 4
+        assert len(r["tokens"]) == min(probe, r["n_shingles"]) and 1 <= r["k"] <= jaccard.MAX_MATCH
 
 
 def repeats(docs, **options):

@@ -38,7 +38,7 @@ from textpulse.llm.buffers import LOWER_VALUES, VISIBLE, Prefix, collect_vectors
 from textpulse.llm.tables import bit_table, in_bit_table, stored
 
 SKETCH = 1 << 18
-MAX_MATCH = 4
+MAX_MATCH = 16
 VERIFY_COST = 20.0  # of one comparison, in postings
 RARE = 0.1  # assumed partners of a shingle that the sketch does not tell from unique ones
 SPLIT = 32
@@ -315,10 +315,11 @@ def similar_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
         "y >= 0 AND x <> y")
     across = lists.where("part >= 0").select("token", F.col("head").alias("x")).distinct().join(heads, "token").select(
         "x", F.col("to").alias("y")).where("x <> y")
-    size = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"))
-    pairs = near.unionByName(across).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    pairs = pairs.join(size.select(F.col("id").alias("a"), F.col("size").alias("size_a")), "a").join(
-        size.select(F.col("id").alias("b"), F.col("size").alias("size_b")), "b").where(_similar("size_a", "size_b", share)).select("a", "b")
+    facts = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "k")
+    pairs = near.unionByName(across).groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count("*").alias("n"))
+    pairs = pairs.join(facts.toDF("a", "size_a", "k_a"), "a").join(facts.toDF("b", "size_b", "k_b"), "b")
+    # A list counts for its head and for a neighbour only, so these counts may fall short of k; what they miss is left to the second step.
+    pairs = pairs.where(_similar("size_a", "size_b", share) & (F.col("n") >= F.least("k_a", "k_b"))).select("a", "b")
     links = stored(compare(pairs, texts, n, share), "links")
     label = stored(components(links), "labels")
     # Second step: lists with several components.
