@@ -21,7 +21,7 @@ def boards(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("tables"))
     jobs.prepare(docs, out, group_min_df=2, min_df=3, max_df=0.9)
     jobs.rank_terms(out, spark.read.parquet(f"{out}/term_day"))
-    jobs.term_distances(docs, out, min_df=0.1)
+    jobs.term_distances(docs, out)
     jobs.find_topics(docs, out, k=4, group_max_df=0.95)
     return Dashboards(spark, out)
 

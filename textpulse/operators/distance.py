@@ -6,41 +6,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpulse.functions.numeric import tie_safe
-from textpulse.operators.pairs import mirrored, number_terms, pair_sums_all
+from textpulse.operators.pairs import cell_sums, mirrored
 from textpulse.operators.sizes import small
+from textpulse.session import stored
 
 NEAREST = 60
 
 
-def term_cosine(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
+def ordered_ids(vocab: DataFrame) -> DataFrame:
+    """``(term, term_id)`` with ids that increase with the term, for a vocabulary of any size.
+
+    The sort is distributed; ids are written once, so that every reader sees the same ones.
+    """
+    return stored(vocab.select("term").orderBy("term").withColumn("term_id", F.monotonically_increasing_id()), "term-ids")
+
+
+def term_cosine(counts: DataFrame, vocab: DataFrame, vocab_rows: int | None = None, chosen: DataFrame | None = None) -> DataFrame:
     """Cosine distance per group of all pairs of *different* terms that share a document.
 
-    ``counts`` holds (doc_id, grp, term, tf) of the vocabulary's terms and is read twice: persist it. Pairs that share
+    ``counts`` holds (doc_id, grp, term, tf) of the vocabulary's terms and is read twice: store it. Pairs that share
     no document are at distance 1 and are not stored; a term is at distance 0 from itself. ``vocab_rows`` is the
     measured vocabulary size, if known: it decides whether term numbers travel by broadcast or by a shuffle join.
+    ``chosen`` restricts ``term`` (a point read), and then only documents with a chosen term are paired.
+
+    Counts are divided by their norm before they are multiplied, so a sum of products is the cosine and the table of pairs is
+    shuffled once, by pair.
     """
-    ids = number_terms(vocab.select("term"))
-    numbered = counts.join(small(ids, vocab_rows), "term")
-    norms = numbered.groupBy("grp", "term_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    cos = F.col("s") / (F.col("na") * F.col("nb"))
-    apart = (
-        pair_sums_all(numbered, "tf").where("a < b")
-        .join(norms.toDF("grp", "a", "na"), ["grp", "a"]).join(norms.toDF("grp", "b", "nb"), ["grp", "b"])
-        .select("grp", "a", "b", F.least(F.greatest(1 - cos, F.lit(0.0)), F.lit(2.0)).alias("s"))
-    )
-    return (mirrored(apart).join(small(ids.toDF("term", "a"), vocab_rows), "a")
-            .join(small(ids.toDF("other", "b"), vocab_rows), "b")
-            .select("grp", "term", "other", F.col("s").alias("dist")))
+    norms = counts.groupBy("grp", "term").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    apart = F.least(F.greatest(1 - F.col("s"), F.lit(0.0)), F.lit(2.0)).alias("dist")
+    if chosen is not None:
+        left = counts.join(chosen.select("term"), "term", "left_semi").select("doc_id", "grp", "term", F.col("tf").alias("x"))
+        met = left.join(counts.select("doc_id", F.col("term").alias("other"), F.col("tf").alias("y")), "doc_id").where("term <> other")
+        sums = met.groupBy("grp", "term", "other").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+        sums = sums.join(norms.toDF("grp", "term", "na"), ["grp", "term"]).join(norms.toDF("grp", "other", "nb"), ["grp", "other"])
+        return sums.withColumn("s", F.col("s") / (F.col("na") * F.col("nb"))).select("grp", "term", "other", apart)
+    ids = ordered_ids(vocab)
+    unit = counts.join(norms, ["grp", "term"]).join(small(ids, vocab_rows), "term").select(
+        "doc_id", "grp", "term_id", (F.col("tf") / F.col("norm")).alias("x"))
+    pairs = mirrored(cell_sums(unit, "x"))
+    return (pairs.join(small(ids.toDF("term", "a"), vocab_rows), "a").join(small(ids.toDF("other", "b"), vocab_rows), "b")
+            .select("grp", "term", "other", apart))
 
 
 def term_nearest(cosine: DataFrame, vocab: DataFrame, groups: DataFrame, n: int = NEAREST,
-                 per_group: bool = False) -> DataFrame:
+                 per_group: bool = False, chosen: DataFrame | None = None) -> DataFrame:
     """The ``n`` nearest (group, word) entries per term, over all groups (or per group), self entries included.
 
     Ties go by group, then word. The closest ``n`` stored pairs are picked first, by a limit that runs before the
     shuffle. A term with fewer of them is filled with entries at distance 1. Those come in (group, word) order, so the
     first ``2 n`` pairs of that order hold enough that are not among the closer ones, and the full set of absent pairs
-    is never built.
+    is never built. ``chosen`` are the terms asked for, if not all of the vocabulary.
     """
     part = ["term", "grp"] if per_group else ["term"]
     place = F.row_number().over(Window.partitionBy(*part).orderBy("dist", "grp", "word"))
@@ -52,7 +67,8 @@ def term_nearest(cosine: DataFrame, vocab: DataFrame, groups: DataFrame, n: int
     names, words = groups.select("grp").distinct(), vocab.select("term").distinct()
     # Self entries are at distance 0 in every group; globally only the first n groups can take part.
     selves_in = names if per_group else names.orderBy("grp").limit(n)
-    selves = words.select("term", F.explode(selves_in.agg(F.collect_set("grp")).scalar()).alias("grp"))
+    asked = words if chosen is None else words.join(chosen.select("term"), "term", "left_semi")
+    selves = asked.select("term", F.explode(selves_in.agg(F.collect_set("grp")).scalar()).alias("grp"))
     selves = selves.select("term", "grp", F.col("term").alias("word"), F.lit(0.0).alias("dist"))
     stored = cosine.select("term", "grp", F.col("other").alias("word"), tie_safe(F.col("dist")).alias("dist"))
 
@@ -62,7 +78,7 @@ def term_nearest(cosine: DataFrame, vocab: DataFrame, groups: DataFrame, n: int
     else:
         lead = names.orderBy("grp").limit(2 * n).select("grp", F.explode(first_words).alias("word"))
         lead = lead.orderBy("grp", "word").limit(2 * n).agg(F.collect_list(F.struct("grp", "word"))).scalar()
-        slots = words.select("term", F.inline(lead))
+        slots = asked.select("term", F.inline(lead))
     near = nearest(stored.where("dist < 1").unionByName(selves))
     filled = near.unionByName(slots.withColumn("dist", F.lit(1.0)))
     return nearest(filled.groupBy("term", "grp", "word").agg(F.min("dist").alias("dist")))

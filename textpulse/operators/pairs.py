@@ -1,13 +1,14 @@
 """Sums of products of two terms over the documents of a group (J9): the shared core of A3 and A5.
 
-Two exact ways to the same ``(grp, a, b, s)``:
+Three exact ways to the same ``(grp, a, b, s)``:
 
 * ``pair_sums_for`` joins the chosen terms' rows to the other rows of the same documents. Its size is the number of
   cells in the documents that contain a chosen term.
-* ``pair_sums_all`` is for the whole vocabulary. A document with k terms has k*k pairs, so pairs are never rows: each
-  task folds the documents it holds into matrix products and emits one row per *cell* of the result. Documents are
-  range-partitioned by (group, document), which cuts a group holding a third of the corpus into as many partitions as
-  its size asks for and leaves most tasks with one group to fold.
+* ``pair_sums_all`` is for a capped vocabulary, whose matrix of cells a task can hold: each task folds the documents it
+  has into one matrix per group and emits one row per *cell*. Documents are range-partitioned by (group, document), which cuts
+  a group holding a third of the corpus into as many partitions as its size asks for.
+* ``cell_sums`` is for a vocabulary of any size over short texts: pairs are formed inside the document's row and summed by a
+  combined aggregate, so what is shuffled is cells per task and no document or group is gathered.
 """
 
 from __future__ import annotations
@@ -19,13 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DENSE_TERMS = 2048  # up to here a task keeps one matrix for its current group (32 MB)
 CHUNK_DOCS = 2048
-TILE = 1024
+ROWS_PER_TASK = 250_000
 
 
 def number_terms(vocab: DataFrame) -> DataFrame:
-    """``term_id`` 0..V-1 in term order. The vocabulary is capped or bounded by a relative frequency rule."""
+    """``term_id`` 0..V-1 in term order, for a capped vocabulary: one task sees all of its terms."""
     return vocab.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)
 
 
@@ -40,13 +40,15 @@ def pair_sums_for(rows: DataFrame, chosen: DataFrame, value: str, key: str = "do
     return _total(left.join(right, key).select("grp", "a", "b", (F.col("_x") * F.col("_y")).alias("s")))
 
 
-def pair_sums_all(rows: DataFrame, value: str, key: str = "doc_id") -> DataFrame:
-    """Every co-occurring pair of term ids with ``a <= b``.
+def pair_sums_all(rows: DataFrame, value: str, key: str = "doc_id", n_rows: int | None = None) -> DataFrame:
+    """Every co-occurring pair of term ids with ``a <= b``; ids count from 0 and stay below the vocabulary's cap.
 
     The number of range partitions is given, because folding costs far more than the size of its input suggests and
-    adaptive execution would merge small partitions into too few tasks.
+    adaptive execution would merge small partitions into too few tasks. It follows ``n_rows`` where that is known.
     """
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n_rows is not None:
+        tasks = max(tasks, -(-n_rows // ROWS_PER_TASK))
     return _total(
         rows.where(F.col("grp").isNotNull())
         .select("grp", F.col(key).alias("doc"), F.col("term_id").cast("int").alias("t"),
@@ -55,6 +57,15 @@ def pair_sums_all(rows: DataFrame, value: str, key: str = "doc_id") -> DataFrame
         .mapInPandas(_fold, "grp string, a int, b int, s double"))
 
 
+def cell_sums(rows: DataFrame, value: str, key: str = "doc_id") -> DataFrame:
+    """Every co-occurring pair of term ids with ``a < b``, for any vocabulary."""
+    whole = rows.where(F.col("grp").isNotNull()).groupBy(key, "grp").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("term_id").alias("t"), F.col(value).cast("double").alias("x")))).alias("_cells"))
+    first = whole.select("grp", "_cells", F.posexplode("_cells").alias("_i", "_p"))
+    both = first.select("grp", "_p", F.explode(F.slice("_cells", F.col("_i") + 2, F.size("_cells"))).alias("_q"))
+    return _total(both.select("grp", F.col("_p.t").alias("a"), F.col("_q.t").alias("b"), (F.col("_p.x") * F.col("_q.x")).alias("s")))
+
+
 def mirrored(pairs: DataFrame) -> DataFrame:
     """Both orders of every pair given once."""
     both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
@@ -86,20 +97,13 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             used, col = np.unique(terms[lo:hi], return_inverse=True)
             dense = np.zeros((row[hi - 1] - row[lo] + 1, len(used)))
             dense[row[lo:hi] - row[lo], col] = x[lo:hi]
-            if used[-1] < DENSE_TERMS:
-                size = 0 if matrix is None else len(matrix)
-                if size <= used[-1]:
-                    grown = np.zeros((1 << int(used[-1]).bit_length(),) * 2)
-                    if size:
-                        grown[:size, :size] = matrix
-                    matrix = grown
-                matrix[np.ix_(used, used)] += dense.T @ dense
-                continue
-            for i in range(0, len(used), TILE):
-                for j in range(i, len(used), TILE):
-                    tile = dense[:, i:i + TILE].T @ dense[:, j:j + TILE]
-                    a, b = np.nonzero(np.triu(tile) if i == j else tile)
-                    yield emit(used[i + a], used[j + b], tile[a, b])
+            size = 0 if matrix is None else len(matrix)
+            if size <= used[-1]:
+                grown = np.zeros((1 << int(used[-1]).bit_length(),) * 2)
+                if size:
+                    grown[:size, :size] = matrix
+                matrix = grown
+            matrix[np.ix_(used, used)] += dense.T @ dense
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
@@ -109,10 +113,10 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if name != group:
                 yield from flush()
                 group = name
-            yield from fold(part)
+            fold(part)
     if rest is not None and len(rest):
         if rest["grp"].iloc[0] != group:
             yield from flush()
             group = rest["grp"].iloc[0]
-        yield from fold(rest)
+        fold(rest)
     yield from flush()

@@ -29,6 +29,12 @@ def document_keys(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.col("source").alias("grp"), doc_day().alias("day"))
 
 
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id (conversation and turn), grp (role), text."""
+    turns = table(spark, folder, "conversations")
+    return spread(turns.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.col("role").alias("grp"), "text"), "doc_id")
+
+
 def monthly_words(spark: SparkSession, folder: str) -> DataFrame:
     """Per (month, region), the share of line items whose part name holds the word, dense over all three.
 

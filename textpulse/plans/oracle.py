@@ -22,6 +22,51 @@ STOP, STOP_EN = _list(WITH_EXTRA), _list(ENGLISH)
 N = "(SELECT count(*) FROM documents)"
 TITLE = "split_part(text, chr(10), 1)"
 
+
+
+def _ngrams(p: str, docs: str) -> dict[str, str]:
+    """Counts and vocabulary of one- and two-word terms."""
+    return {
+        f"{p}uni": f"""SELECT doc_id, grp, pos, term FROM (SELECT doc_id, grp, generate_subscripts(l, 1) AS pos, unnest(l) AS term
+            FROM (SELECT doc_id, grp, regexp_extract_all(lower(text), {A2}) AS l FROM {docs})) WHERE term NOT IN ({STOP_EN})""",
+        f"{p}ng": f"""SELECT doc_id, grp, term, count(*) AS tf FROM (SELECT doc_id, grp, term FROM {p}uni UNION ALL
+            SELECT doc_id, grp, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) FROM {p}uni)
+            WHERE term IS NOT NULL GROUP BY ALL""",
+        f"{p}gv": f"""SELECT term, CAST(sum(tf) AS BIGINT) AS cf FROM {p}ng GROUP BY term
+            HAVING count(*) >= CAST({NGRAM_MIN_DF} AS DOUBLE) * (SELECT count(*) FROM {docs})""",
+        f"{p}gc": f"SELECT doc_id, grp, term, tf FROM {p}ng WHERE term IN (SELECT term FROM {p}gv)",
+    }
+
+
+def _distances(p: str, asked: str) -> dict[str, str]:
+    """Cosine distances of the asked terms and what follows from them.
+
+    The 60 nearest of a term are among its stored pairs, itself, and the first 120 (group, word) pairs at distance 1.
+    """
+    docs = f"{p}d" if p else "d"
+    return {
+        f"{p}ask": asked,
+        f"{p}gs": f"""SELECT x.grp, x.term, y.term AS other, sum(x.tf * y.tf) AS s FROM {p}gc x JOIN {p}gc y USING (doc_id)
+            WHERE x.term IN (SELECT term FROM {p}ask) AND x.term <> y.term GROUP BY x.grp, x.term, y.term""",
+        f"{p}gn": f"SELECT grp, term, sqrt(sum(tf * tf)) AS nrm FROM {p}gc GROUP BY ALL",
+        f"{p}cos": f"""SELECT g.grp, g.term, g.other, greatest(1 - s / (x.nrm * y.nrm), 0) AS dist FROM {p}gs g
+            JOIN {p}gn x ON x.grp = g.grp AND x.term = g.term JOIN {p}gn y ON y.grp = g.grp AND y.term = g.other""",
+        f"{p}lead": f"""SELECT grp, word FROM (SELECT DISTINCT grp FROM {docs}) CROSS JOIN (SELECT term AS word FROM {p}gv
+            ORDER BY term LIMIT 120) ORDER BY grp, word LIMIT 120""",
+        f"{p}near": f"""SELECT term, grp, word, dist FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY dist, grp, word) AS rn
+            FROM (SELECT term, grp, word, min(dist) AS dist FROM (
+                SELECT term, grp, other AS word, round(dist, 9) AS dist FROM {p}cos
+                    QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(dist, 9), grp, other) <= 60
+                UNION ALL SELECT term, grp, term, 0 FROM {p}ask CROSS JOIN (SELECT DISTINCT grp FROM {docs})
+                UNION ALL SELECT term, grp, word, 1 FROM {p}ask CROSS JOIN {p}lead) GROUP BY term, grp, word)) WHERE rn <= 60""",
+        f"{p}retained": f"""SELECT term, grp, word, coalesce(dist, 0) AS dist FROM (SELECT DISTINCT term, grp FROM {p}near)
+            JOIN (SELECT DISTINCT term, word FROM {p}near) USING (term) LEFT JOIN {p}near USING (term, grp, word)""",
+        f"{p}gd": f"""SELECT a.term, a.grp AS g1, b.grp AS g2, sqrt(sum((a.dist - b.dist) * (a.dist - b.dist))) AS dist
+            FROM {p}retained a JOIN {p}retained b USING (term, word) GROUP BY ALL""",
+        f"{p}edge": f"SELECT term, grp, word, dist FROM {p}retained WHERE term <> word",
+    }
+
+
 # Shared views. Each may use the ones above it.
 VIEWS = {
     "d": """SELECT doc_id, source AS grp, CAST(DATE '2024-01-01' + CAST(doc_id * 7919 % 1009 % 30 AS INTEGER) AS DATE) AS day,
@@ -76,31 +121,13 @@ VIEWS = {
         FROM mom x JOIN (SELECT DISTINCT p.term, q.term AS other FROM mom p JOIN mom q USING (grp)) o ON x.term = o.term
         LEFT JOIN mom y ON y.grp = x.grp AND y.term = o.other
         LEFT JOIN pair p ON p.grp = x.grp AND p.term = x.term AND p.other = o.other""",
-    # n-grams
-    "uni": f"""SELECT doc_id, grp, pos, term FROM (SELECT doc_id, grp, generate_subscripts(l, 1) AS pos, unnest(l) AS term
-        FROM (SELECT doc_id, grp, regexp_extract_all(lower(text), {A2}) AS l FROM d)) WHERE term NOT IN ({STOP_EN})""",
-    "ng": """SELECT doc_id, grp, term, count(*) AS tf FROM (SELECT doc_id, grp, term FROM uni UNION ALL
-        SELECT doc_id, grp, term || ' ' || lead(term) OVER (PARTITION BY doc_id ORDER BY pos) FROM uni)
-        WHERE term IS NOT NULL GROUP BY ALL""",
-    "gv": f"""SELECT term, CAST(sum(tf) AS BIGINT) AS cf FROM ng GROUP BY term
-        HAVING count(*) >= CAST({NGRAM_MIN_DF} AS DOUBLE) * {N}""",
+    # n-grams: of pages, for one term (g1st), and of short texts (c...), for all terms
+    **_ngrams("", "d"),
     "g1st": "SELECT term FROM gv ORDER BY cf DESC, term LIMIT 1",
-    "gc": "SELECT doc_id, grp, term, tf FROM ng WHERE term IN (SELECT term FROM gv)",
-    "gs": """SELECT x.grp, x.term, y.term AS other, sum(x.tf * y.tf) AS s FROM gc x JOIN gc y USING (doc_id)
-        GROUP BY x.grp, x.term, y.term""",
-    "gn": "SELECT grp, term, sqrt(s) AS nrm FROM gs WHERE term = other",
-    "cos": """SELECT gs.grp, gs.term, gs.other, greatest(1 - s / (x.nrm * y.nrm), 0) AS dist FROM gs
-        JOIN gn x ON x.grp = gs.grp AND x.term = gs.term JOIN gn y ON y.grp = gs.grp AND y.term = gs.other
-        WHERE gs.term <> gs.other""",
-    "near": """SELECT term, grp, word, dist FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY dist, grp, word) AS rn
-        FROM (SELECT t.term, g.grp, o.term AS word, CASE WHEN t.term = o.term THEN 0 ELSE round(coalesce(c.dist, 1), 9) END AS dist
-        FROM gv t CROSS JOIN gv o CROSS JOIN (SELECT DISTINCT grp FROM d) g
-        LEFT JOIN cos c ON c.grp = g.grp AND c.term = t.term AND c.other = o.term)) WHERE rn <= 60""",
-    "retained": """SELECT term, grp, word, coalesce(dist, 0) AS dist FROM (SELECT DISTINCT term, grp FROM near)
-        JOIN (SELECT DISTINCT term, word FROM near) USING (term) LEFT JOIN near USING (term, grp, word)""",
-    "gd": """SELECT a.term, a.grp AS g1, b.grp AS g2, sqrt(sum((a.dist - b.dist) * (a.dist - b.dist))) AS dist
-        FROM retained a JOIN retained b USING (term, word) GROUP BY ALL""",
-    "edge": "SELECT term, grp, word, dist FROM retained WHERE term <> word",
+    **_distances("", "SELECT term FROM g1st"),
+    "cd": "SELECT conv_id || '-' || turn AS doc_id, role AS grp, text FROM conversations",
+    **_ngrams("c", "cd"),
+    **_distances("c", "SELECT term FROM cgv"),
     # documents in which a term is informative
     "ascii": f"""SELECT doc_id, grp, term, count(*) AS tf FROM (SELECT doc_id, grp, unnest(regexp_extract_all(lower(text), {A2}))
         AS term FROM d) GROUP BY ALL""",
@@ -219,14 +246,13 @@ BODIES = {
         ORDER BY round(abs(corr), 9) DESC, other) AS rn FROM corr WHERE term IN (SELECT term FROM f5))
         WHERE rn <= 10 AND term <> other""",
     "term_cosine": f"SELECT grp, term, other, {_r('dist')} FROM cos",
-    "term_nearest": f"SELECT term, grp, word, {_r('dist')} FROM near",
-    "group_distance": f"SELECT term, g1, g2, {_r('dist')} FROM gd",
+    "term_nearest": f"SELECT term, grp, word, {_r('dist')} FROM cnear",
+    "group_distance": f"SELECT term, g1, g2, {_r('dist')} FROM cgd",
     "term_edges": f"SELECT term, grp, word, {_r('dist')} FROM edge",
     "graph_node_join": f"""SELECT grp, word, {_r('dist')}, count(*) OVER (PARTITION BY grp) AS grp_degree,
         count(*) OVER (PARTITION BY word) AS word_degree FROM edge WHERE term IN (SELECT term FROM g1st)""",
-    "pivot_term_vector": "SELECT grp, " + ", ".join(
-        f"round(coalesce(max(dist) FILTER (word = '{w}'), 0), 6) + 0.0 AS {w}" for w in ("ing", "tion", "ble"))
-        + " FROM near WHERE term IN (SELECT term FROM g1st) GROUP BY grp",
+    "pivot_term_vector": f"""SELECT grp, word, round(coalesce(dist, 0), 6) + 0.0 AS dist FROM (SELECT DISTINCT grp FROM near)
+        CROSS JOIN (SELECT DISTINCT word FROM near) LEFT JOIN near USING (grp, word)""",
     "topic_group_diff": f"""SELECT topic_id, g1, g2, {_r('meandiff')}, {_r('se')}, {_r('abs(meandiff) / nullif(se, 0)', 'q')} FROM (
         SELECT x.topic_id, x.grp AS g1, y.grp AS g2, y.mean - x.mean AS meandiff,
         sqrt(ss / df / 2 * (1 / x.n + 1 / y.n)) AS se FROM lg x JOIN lg y ON x.topic_id = y.topic_id AND x.grp < y.grp

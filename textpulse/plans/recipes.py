@@ -17,15 +17,14 @@ from textpulse.functions import dates, text
 from textpulse.functions.stopwords import ENGLISH, WITH_EXTRA
 from textpulse.operators import assoc, clean, compare, distance, ranks, reshape, terms, topics, trends, vocab, weights
 from textpulse.plans import corpora
-from textpulse.session import shared_dir, spread
+from textpulse.session import shared_dir, spread, stored
 from textpulse.sources import articles, items, pages, store
 from textpulse.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-NGRAM_MIN_DF = 0.1  # share of documents; texts here are far longer than titles
-TOPICS = 10
+NGRAM_MIN_DF = 0.001  # share of documents
 GROUPS = ["src0", "src1", "src2"]
 WORDS = ["anvil", "blue", "widget"]
 AS_OF = dt.datetime(2024, 1, 31)
@@ -102,37 +101,47 @@ class Main:
 
 
 class Ngrams:
-    """The distance job's chain over C1: one- and two-word terms -> counts -> cosine -> nearest."""
+    """The distance job's chain: one- and two-word terms -> counts -> cosine -> nearest.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.docs = corpora.documents(spark, folder)
-        self.keys = corpora.document_keys(spark, folder)
+    All terms against all others are asked of short texts (C3), what the operator is meant for; one chosen term against
+    all others, as a dashboard asks, of whole pages (C1). The vocabulary rule is the same.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, short: bool = False):
+        self.short = short
+        self.docs = corpora.conversations(spark, folder) if short else corpora.documents(spark, folder).drop("day")
+        self.keys = self.docs.select("doc_id", "grp")
 
     @cached_property
-    def counts(self) -> DataFrame:
-        tokenized = terms.tokenize(self.docs, text.ascii_tokens, ENGLISH, bigrams=True)
-        return terms.term_counts(tokenized.drop("day"))
+    def every(self) -> DataFrame:
+        return terms.term_counts(terms.tokenize(self.docs, text.ascii_tokens, ENGLISH, bigrams=True))
 
     @cached_property
     def vocab(self) -> DataFrame:
-        stats = vocab.group_term_stats(self.counts)
-        return vocab.vocab_pruned(stats, vocab.corpus_size(self.keys), NGRAM_MIN_DF, 1.0, cap=None).persist()
+        stats = vocab.group_term_stats(self.every)
+        return stored(vocab.vocab_pruned(stats, vocab.corpus_size(self.keys), NGRAM_MIN_DF, 1.0, cap=None), "ngrams")
 
     @cached_property
-    def cosine(self) -> DataFrame:
-        size = self.vocab.count()
-        kept = terms.only_terms(self.counts, self.vocab, vocab_rows=size)
-        return distance.term_cosine(kept.persist(), self.vocab, vocab_rows=size)
+    def size(self) -> int:
+        return self.vocab.count()
 
     @cached_property
-    def near(self) -> DataFrame:
-        """At most 60 rows per term; kept, because group distances and edges read it several times."""
-        return distance.term_nearest(self.cosine, self.vocab, self.keys).persist()
+    def counts(self) -> DataFrame:
+        return stored(terms.only_terms(self.every, self.vocab, vocab_rows=self.size), "ngram-counts")
 
     @cached_property
-    def top(self) -> DataFrame:
-        """The most frequent term."""
-        return vocab.most_frequent(self.vocab, 1)
+    def chosen(self) -> DataFrame | None:
+        """The most frequent term of whole pages; no choice among short texts."""
+        return None if self.short else vocab.most_frequent(self.vocab, 1)
+
+    @cached_property
+    def cosine(self) -> DataFrame:
+        return distance.term_cosine(self.counts, self.vocab, self.size, self.chosen)
+
+    @cached_property
+    def near(self) -> DataFrame:
+        """At most 60 rows per term; stored, because group distances and edges read it several times."""
+        return stored(distance.term_nearest(self.cosine, self.vocab, self.keys, chosen=self.chosen), "near")
 
 
 def _items(spark, folder):
@@ -270,16 +279,12 @@ def group_filter(spark, folder):
 
 @query
 def pair_filter(spark, folder):
-    ngrams = Ngrams(spark, folder)
-    chosen = ngrams.near.join(F.broadcast(ngrams.top), "term", "left_semi")
-    return clean.pairs_touching(distance.group_distance(chosen), GROUPS[:2]).select("term", "g1", "g2", r6("dist"))
+    return clean.pairs_touching(distance.group_distance(Ngrams(spark, folder).near), GROUPS[:2]).select("term", "g1", "g2", r6("dist"))
 
 
 @query
 def pair_groups(spark, folder):
-    ngrams = Ngrams(spark, folder)
-    chosen = ngrams.near.join(F.broadcast(ngrams.top), "term", "left_semi")
-    return clean.pair_groups(distance.group_distance(chosen))
+    return clean.pair_groups(distance.group_distance(Ngrams(spark, folder).near))
 
 
 @query
@@ -290,8 +295,7 @@ def term_groups(spark, folder):
 
 @query
 def distinct_labels(spark, folder):
-    ngrams = Ngrams(spark, folder)
-    edges = distance.term_edges(ngrams.near, ngrams.top)
+    edges = distance.term_edges(Ngrams(spark, folder).near)
     return clean.first_per(edges, "word", ["grp"]).select("word", "grp", r6("dist"))
 
 
@@ -491,12 +495,12 @@ def term_cosine(spark, folder):
 
 @query
 def term_nearest(spark, folder):
-    return Ngrams(spark, folder).near.select("term", "grp", "word", r6("dist"))
+    return Ngrams(spark, folder, short=True).near.select("term", "grp", "word", r6("dist"))
 
 
 @query
 def group_distance(spark, folder):
-    return distance.group_distance(Ngrams(spark, folder).near).select("term", "g1", "g2", r6("dist"))
+    return distance.group_distance(Ngrams(spark, folder, short=True).near).select("term", "g1", "g2", r6("dist"))
 
 
 @query
@@ -506,17 +510,17 @@ def term_edges(spark, folder):
 
 @query
 def graph_node_join(spark, folder):
-    ngrams = Ngrams(spark, folder)
-    joined = distance.node_join(distance.term_edges(ngrams.near, ngrams.top))
+    joined = distance.node_join(distance.term_edges(Ngrams(spark, folder).near))
     return joined.select("grp", "word", r6("dist"), "grp_degree", "word_degree")
 
 
 @query
 def pivot_term_vector(spark, folder):
-    ngrams = Ngrams(spark, folder)
-    chosen = ngrams.near.join(F.broadcast(ngrams.top), "term", "left_semi")
-    words = ["ing", "tion", "ble"]
-    return reshape.pivot_vector(chosen, words).select("grp", *[r6(w) for w in words])
+    """The vector of a term over all of its retained words: a row a group, a column a word, unpivoted to compare it."""
+    near = Ngrams(spark, folder).near
+    words = sorted(r["word"] for r in near.select("word").distinct().collect())  # at most 60: the columns of the answer
+    wide = reshape.pivot_vector(near, words)
+    return wide.unpivot("grp", [F.col(f"`{w}`") for w in words], "word", "dist").select("grp", "word", r6("dist"))
 
 
 # --- topics -----------------------------------------------------------------------------------------------------------
@@ -530,7 +534,7 @@ def _vectors(spark, folder):
 
 def _model(spark, folder):
     vectors, words = _vectors(spark, folder)
-    return topics.svd_topics(vectors.persist(), words, TOPICS)
+    return topics.svd_topics(stored(vectors, "topic-vectors"), words)
 
 
 def _topic_terms(spark, folder):

@@ -44,14 +44,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a scan that has fewer splits than the cluster has cores; leave any larger one as it is.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back: it is computed once, and its size is known."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Tokenising is the expensive step and runs where the scan's splits are. A table of many files needs no shuffle
-    here, whereas one small file would keep a single core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition a scan of fewer bytes than one split per core; leave any larger one as it is.
+
+    Tokenising is the expensive step and runs where the scan's splits are. A large table needs no shuffle here, whereas a
+    small file would keep a single core busy. The decision follows the optimizer's size of the scan; no job runs.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return scan if size >= cores * split else scan.repartition(cores, *keys)
