@@ -119,7 +119,7 @@ def _fold(frame, batch):
     return out.groupby(["grp", "a", "b"])["s"].sum()
 
 
-def test_fold_is_exact_for_any_batches_chunks_and_tiles(monkeypatch):
+def test_fold_is_exact_for_any_batches_and_chunks(monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(g, d, t, float(rng.integers(1, 5))) for g in "ab" for d in range(30)
             for t in sorted(rng.choice(40, 6, replace=False))]
@@ -129,9 +129,28 @@ def test_fold_is_exact_for_any_batches_chunks_and_tiles(monkeypatch):
         for (_, p), (_, q) in itertools.product(part.iterrows(), part.iterrows()):
             if p.t <= q.t:
                 want[g, p.t, q.t] = want.get((g, p.t, q.t), 0) + p.x * q.x
-    for dense, chunk, tile, batch in ((2048, 2048, 1024, 1000), (64, 4, 8, 7), (8, 3, 5, 11)):
-        monkeypatch.setattr(pairs, "DENSE_TERMS", dense)
+    for chunk, batch in ((2048, 1000), (4, 7), (3, 11)):
         monkeypatch.setattr(pairs, "CHUNK_DOCS", chunk)
-        monkeypatch.setattr(pairs, "TILE", tile)
         got = _fold(frame, batch)
         assert got.to_dict() == want
+
+
+def test_cell_sums_match_the_fold_for_any_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, f"{g}{d}", int(t) << 40, float(rng.integers(1, 5))) for g in "ab" for d in range(20)
+            for t in rng.choice(30, 5, replace=False)]
+    table = spark.createDataFrame(rows, "grp string, doc_id string, term_id long, x double")
+    want = {}
+    for g, d in {(r[0], r[1]) for r in rows}:
+        own = sorted((r[2], r[3]) for r in rows if r[1] == d)
+        for (s, x), (t, y) in itertools.combinations(own, 2):
+            want[g, s, t] = want.get((g, s, t), 0) + x * y
+    assert {(r.grp, r.a, r.b): r.s for r in pairs.cell_sums(table, "x").collect()} == want
+
+
+def test_pairs_are_shuffled_once_after_they_are_formed(spark):
+    _, rows, _, vocab = _corpus(spark)
+    cosine = distance.term_cosine(rows.withColumnRenamed("w", "tf"), vocab, 5)
+    plan = cosine._jdf.queryExecution().optimizedPlan().toString()
+    formed = plan.index("Generate explode(slice")
+    assert plan[:formed].count("Aggregate [grp") == 1 and "Join" not in plan[plan.index("Aggregate [grp"):formed]

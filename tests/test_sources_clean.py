@@ -31,6 +31,16 @@ def test_malformed_documents_are_kept_apart(spark):
     assert items.malformed_items(_documents(spark)).count() == 4
 
 
+def test_quarantine_keeps_key_and_text(spark, rows, tmp_path):
+    from textpulse.plans import jobs
+    good = {"kind": "item", "id": "v1", "snippet": SNIPPET, "playlist": {}}
+    dated = good | {"snippet": SNIPPET | {"publishedAt": "yesterday"}}
+    raw = [(1, json.dumps(good)), (2, "not json"), (3, json.dumps(dated)), (4, None)]
+    flat = jobs.flatten(spark.createDataFrame(raw, "doc_id long, json string"), str(tmp_path))
+    assert rows(flat.select("item_id")) == [("v1",)]
+    assert rows(spark.read.parquet(f"{tmp_path}/quarantine")) == sorted(raw[1:], key=str)
+
+
 def test_items_from_json_files(spark, tmp_path):
     path = tmp_path / "items.json"
     path.write_text(json.dumps({"kind": "item", "id": "v2", "snippet": SNIPPET, "playlist": {}}) + "\n")
@@ -90,6 +100,15 @@ def test_pages(spark, rows):
     assert rows(pages.page_links(table)) == [(1, 0, "/one"), (1, 1, "/two?a=1")]
 
 
+def test_links_by_selector(spark, rows):
+    html = ("<nav><a href='/nav'>n</a></nav><div class='list big'><h2><a href=\"/a?x=1&amp;y=2\">A</a></h2><p><h2><a href=/b>B</a>"
+            "<br><span><a href='/deep'>D</a></span></h2></div><div class=other><h2><a href='/c'>C</a></h2></div><a>none</a>")
+    table = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    assert rows(pages.page_links(table, "div.list h2 > a")) == [(1, 0, "/a?x=1&y=2"), (1, 1, "/b")]
+    assert rows(pages.page_links(table, ".big a")) == [(1, 0, "/a?x=1&y=2"), (1, 1, "/b"), (1, 2, "/deep")]
+    assert rows(pages.page_links(table, "nav > a")) == [(1, 0, "/nav")]
+
+
 def test_fingerprint(spark):
     url = "http://é.example/"
     got = spark.createDataFrame([(url,)], "u string").select(pages.fingerprint(F.col("u"))).first()[0]
@@ -142,13 +161,23 @@ def test_stream_upsert_over_batches_and_restart(spark, rows, tmp_path):
     at = lambda h: dt.datetime(2024, 1, 1, h)
     stream = _stream(spark, tmp_path / "in", [[(1, at(1), 7, 1.0), (2, at(2), 8, 2.0)], [(1, at(1), 7, 1.0), (3, at(3), 7, 3.0)]])
     target = str(tmp_path / "snap")
-    final = refresh.stream_upsert(stream, ["user_id"], ["ts", "event_id"], "event_id", target=target)
+    final = refresh.stream_upsert(stream, ["user_id"], ["ts", "event_id"], target=target)
     assert rows(final.select("user_id", "v")) == [(7, 3.0), (8, 2.0)]
     spark.createDataFrame([(4, at(4), 8, 4.0)], EVENTS).coalesce(1).write.parquet(str(tmp_path / "in" / "b9"))
-    again = refresh.stream_upsert(stream, ["user_id"], ["ts", "event_id"], "event_id", target=target)
+    again = refresh.stream_upsert(stream, ["user_id"], ["ts", "event_id"], target=target)
     assert rows(again.select("user_id", "v")) == [(7, 3.0), (8, 4.0)]
 
 
+def test_stream_upsert_keeps_late_rows_and_drops_old_files(spark, rows, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    stream = _stream(spark, tmp_path / "in", [
+        [(1, at(20), 7, 1.0)], [(2, at(2), 9, 2.0), (3, at(1), 7, 3.0)], [(4, at(21), 7, 4.0)], [(5, at(3), 5, 5.0)], [(5, at(3), 5, 5.0)]])
+    target = tmp_path / "snap"
+    final = refresh.stream_upsert(stream, ["user_id"], ["ts", "event_id"], target=str(target), buckets=2)
+    assert rows(final.select("user_id", "v")) == [(5, 5.0), (7, 4.0), (9, 2.0)]  # 9 came 18 days late, under a new key
+    assert len(list((target / "manifest").glob("v*"))) == 2
+
+
 def test_late_rows_do_not_count(spark, rows, tmp_path):
     day = lambda d, h=1: dt.datetime(2024, 1, d, h)
     stream = _stream(spark, tmp_path / "in", [

@@ -12,7 +12,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpulse.functions.numeric import tie_safe
@@ -21,10 +21,7 @@ from textpulse.operators.weights import idf
 MAX_TOPICS = 400
 TERMS_PER_TOPIC = 5
 TOPICS_PER_DOC = 10
-# The model (vocabulary and V x k loadings) is held by the driver, as in every Spark ML estimator.
-MAX_MODEL_TERMS = 20_000
-GRAM_TERMS = 4_096  # 128 MB as doubles
-RANK_TOLERANCE = 1e-12  # on squared singular values
+SCORED_DOCS = 256  # multiplied at once: 256 documents of 100 terms and 400 topics are 80 MB
 
 _TOPICS = "topic_id int, sigma double"
 _COMPONENTS = "topic_id int, term string, weight double"
@@ -44,11 +41,9 @@ def tfidf_vectors(tokenized: DataFrame, vocab: DataFrame, n_docs: Column, key: s
     """One sparse TF-IDF vector per document, built where the document lies: no shuffle.
 
     The vocabulary obeys a relative document-frequency rule, which bounds its size by the mean document length and not
-    by the number of documents; a larger one than the driver should hold is refused rather than cut.
+    by the number of documents. The driver holds it, as in every Spark ML model of words.
     """
-    rows = idf(vocab, n_docs).orderBy("term").take(MAX_MODEL_TERMS + 1)
-    if len(rows) > MAX_MODEL_TERMS:
-        raise ValueError(f"more than {MAX_MODEL_TERMS} terms: raise min_df or lower max_df")
+    rows = idf(vocab, n_docs).orderBy("term").collect()
     terms = [r["term"] for r in rows]
     if not terms:
         return tokenized.select(key, "grp"), terms
@@ -60,25 +55,11 @@ def tfidf_vectors(tokenized: DataFrame, vocab: DataFrame, n_docs: Column, key: s
     return stages.transform(tokenized).select(key, "grp", "features"), terms
 
 
-def _right_singular(matrix: RowMatrix, n_terms: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(sigma, V)`` of the ``k`` largest singular values.
-
-    Up to ``GRAM_TERMS`` terms, one pass over the documents sums the terms' Gram matrix, whose eigenvectors are V.
-    Above, the matrix would be too large to hold and the Lanczos solver passes over the documents repeatedly.
-    """
-    if n_terms <= GRAM_TERMS:
-        values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        keep = np.arange(n_terms)[::-1][:k]
-        keep = keep[values[keep] > RANK_TOLERANCE * values[-1]]
-        return np.sqrt(values[keep]), vectors[:, keep]
-    svd = matrix.computeSVD(k, computeU=False)
-    return svd.s.toArray(), svd.V.toArray()
-
-
 def svd_topics(vectors: DataFrame, terms: list[str], k: int = MAX_TOPICS, key: str = "doc_id") -> TopicModel:
     """The ``k`` strongest topics (at most one per term), each signed so that its largest loading is positive.
 
-    ``vectors`` are read by the solver and again for the scores, so persist them first.
+    ``vectors`` are read by the solver and again for the scores, so store them first. The driver holds the V x k loadings, which
+    the solver returns there; components and scores are made of their broadcast by tasks.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
@@ -86,17 +67,30 @@ def svd_topics(vectors: DataFrame, terms: list[str], k: int = MAX_TOPICS, key: s
         return TopicModel(*[spark.createDataFrame([], s) for s in (
             _TOPICS, _COMPONENTS, f"{key} {kind}, grp string, topic_id int, score double")])
     matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"), numCols=len(terms))
-    sigma, loadings = _right_singular(matrix, len(terms), min(k, len(terms)))
+    svd = matrix.computeSVD(min(k, len(terms)), computeU=False)
+    sigma, loadings = svd.s.toArray(), svd.V.toArray()
     largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
     loadings = loadings * np.where(largest < 0, -1.0, 1.0)
-
     topics = spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], _TOPICS)
-    components = spark.createDataFrame(
-        [(i, t, float(w)) for i in range(len(sigma)) for t, w in zip(terms, loadings[:, i])],
-        _COMPONENTS)
+    components = _components(spark, terms, loadings)
     return TopicModel(topics, components, document_scores(vectors, loadings, key))
 
 
+def _components(spark: SparkSession, terms: list[str], loadings: np.ndarray) -> DataFrame:
+    """``(topic_id, term, weight)``: a map over the numbers of the terms, with terms and loadings broadcast."""
+    shared = spark.sparkContext.broadcast((np.array(terms, dtype=object), loadings))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, weights = shared.value
+        k = weights.shape[1]
+        for pdf in batches:
+            at = pdf["id"].to_numpy()
+            yield pd.DataFrame({"topic_id": np.tile(np.arange(k, dtype="int32"), len(at)), "term": np.repeat(names[at], k),
+                                "weight": weights[at].ravel()})
+
+    return spark.range(len(terms)).mapInPandas(rows, _COMPONENTS)
+
+
 def document_scores(vectors: DataFrame, loadings: np.ndarray, key: str = "doc_id") -> DataFrame:
     """Each document's vector times V, one row per topic: a map over Arrow batches, without a shuffle."""
     shared = vectors.sparkSession.sparkContext.broadcast(loadings)
@@ -104,9 +98,15 @@ def document_scores(vectors: DataFrame, loadings: np.ndarray, key: str = "doc_id
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             # A vector column arrives as its parts; sparse ones name the positions of their values.
-            scores = [v["values"] @ (shared.value if v["indices"] is None else shared.value[v["indices"]])
-                      for v in pdf["features"]]
-            yield pd.DataFrame({key: pdf[key], "grp": pdf["grp"], "_scores": scores})
+            parts = [(np.arange(len(v["values"])) if v["indices"] is None else v["indices"], v["values"]) for v in pdf["features"]]
+            scores = np.zeros((len(parts), shared.value.shape[1]))
+            used = np.array([i for i, (at, _) in enumerate(parts) if len(at)], dtype=int)
+            for lo in range(0, len(used), SCORED_DOCS):
+                some = used[lo:lo + SCORED_DOCS]
+                starts = np.cumsum([0, *(len(parts[i][0]) for i in some[:-1])])
+                at, values = (np.concatenate([parts[i][j] for i in some]) for j in (0, 1))
+                scores[some] = np.add.reduceat(shared.value[at] * values[:, None], starts, axis=0)
+            yield pd.DataFrame({key: pdf[key], "grp": pdf["grp"], "_scores": list(scores)})
 
     kind = vectors.schema[key].dataType.simpleString()
     wide = vectors.select(key, "grp", "features").mapInPandas(project, f"{key} {kind}, grp string, _scores array<double>")

@@ -15,7 +15,14 @@ from textpulse.functions import text
 from textpulse.functions.stopwords import ENGLISH, WITH_EXTRA
 from textpulse.operators import assoc, clean, distance, ranks, terms, topics, trends, vocab, weights
 from textpulse.session import spread
-from textpulse.sources import store
+from textpulse.sources import items, store
+
+
+def flatten(raw: DataFrame, out: str, key: str = "doc_id", column: str = "json") -> DataFrame:
+    """Flat items of raw documents; those that cannot be placed are kept, with key and text, in ``out/quarantine``."""
+    parsed = items.parse_items(raw, column, keep=(key, column))
+    _save(items.malformed_items(parsed).select(key, F.col(column).alias("raw")), f"{out}/quarantine")
+    return items.flatten_items(parsed)
 
 
 def corpus(items: DataFrame, sep: str = "\n") -> DataFrame:

@@ -81,6 +81,8 @@ VIEWS = {
     "tf": f"""SELECT doc_id, grp, day, term, count(*) AS tf FROM tok
         WHERE term NOT IN ({STOP}) AND term NOT IN (SELECT term FROM boil) GROUP BY ALL""",
     "st": "SELECT grp, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY ALL",
+    "st2": f"""SELECT grp, term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, grp, unnest(regexp_extract_all(lower(text), {W2}))
+        AS term FROM d) GROUP BY ALL""",
     "v": f"""SELECT term, CAST(sum(df) AS BIGINT) AS df, CAST(sum(cf) AS BIGINT) AS cf FROM st GROUP BY term
         HAVING count(*) FILTER (df >= 5) >= 2 AND sum(df) >= 10 AND sum(df) <= 0.5 * {N}
         ORDER BY sum(cf) DESC, term LIMIT 1000""",
@@ -135,6 +137,58 @@ VIEWS = {
         quality AS score FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels) JOIN documents USING (doc_id)""",
     "lg": "SELECT topic_id, grp, count(*) AS n, avg(score) AS mean, var_samp(score) AS var FROM ls GROUP BY ALL",
     "lp": "SELECT topic_id, sum(n) - count(*) AS df, sum((n - 1) * coalesce(var, 0)) AS ss FROM lg GROUP BY topic_id",
+    # Tukey's test by quadrature: normal distribution by Simpson's rule, range of k normals on a grid of widths (0.01),
+    # read between grid points by cubic interpolation, and mixed over the density of the pooled deviation.
+    "es": """SELECT vec_id AS doc_id, CAST(label AS VARCHAR) AS grp, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS topic_id,
+        CAST(unnest(embedding) AS DOUBLE) AS score FROM embeddings""",
+    "et": "SELECT topic_id, sqrt(sum(score * score)) AS sigma FROM es GROUP BY topic_id",
+    "eg": "SELECT topic_id, grp, count(*) AS n, avg(score) AS mean, var_samp(score) AS var FROM es GROUP BY ALL",
+    "ep": "SELECT topic_id, sum(n) - count(*) AS df, sum((n - 1) * coalesce(var, 0)) AS ss FROM eg GROUP BY topic_id",
+    "kd": """SELECT DISTINCT k, df FROM (SELECT count(*) AS k, sum(n) - count(*) AS df FROM lg GROUP BY topic_id
+        UNION ALL SELECT count(*), sum(n) - count(*) FROM eg GROUP BY topic_id)""",
+    "phi": """SELECT i, x, d, sum(step) OVER (ORDER BY i) - step AS c FROM (SELECT i, x, exp(-x * x / 2) / sqrt(2 * pi()) AS d,
+        (exp(-x * x / 2) + 4 * exp(-(x + 0.5e-2) * (x + 0.5e-2) / 2) + exp(-(x + 1e-2) * (x + 1e-2) / 2)) * 1e-2 / 6 / sqrt(2 * pi()) AS step
+        FROM (SELECT i, CAST(i AS DOUBLE) / 100 AS x FROM (SELECT unnest(range(-2900, 851)) AS i)))""",
+    "rg": """SELECT k, j, sum(CAST(k AS DOUBLE) * 1e-2 * a.d * pow(a.c - b.c, k - 1)) AS r FROM (SELECT DISTINCT k FROM kd)
+        CROSS JOIN (SELECT unnest(range(0, 2003)) AS j) JOIN phi a ON a.i BETWEEN -850 AND 850 JOIN phi b ON b.i = a.i - j GROUP BY k, j""",
+    "sd": """SELECT k, df, s, f / sum(f) OVER (PARTITION BY k, df) AS f FROM (SELECT k, df, s, exp((df - 1) * ln(s) - df * s * s / 2
+        - (df - 1) * ln(1.0) + df / 2.0) AS f FROM (SELECT k, df, 1 + 9 / sqrt(2.0 * df) * i / 60 AS s FROM kd
+        CROSS JOIN (SELECT unnest(range(-60, 61)) AS i)) WHERE s > 0)""",
+    "qs": """SELECT DISTINCT k, df, q FROM (SELECT x.topic_id, count(*) OVER (PARTITION BY x.topic_id, x.grp, y.grp) AS o, kk.k, df,
+        abs(y.mean - x.mean) / nullif(sqrt(ss / df / 2 * (1 / x.n + 1 / y.n)), 0) AS q FROM lg x JOIN lg y ON x.topic_id = y.topic_id
+        AND x.grp < y.grp JOIN lp ON lp.topic_id = x.topic_id JOIN (SELECT topic_id, count(*) AS k FROM lg GROUP BY topic_id) kk
+        ON kk.topic_id = x.topic_id) UNION ALL SELECT k, df, CAST(i AS DOUBLE) / 100 FROM kd CROSS JOIN (SELECT unnest(range(1, 1200)) AS i)""",
+    "rc": """SELECT k, j, lag(r) OVER w AS r0, r AS r1, lead(r) OVER w AS r2, lead(r, 2) OVER w AS r3 FROM rg WINDOW w AS (PARTITION BY k ORDER BY j)""",
+    "tail": """SELECT k, df, q, 1 - sum(f * CASE WHEN q * s >= 20 THEN 1 ELSE -t * (t - 1) * (t - 2) / 6 * r0
+        + (t + 1) * (t - 1) * (t - 2) / 2 * r1 - (t + 1) * t * (t - 2) / 2 * r2 + (t + 1) * t * (t - 1) / 6 * r3 END) AS p
+        FROM (SELECT k, df, q, s, f, least(greatest(CAST(floor(q * s * 100) AS BIGINT), 1), 2000) AS j,
+            q * s * 100 - least(greatest(CAST(floor(q * s * 100) AS BIGINT), 1), 2000) AS t FROM qs JOIN sd USING (k, df)
+            WHERE q IS NOT NULL) JOIN rc USING (k, j) GROUP BY k, df, q""",
+    # The critical value, by cubic interpolation of q as a function of the tail around 0.05.
+    "crit": """SELECT k, df, sum(q * (CASE n WHEN 1 THEN (y - p2) * (y - p3) * (y - p4) / ((p1 - p2) * (p1 - p3) * (p1 - p4))
+        WHEN 2 THEN (y - p1) * (y - p3) * (y - p4) / ((p2 - p1) * (p2 - p3) * (p2 - p4))
+        WHEN 3 THEN (y - p1) * (y - p2) * (y - p4) / ((p3 - p1) * (p3 - p2) * (p3 - p4))
+        ELSE (y - p1) * (y - p2) * (y - p3) / ((p4 - p1) * (p4 - p2) * (p4 - p3)) END)) AS crit FROM (
+        SELECT *, 0.5e-1 AS y, max(p) FILTER (n = 1) OVER w AS p1, max(p) FILTER (n = 2) OVER w AS p2, max(p) FILTER (n = 3) OVER w AS p3,
+            max(p) FILTER (n = 4) OVER w AS p4 FROM (SELECT k, df, q, p, row_number() OVER (PARTITION BY k, df ORDER BY q) AS n FROM (
+            SELECT t.k, t.df, t.q, t.p FROM tail t JOIN (SELECT k, df, max(q) AS q0 FROM tail WHERE p > 0.5e-1
+                AND abs(q * 100 - round(q * 100)) < 1e-7 GROUP BY k, df) z ON z.k = t.k AND z.df = t.df
+            WHERE abs(t.q * 100 - round(t.q * 100)) < 1e-7 AND t.q > q0 - 0.15e-1 AND t.q < q0 + 0.25e-1))
+        WINDOW w AS (PARTITION BY k, df)) GROUP BY k, df""",
+    # components out of the groups' weights
+    "gt": """SELECT CAST(substring(grp, 4) AS INTEGER) AS topic_id, term, sum(w) AS weight FROM w GROUP BY ALL""",
+    "gl": """SELECT topic_id, term, weight, CAST(least(5, count(*) OVER (PARTITION BY topic_id)) - rn + 1 AS INTEGER) AS pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) AS rn FROM gt) WHERE rn <= 5""",
+    "top": """SELECT doc_id, grp, topic_id, score, CAST(rn AS INTEGER) AS pos FROM (SELECT doc_id, grp, topic_id, score * sigma AS score,
+        row_number() OVER (PARTITION BY doc_id ORDER BY round(score * sigma, 9) DESC, topic_id) AS rn FROM es JOIN et USING (topic_id))
+        WHERE rn <= 10""",
+    # vectors of the topics: ascii tokens of the common vocabulary, pruned
+    "tv": f"""SELECT term, sum(df) AS df FROM (SELECT grp, term, count(*) AS df FROM ascii WHERE term NOT IN ({STOP_EN}) GROUP BY ALL)
+        JOIN size USING (grp) WHERE df >= 2 AND df <= CAST(0.3 AS DOUBLE) * n GROUP BY term
+        HAVING count(*) = (SELECT count(DISTINCT source) FROM documents) AND sum(df) >= CAST(0.005 AS DOUBLE) * {N}""",
+    "tx": f"""SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, term,
+        tf * (ln((1 + {N}) / (1 + df)) + 1) AS x FROM ascii JOIN tv USING (term))""",
+    "tg": "SELECT sum(a.x * b.x) AS s FROM tx a JOIN tx b USING (doc_id) GROUP BY a.term, b.term",
     "lim": "SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 40 AS step FROM events",
 }
 
@@ -175,8 +229,10 @@ def _counts(pattern: str, where: str = "TRUE", name: str = "n") -> str:
 BODIES = {
     "items_flatten": "SELECT * FROM i",
     "group_lookup": "SELECT item_id, grp_id, grp FROM i LEFT JOIN dict USING (grp_id)",
-    "ingest_recent": """SELECT event_id, ts, event_type FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-17'
+    "ingest_recent": """SELECT event_id, ts, event_type, TIMESTAMP '2024-01-31' AS loaded_at FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-17'
         AND ts <= TIMESTAMP '2024-01-31' ORDER BY ts DESC, event_id LIMIT 50""",
+    "malformed_items": "SELECT doc_id, TRUE AS has_raw FROM documents WHERE doc_id % 11 = 3 OR doc_id % 13 = 5",
+    "append_rows": "SELECT doc_id, quality, toxic FROM labels",
     "items_with_parent": "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "csv_source": "SELECT doc_id, quality, toxic FROM labels",
     "csv_roundtrip": "SELECT doc_id, source, text FROM documents",
@@ -188,7 +244,7 @@ BODIES = {
     "page_content": f"""SELECT page_id, {_plain("regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)")} AS content
         FROM pages WHERE regexp_matches(html, '<article')""",
     "page_links": """SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS link FROM (
-        SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)""",
+        SELECT page_id, regexp_extract_all(html, '<li><a [^>]*href="([^"]*)"', 1) AS l FROM pages)""",
     "failed_page_filter": f"""SELECT page_id FROM (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'error: {FAILED_MARKER}'
         WHEN page_id % 25 <> 1 THEN html END AS text FROM pages)
         WHERE NOT coalesce(regexp_matches(text, '{FAILED_PATTERN}'), FALSE)""",
@@ -218,8 +274,8 @@ BODIES = {
         WHERE term IN (SELECT term FROM st WHERE df >= 5 GROUP BY term HAVING count(*) >= 2) GROUP BY doc_id) USING (doc_id)""",
     "ngrams_1_2": "SELECT doc_id, term, tf AS n FROM ng",
     "term_counts": _counts(A2, name="tf"),
-    "vocab_per_group": "SELECT grp, term, df FROM st WHERE df >= 5",
-    "vocab_shared": "SELECT term, count(*) AS n_groups FROM st WHERE df >= 5 GROUP BY term HAVING count(*) >= 2",
+    "vocab_per_group": "SELECT grp, term, df FROM st2 WHERE df >= 5",
+    "vocab_shared": "SELECT term, count(*) AS n_groups FROM st2 WHERE df >= 5 GROUP BY term HAVING count(*) >= 2",
     "vocab_common": f"""SELECT term FROM (SELECT grp, term, count(*) AS df FROM ascii WHERE term NOT IN ({STOP_EN}) GROUP BY ALL)
         JOIN size USING (grp) WHERE df >= 2 AND df <= CAST(0.3 AS DOUBLE) * n GROUP BY term
         HAVING count(*) = (SELECT count(DISTINCT source) FROM documents)""",
@@ -253,10 +309,30 @@ BODIES = {
         count(*) OVER (PARTITION BY word) AS word_degree FROM edge WHERE term IN (SELECT term FROM g1st)""",
     "pivot_term_vector": f"""SELECT grp, word, round(coalesce(dist, 0), 6) + 0.0 AS dist FROM (SELECT DISTINCT grp FROM near)
         CROSS JOIN (SELECT DISTINCT word FROM near) LEFT JOIN near USING (grp, word)""",
-    "topic_group_diff": f"""SELECT topic_id, g1, g2, {_r('meandiff')}, {_r('se')}, {_r('abs(meandiff) / nullif(se, 0)', 'q')} FROM (
-        SELECT x.topic_id, x.grp AS g1, y.grp AS g2, y.mean - x.mean AS meandiff,
-        sqrt(ss / df / 2 * (1 / x.n + 1 / y.n)) AS se FROM lg x JOIN lg y ON x.topic_id = y.topic_id AND x.grp < y.grp
-        JOIN lp ON lp.topic_id = x.topic_id)""",
+    "svd_energy": f"""SELECT {_r('(SELECT sum(x * x) FROM tx)', 'squares')}, round((SELECT sum(s * s) FROM tg), 3) AS fourths,
+        {_r('(SELECT sum(x * x) FROM tx)', 'score_squares')}""",
+    "svd_residual": "SELECT CAST(0 AS DOUBLE) AS skew, CAST(0 AS DOUBLE) AS gap",
+    "topic_terms": f"SELECT topic_id, term, {_r('weight')}, pos FROM gl",
+    "topics_with_term": f"""SELECT topic_id, term, {_r('weight')} FROM gl WHERE term = (SELECT term FROM gl GROUP BY term
+        ORDER BY count(*) DESC, term LIMIT 1)""",
+    "topic_rows": f"""SELECT topic_id, term, {_r('weight', 'value')}, {_r('sigma')} FROM gl
+        JOIN (SELECT topic_id, sqrt(sum(weight * weight)) AS sigma FROM gt GROUP BY topic_id) USING (topic_id)""",
+    "topic_composition": f"SELECT topic_id, term, {_r('weight / sum(weight) OVER (PARTITION BY topic_id)', 'share')} FROM gl",
+    "topic_labels": "SELECT topic_id, string_agg(term, '-' ORDER BY pos) AS label FROM gl GROUP BY topic_id",
+    "topic_scores": f"SELECT doc_id, grp, topic_id, {_r('score')}, {_r('sigma')} FROM es JOIN et USING (topic_id) WHERE topic_id = 3",
+    "doc_top_topics": f"SELECT doc_id, grp, topic_id, {_r('score')}, pos FROM top",
+    "topic_top_docs": f"""SELECT doc_id, topic_id, {_r('score')} FROM top WHERE topic_id = 0 ORDER BY round(top.score, 9) DESC, doc_id LIMIT 10""",
+    "topic_group_diff": f"""SELECT topic_id, g1, g2, {_r('meandiff')}, {_r('se')}, {_r('o.q', 'q')}, round(p, 4) AS p_adj,
+        round(meandiff - crit * se, 4) AS lower, round(meandiff + crit * se, 4) AS upper, coalesce(o.q > crit, FALSE) AS reject FROM (
+        SELECT *, abs(meandiff) / nullif(se, 0) AS q FROM (SELECT x.topic_id, x.grp AS g1, y.grp AS g2, y.mean - x.mean AS meandiff,
+        sqrt(ss / df / 2 * (1 / x.n + 1 / y.n)) AS se, kk.k, df FROM lg x JOIN lg y ON x.topic_id = y.topic_id AND x.grp < y.grp
+        JOIN lp ON lp.topic_id = x.topic_id JOIN (SELECT topic_id, count(*) AS k FROM lg GROUP BY topic_id) kk ON kk.topic_id = x.topic_id)) o
+        LEFT JOIN crit ON crit.k = o.k AND crit.df = o.df LEFT JOIN tail ON tail.k = o.k AND tail.df = o.df AND tail.q = o.q""",
+    "topic_group_distance": f"""SELECT topic_id, g1, g2, {_r('CASE WHEN abs(meandiff) > crit * se THEN abs(meandiff) * sigma ELSE 0 END', 'dist')}
+        FROM (SELECT x.topic_id, x.grp AS g1, y.grp AS g2, y.mean - x.mean AS meandiff, sqrt(ss / df / 2 * (1 / x.n + 1 / y.n)) AS se, kk.k, df
+        FROM eg x JOIN eg y ON x.topic_id = y.topic_id AND x.grp < y.grp JOIN ep ON ep.topic_id = x.topic_id
+        JOIN (SELECT topic_id, count(*) AS k FROM eg GROUP BY topic_id) kk ON kk.topic_id = x.topic_id) o
+        JOIN crit ON crit.k = o.k AND crit.df = o.df JOIN et USING (topic_id)""",
     "score_density": f"""SELECT grp, bin, {_r('c / sum(c) OVER (PARTITION BY grp) / step', 'density')} FROM (
         SELECT event_type AS grp, CAST(least(floor((value - lo) / step), 39) AS INTEGER) AS bin, any_value(step) AS step, count(*) AS c
         FROM events CROSS JOIN lim GROUP BY 1, 2)""",

@@ -163,6 +163,16 @@ def items_flatten(spark, folder):
     return _items(spark, folder)
 
 
+@query
+def malformed_items(spark, folder):
+    """Some texts are cut off and some dates are no dates; key and raw text survive."""
+    broken = F.when(F.col("doc_id") % 11 == 3, F.left("json", F.length("json") - 1)).when(
+        F.col("doc_id") % 13 == 5, F.regexp_replace("json", '"publishedAt":"', '"publishedAt":"about ')).otherwise(F.col("json"))
+    raw = corpora.item_documents(spark, folder).select("doc_id", broken.alias("json"))
+    kept = items.malformed_items(items.parse_items(raw, keep=("doc_id", "json")))
+    return kept.select("doc_id", F.contains("json", F.concat(F.lit('"id":"v'), F.col("doc_id").cast("string"), F.lit('"'))).alias("has_raw"))
+
+
 @query
 def group_lookup(spark, folder):
     return items.group_lookup(_items(spark, folder), _dictionary(spark, folder)).select("item_id", "grp_id", "grp")
@@ -171,7 +181,7 @@ def group_lookup(spark, folder):
 @query
 def ingest_recent(spark, folder):
     events = corpora.table(spark, folder, "events").where("event_type = 'click'")
-    return items.ingest_recent(events, AS_OF, days=14, limit=50).select("event_id", "ts", "event_type")
+    return items.ingest_recent(events, AS_OF, days=14, limit=50).select("event_id", "ts", "event_type", "loaded_at")
 
 
 @query
@@ -205,6 +215,15 @@ def term_read(spark, folder):
     return store.read_terms(spark, path, wanted).select("day", "grp", "term", r6("mean_prop"))
 
 
+@query
+def append_rows(spark, folder):
+    path = shared_dir(spark, "appended")
+    labels = corpora.table(spark, folder, "labels")
+    store.append(labels.where("toxic = 0"), path)
+    store.append(labels.where("toxic <> 0"), path)
+    return spark.read.schema(labels.schema).parquet(path)
+
+
 @query
 def upsert_latest(spark, folder):
     events = corpora.table(spark, folder, "events").select("user_id", "event_type", "value", "ts", "event_id")
@@ -230,7 +249,7 @@ def page_content(spark, folder):
 
 @query
 def page_links(spark, folder):
-    return pages.page_links(corpora.table(spark, folder, "pages"))
+    return pages.page_links(spread(corpora.table(spark, folder, "pages"), "page_id"), "ul > li > a")
 
 
 @query
@@ -366,14 +385,20 @@ def term_counts(spark, folder):
     return _counted(spark, folder, text.ascii_tokens).withColumnRenamed("n", "tf")
 
 
+def _plain_stats(spark, folder):
+    """Of the text as it is: tokens of two characters or more, nothing taken out."""
+    docs = corpora.documents(spark, folder).drop("day")
+    return vocab.group_term_stats(terms.term_counts(terms.tokenize(docs, lambda t: text.word_tokens(t, 2))))
+
+
 @query
 def vocab_per_group(spark, folder):
-    return vocab.vocab_per_group(Main(spark, folder).stats)
+    return vocab.vocab_per_group(_plain_stats(spark, folder))
 
 
 @query
 def vocab_shared(spark, folder):
-    return vocab.vocab_shared(vocab.vocab_per_group(Main(spark, folder).stats))
+    return vocab.vocab_shared(vocab.vocab_per_group(_plain_stats(spark, folder)))
 
 
 def _common(spark, folder):
@@ -537,11 +562,6 @@ def _model(spark, folder):
     return topics.svd_topics(stored(vectors, "topic-vectors"), words)
 
 
-def _topic_terms(spark, folder):
-    model = _model(spark, folder)
-    return topics.topic_terms(model.components), model.topics
-
-
 @query
 def svd_topics(spark, folder):
     return _model(spark, folder).topics.select("topic_id", r6("sigma"))
@@ -557,38 +577,89 @@ def doc_topic_scores(spark, folder):
     return _model(spark, folder).scores.select("doc_id", "topic_id", r6("score"))
 
 
+@query
+def svd_energy(spark, folder):
+    """Sums over the topics, and over the scores of the documents, that the vectors alone determine if all topics are kept."""
+    model = _model(spark, folder)
+    of_scores = model.scores.agg(F.sum(F.col("score") * F.col("score")).alias("e"))
+    square = F.col("sigma") * F.col("sigma")
+    return model.topics.agg(r6(F.sum(square), "squares"), F.round(F.sum(square * square), 3).alias("fourths"),
+                            r6(of_scores.scalar(), "score_squares"))
+
+
+@query
+def svd_residual(spark, folder):
+    """How far the topics are from being orthonormal, and the squared scores of a topic from its sigma squared: both 0."""
+    model = _model(spark, folder)
+    parts = stored(model.components, "components")
+    left = parts.select(F.col("topic_id").alias("i"), "term", F.col("weight").alias("x"))
+    products = left.join(parts.select(F.col("topic_id").alias("j"), "term", F.col("weight").alias("y")), "term").groupBy("i", "j").agg(
+        F.sum(F.col("x") * F.col("y")).alias("s"))
+    skew = products.agg(F.max(F.abs(F.col("s") - (F.col("i") == F.col("j")).cast("double"))).alias("skew"))
+    sums = model.scores.groupBy("topic_id").agg(F.sum(F.col("score") * F.col("score")).alias("e")).join(model.topics, "topic_id")
+    gap = sums.agg(F.max(F.abs(F.col("e") - F.col("sigma") * F.col("sigma"))).alias("gap"))
+    return skew.select(r6("skew"), r6(gap.scalar(), "gap"))
+
+
+# The read side of the topics works on any tables of scores and components. These can be built in SQL as well: the positions
+# of the embeddings are topics and their values scores; the groups' summed weights of terms are components.
+
+
+def _scores(spark, folder):
+    vectors = corpora.table(spark, folder, "embeddings")
+    return vectors.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("grp"),
+                          F.posexplode(F.col("embedding").cast("array<double>")).alias("topic_id", "score"))
+
+
+def _score_topics(spark, folder):
+    return _scores(spark, folder).groupBy("topic_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("sigma"))
+
+
+def _group_terms(spark, folder):
+    """Components and topics of the groups, and the term lists made of them."""
+    rows = Main(spark, folder).weights.select(F.substring("grp", 4, 9).cast("int").alias("topic_id"), "term", "w")
+    parts = rows.groupBy("topic_id", "term").agg(F.sum("w").alias("weight"))
+    found = parts.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("sigma"))
+    return topics.topic_terms(stored(parts, "group-terms")), found
+
+
 @query
 def topic_terms(spark, folder):
-    return _topic_terms(spark, folder)[0].select("topic_id", "term", r6("weight"), "pos")
+    return _group_terms(spark, folder)[0].select("topic_id", "term", r6("weight"), "pos")
 
 
 @query
 def topics_with_term(spark, folder):
-    listed, _ = _topic_terms(spark, folder)
+    listed, _ = _group_terms(spark, folder)
     held = listed.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(1)
     return topics.topics_with_term(listed, held).select("topic_id", "term", r6("weight"))
 
 
 @query
 def topic_rows(spark, folder):
-    rows = topics.topic_rows(topics.encode_topics(*_topic_terms(spark, folder)))
+    rows = topics.topic_rows(topics.encode_topics(*_group_terms(spark, folder)))
     return rows.select("topic_id", "term", r6("value"), r6("sigma"))
 
 
 @query
 def topic_composition(spark, folder):
-    rows = topics.topic_rows(topics.encode_topics(*_topic_terms(spark, folder)))
+    rows = topics.topic_rows(topics.encode_topics(*_group_terms(spark, folder)))
     return topics.topic_composition(rows).select("topic_id", "term", r6("share"))
 
 
 @query
 def topic_labels(spark, folder):
-    return topics.topic_labels(_topic_terms(spark, folder)[0])
+    return topics.topic_labels(_group_terms(spark, folder)[0])
+
+
+@query
+def topic_scores(spark, folder):
+    one = topics.scores_of_topic(_scores(spark, folder), _score_topics(spark, folder), 3)
+    return one.select("doc_id", "grp", "topic_id", r6("score"), r6("sigma"))
 
 
 def _top_topics(spark, folder):
-    model = _model(spark, folder)
-    return topics.doc_top_topics(topics.sigma_weighted(model.scores, model.topics))
+    return topics.doc_top_topics(topics.sigma_weighted(_scores(spark, folder), _score_topics(spark, folder)))
 
 
 @query
@@ -610,14 +681,14 @@ def _label_scores(spark, folder):
 @query
 def topic_group_diff(spark, folder):
     pairs = compare.topic_group_diff(_label_scores(spark, folder))
-    return pairs.select("topic_id", "g1", "g2", r6("meandiff"), r6("se"), r6("q"))
+    return pairs.select("topic_id", "g1", "g2", r6("meandiff"), r6("se"), r6("q"), F.round("p_adj", 4).alias("p_adj"),
+                        F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"), "reject")
 
 
 @query
 def topic_group_distance(spark, folder):
-    model = _model(spark, folder)
-    return compare.topic_group_distance(compare.topic_group_diff(model.scores), model.topics).select(
-        "topic_id", "g1", "g2", r6("dist"))
+    gaps = compare.topic_group_diff(_scores(spark, folder))
+    return compare.topic_group_distance(gaps, _score_topics(spark, folder)).select("topic_id", "g1", "g2", r6("dist"))
 
 
 @query
@@ -650,9 +721,13 @@ def json_field_extract(spark, folder):
 
 @query
 def stream_upsert(spark, folder):
-    stream = refresh.stream_table(spark, folder, "events").select("user_id", "event_type", "value", "ts", "event_id")
-    return refresh.stream_upsert(stream, ["user_id"], ["ts", "event_id"], "event_id").select(
-        "user_id", "event_type", "value")
+    """Several deliveries: the newest rows first, then the oldest, then the others, and some of them twice."""
+    events = corpora.table(spark, folder, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    path = shared_dir(spark, "deliveries")
+    for part in ("ts >= '2024-01-21'", "ts < '2024-01-06'", "ts >= '2024-01-06' AND ts < '2024-01-21'", "ts < '2024-01-03'"):
+        store.append(events.where(part), f"{path}/events.parquet")
+    stream = refresh.stream_table(spark, path, "events", files_per_batch=1)
+    return refresh.stream_upsert(stream, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value")
 
 
 @query

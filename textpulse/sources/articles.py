@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METADATA_SCHEMA = "Url STRING, Source STRING, Bias STRING, Quality STRING"
@@ -15,13 +15,34 @@ _CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "lineSep"
         "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = METADATA_SCHEMA) -> DataFrame:
-    """Delimited text with a header and an explicit schema; quoted fields may span lines."""
-    return spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str = METADATA_SCHEMA, multiline: bool = False) -> DataFrame:
+    """Delimited text with a header and an explicit schema, as ``write_csv`` leaves it: one line per row, so files split.
+
+    ``multiline`` is for files of others whose quoted fields span lines; each is one task then, and nothing is unescaped.
+    """
+    rows = spark.read.schema(schema).options(**_CSV, multiLine=multiline).csv(path)
+    return rows if multiline else rows.select(*[_unescaped(f.name).alias(f.name) if f.dataType.typeName() == "string" else f.name
+                                                for f in rows.schema.fields])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**_CSV, quoteAll=True).csv(path)
+    """Line breaks and backslashes inside strings are escaped, so that a row is a line."""
+    lines = df.select(*[_escaped(f.name).alias(f.name) if f.dataType.typeName() == "string" else f.name for f in df.schema.fields])
+    lines.write.mode("overwrite").options(**_CSV, quoteAll=True).csv(path)
+
+
+def _escaped(name: str) -> Column:
+    out = F.col(name)
+    for plain, code in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")):
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return out
+
+
+def _unescaped(name: str) -> Column:
+    """Double backslashes part the pieces in which the other codes are read."""
+    pieces = F.transform(F.split(name, r"\\\\", -1), lambda p: F.replace(
+        F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(pieces, "\\")
 
 
 def without_failed_pages(articles: DataFrame, text: str = "text", pattern: str = FAILED_PATTERN) -> DataFrame:

@@ -24,13 +24,13 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ITEM_SCHEMA).json(path)
 
 
-def parse_items(raw: DataFrame, column: str = "json") -> DataFrame:
-    """Item documents kept as JSON text in a table column.
+def parse_items(raw: DataFrame, column: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Item documents kept as JSON text in a table column; ``keep`` names columns that stay beside the parsed fields.
 
     The generator yields one row per text. It keeps later filters on the fields above it; as plain columns they would
     be pushed down and every text parsed once per field they name.
     """
-    return raw.select(F.inline_outer(F.array(F.from_json(column, ITEM_SCHEMA))))
+    return raw.select(*keep, F.inline_outer(F.array(F.from_json(column, ITEM_SCHEMA))))
 
 
 def _entry(list_kind: str) -> Column:
@@ -43,9 +43,10 @@ def _with_entry(docs: DataFrame, list_kind: str) -> DataFrame:
 
 
 def _well_formed() -> Column:
-    """The fields without which an item cannot be placed: kind, an entry with an id and snippet, and a playlist."""
+    """What an item cannot be placed without: kind, an entry with an id and snippet, a playlist, a readable date if any."""
+    written = F.col("entry.snippet.publishedAt")
     return (F.col("kind").isNotNull() & F.col("entry.id").isNotNull() & F.col("entry.snippet").isNotNull()
-            & F.col("playlist").isNotNull())
+            & F.col("playlist").isNotNull() & (written.isNull() | F.try_to_timestamp(written).isNotNull()))
 
 
 def flatten_items(docs: DataFrame, list_kind: str = LIST_KIND, url_prefix: str = URL_PREFIX) -> DataFrame:
@@ -63,7 +64,10 @@ def flatten_items(docs: DataFrame, list_kind: str = LIST_KIND, url_prefix: str =
 
 
 def malformed_items(docs: DataFrame, list_kind: str = LIST_KIND) -> DataFrame:
-    """The documents that ``flatten_items`` leaves out, for a quarantine table."""
+    """The documents that ``flatten_items`` leaves out, for a quarantine table.
+
+    Parse with ``keep`` for the key and the raw text: of a text that is no JSON nothing else is left.
+    """
     kept = F.coalesce(_well_formed(), F.lit(False))
     return _with_entry(docs, list_kind).where(~kept).drop("entry")
 

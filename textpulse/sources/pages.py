@@ -88,11 +88,72 @@ def page_content(pages: DataFrame, selector: str = "article", key: str = "page_i
     return _parse(pages, key, html, selector, "content", None).where(F.col("content").isNotNull())
 
 
-def page_links(pages: DataFrame, pattern: str = r'<a [^>]*href="([^"]*)"', key: str = "page_id",
-               html: str = "html") -> DataFrame:
-    """One row per link target, numbered in document order."""
-    links = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
-    return pages.select(key, F.posexplode_outer(links).alias("pos", "link")).where(F.col("link").isNotNull())
+class _Links(HTMLParser):
+    """Targets of the elements at the end of a path of steps, ``tag``, ``.class`` or ``tag.class``.
+
+    ``a > b`` asks for a child and ``a b`` for a descendant. Attributes come decoded, whatever their quotes.
+    """
+
+    def __init__(self, selector: str, attribute: str):
+        super().__init__(convert_charrefs=True)
+        self.steps: list[tuple[str, str, bool]] = []  # tag, class, whether it must be the child of the step before
+        child = False
+        for part in selector.replace(">", " > ").split():
+            if part == ">":
+                child = True
+            else:
+                tag, _, css_class = part.partition(".")
+                self.steps.append((tag, css_class, child))
+                child = False
+        self.attribute = attribute
+        self.open: list[tuple[str, list[str]]] = []
+        self.links: list[str] = []
+
+    @staticmethod
+    def _fits(step, element) -> bool:
+        return (not step[0] or step[0] == element[0]) and (not step[1] or step[1] in element[1])
+
+    def _path(self, depth: int, step: int) -> bool:
+        """Whether the element at ``depth`` ends the first ``step + 1`` steps."""
+        if not self._fits(self.steps[step], self.open[depth]):
+            return False
+        if step == 0:
+            return True
+        if self.steps[step][2]:
+            return depth > 0 and self._path(depth - 1, step - 1)
+        return any(self._path(above, step - 1) for above in range(depth))
+
+    def handle_starttag(self, tag, attrs):
+        values = dict(attrs)
+        self.open.append((tag, (values.get("class") or "").split()))
+        if values.get(self.attribute) is not None and self._path(len(self.open) - 1, len(self.steps) - 1):
+            self.links.append(values[self.attribute])
+        if tag in _VOID:
+            self.open.pop()
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):  # an end tag closes what was left open inside its element
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                break
+
+
+def page_links(pages: DataFrame, selector: str = "a", key: str = "page_id", html: str = "html",
+               attribute: str = "href") -> DataFrame:
+    """One row per target of the elements that match ``selector``, numbered in document order."""
+    def find(page: str | None) -> list[str]:
+        parser = _Links(selector, attribute)
+        parser.feed(page or "")
+        parser.close()
+        return parser.links
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "links": [find(page) for page in pdf[html]]})
+
+    source = pages.select(key, html)
+    found = source.mapInPandas(run, f"{key} {source.schema[key].dataType.simpleString()}, links array<string>")
+    return found.select(key, F.posexplode("links").alias("pos", "link"))
 
 
 def fingerprint(value: Column) -> Column:

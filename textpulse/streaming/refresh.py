@@ -6,38 +6,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.session import shared_dir
-from textpulse.sources.store import upsert_snapshot
+from textpulse.sources.store import merge_latest
 
 
-def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One parquet table of a shared folder as a stream, with the schema its files already have."""
+BUCKETS = 32
+_MANIFEST = "bucket int, version long"
+
+
+def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """One parquet table of a shared folder as a stream, with the schema its files already have.
+
+    The table is one file, or with ``files_per_batch`` a folder of files that are taken in the order of their arrival.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def stream_upsert(stream: DataFrame, keys: list[str], version: list[str], row_key: str, ts: str = "ts",
-                  delay: str = "1 day", target: str | None = None) -> DataFrame:
+def stream_upsert(stream: DataFrame, keys: list[str], version: list[str], target: str | None = None,
+                  buckets: int = BUCKETS) -> DataFrame:
     """Fold a stream into a snapshot, field by field and newest first, and return the newest snapshot.
 
-    Repeated deliveries of a row are dropped while the watermark still covers them. Batch ``n`` merges snapshot
-    ``n - 1`` with its rows into snapshot ``n`` and then notes ``n`` as done; nothing is kept in the driver, so a batch
-    repeated after a failure, or a restart on the same ``target``, writes the same snapshot again. The last, empty
-    batch is merged like any other.
+    Every row counts, however late: the merge keeps the newest value of each field, so order and repeated deliveries do not
+    matter and nothing has to be dropped. Keys are dealt to ``buckets``; batch ``n`` rewrites the buckets that it touches
+    as version ``n`` and writes a manifest of the version of every bucket. A batch that is repeated after a failure, or a
+    restart on the same ``target``, writes the same files again. Files that neither of the two newest manifests names go.
     """
     spark = stream.sparkSession
     base = target or shared_dir(spark, "upsert")
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = f"{base}/v{batch_id - 1}" if batch_id else None
-        upsert_snapshot(batch.sparkSession, before, batch, f"{base}/v{batch_id}", keys, version)
-        batch.sparkSession.createDataFrame([(batch_id,)], "batch long").write.mode("append").parquet(f"{base}/done")
+    def manifest(n: int) -> dict[int, int]:
+        if n < 0:
+            return {}
+        rows = spark.read.schema(_MANIFEST).parquet(f"{base}/manifest/v{n}").collect()  # at most one a bucket
+        return {r["bucket"]: r["version"] for r in rows}
 
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    query = (timed.dropDuplicatesWithinWatermark([row_key]).writeStream.foreachBatch(merge)
-             .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
+    def merge(batch: DataFrame, n: int) -> None:
+        now = manifest(n - 1)
+        fresh = batch.withColumn("bucket", place)
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+        known = [f"{base}/data/v{now[b]}/bucket={b}" for b in touched if b in now]
+        if touched:
+            plain = fresh.drop("bucket")
+            stored = spark.read.schema(plain.schema).parquet(*known) if known else plain.limit(0)
+            merged = merge_latest(stored, plain, keys, version).withColumn("bucket", place)
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/data/v{n}")
+        after = now | {b: n for b in touched}
+        spark.createDataFrame(list(after.items()), _MANIFEST).write.mode("overwrite").parquet(f"{base}/manifest/v{n}")
+        spark.createDataFrame([(n,)], "batch long").write.mode("overwrite").parquet(f"{base}/done/v{n}")
+        if n > 1:
+            past = manifest(n - 2)
+            _remove(spark, [f"{base}/data/v{v}/bucket={b}" for b, v in past.items() if v not in (now.get(b), after.get(b))]
+                    + [f"{base}/manifest/v{n - 2}"])
+
+    query = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     query.awaitTermination()
-    last = spark.read.schema("batch long").parquet(f"{base}/done").agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{base}/v{last}")
+    last = spark.read.schema("batch long").parquet(f"{base}/done/*").agg(F.max("batch")).first()[0]
+    files = [f"{base}/data/v{v}/bucket={b}" for b, v in sorted(manifest(last).items())]
+    schema = stream.schema
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        there = jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(conf).delete(there, True)
 
 
 def daily_statistics(events: DataFrame, grp: str, value: str, ts: str = "ts", delay: str = "1 day") -> DataFrame:
