@@ -124,7 +124,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: str
     limit = calibrate(held.join(score(held, model), "url"))
     open_ = ruled.where("_action IS NULL").select(F.coalesce(F.col(url), F.lit("")).alias("url"))
     scores = score(open_, model).select(F.col("url").alias("_url"), "score")
-    out = ruled.withColumn("_key", F.when(F.col("_action").isNull(), F.coalesce(F.col(url), F.lit(""))))
-    out = out.join(scores, out["_key"] == scores["_url"], "left")
+    # Pages with a rule take no part in the join: without a key they would all meet in one task.
+    rest = ruled.where("_action IS NULL").withColumn("_key", F.coalesce(F.col(url), F.lit("")))
+    rest = rest.join(scores, F.col("_key") == F.col("_url"), "left").drop("_key", "_url")
     passes = F.when(F.col("score") >= limit, "allow").otherwise("block")
-    return out.withColumn("verdict", F.coalesce("_action", passes)).drop("_action", "_key", "_url")
+    ruled = ruled.where("_action IS NOT NULL").withColumn("score", F.lit(None).cast("double"))
+    return ruled.unionByName(rest).withColumn("verdict", F.coalesce("_action", passes)).drop("_action")
