@@ -16,7 +16,8 @@ still hold several components, members outside the largest component meet all me
 against ``k``. Pairs inside a component are never formed, so a group of thousands of near copies costs a few rows a text. Lists
 of frequent shingles are split by a hash of the member before they are sorted, and joined again by their first members.
 
-Comparison is exact: shingle sets are rebuilt from the two whole texts. Components are computed by alternating the large-star
+Comparison is exact: a histogram of the hashes bounds what two sets can share, and for pairs within the bound shingle sets are
+rebuilt from the two whole texts. Components are computed by alternating the large-star
 and small-star steps on written tables.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; a text with fewer than ``n`` words
@@ -41,8 +42,7 @@ SKETCH = 1 << 18
 MAX_MATCH = 16
 VERIFY_COST = 20.0  # of one comparison, in postings
 RARE = 0.1  # assumed partners of a shingle that the sketch does not tell from unique ones
-SPLIT = 32
-LOCAL = 1 << 20
+HISTOGRAM = 256
 _MASK = (1 << 63) - 1
 
 
@@ -113,7 +113,8 @@ def set_digests(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-SETS = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k int, own int, tokens array<bigint>, frequent array<int>"
+SETS = ("doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k int, own int, tokens array<bigint>, frequent array<int>, "
+        "histogram binary")
 
 
 def prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,14 +151,17 @@ def prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text
                     better = (price < best) & ((m == 1) | (m <= least(share, size)))
                     best, k = np.where(better, price, best), np.where(better, m, k)
                 length = np.minimum(probe + k, size)
+                cells = np.bincount(of * HISTOGRAM + (h & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=rows * HISTOGRAM)
+                cells = np.minimum(cells, 65535).astype("<u2").tobytes()  # clipped counts are no bound: see _may_be_similar
                 take = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
                 offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, rows), pa.array(size), pa.array(d1), pa.array(d2), pa.array(k.astype(np.int32)),
                     pa.array(np.minimum(index + k, size).astype(np.int32)),
                     pa.ListArray.from_arrays(offsets, pa.array((h[take] & np.uint64(_MASK)).astype(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(parts[bins[take]]))],
-                    ["doc_id", "n_shingles", "d1", "d2", "k", "own", "tokens", "frequent"])
+                    pa.ListArray.from_arrays(offsets, pa.array(parts[bins[take]])),
+                    pa.array([cells[i:i + 2 * HISTOGRAM] for i in range(0, len(cells), 2 * HISTOGRAM)], pa.binary())],
+                    ["doc_id", "n_shingles", "d1", "d2", "k", "own", "tokens", "frequent", "histogram"])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(run, SETS)
 
@@ -229,8 +233,36 @@ def _similar(sizes_a: str, sizes_b: str, share: Fraction):
     return (a * share.denominator >= b * share.numerator) & (b * share.denominator >= a * share.numerator)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, n: int, share: Fraction) -> DataFrame:
-    """Those ``(a, b)`` whose texts are similar enough. ``texts`` is (id, text), one row an id."""
+def _may_be_similar(pairs: DataFrame, facts: DataFrame, share: Fraction) -> DataFrame:
+    """Drop pairs whose histograms rule the similarity out.
+
+    A histogram counts a set's shingles by 8 bits of their hash; the sum of the smaller counts bounds the intersection from above.
+    """
+    side = facts.select("id", "size", "histogram")
+    joined = pairs.join(side.toDF("a", "size_a", "cells_a"), "a").join(side.toDF("b", "size_b", "cells_b"), "b").select(
+        "a", "b", "size_a", "size_b", "cells_a", "cells_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), "<u2").reshape(-1, HISTOGRAM).astype(np.int64) for i in (4, 5))
+                sizes = sum(part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+                most = np.minimum(x, y).sum(axis=1)
+                clipped = (x.max(axis=1) == 65535) | (y.max(axis=1) == 65535)
+                keep.append(clipped | (share.denominator * most >= share.numerator * (sizes - most)))
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(np.concatenate(keep)))
+
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def compare(pairs: DataFrame, facts: DataFrame, docs: DataFrame, n: int, share: Fraction, key: str, text: str) -> DataFrame:
+    """Those ``(a, b)`` whose whole texts are similar enough; only texts of pairs that histograms leave are fetched."""
+    pairs = stored(_may_be_similar(pairs, facts, share), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stored(_texts_of(docs, ids, key, text), "texts")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -305,22 +337,22 @@ def similar_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("members"))
     classes = stored(classes, "shingle-classes")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id"])
+    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(
+        ["doc_id", "d1", "d2"])  # by the keys of the join, so the prefixes are shuffled once
     lists = stored(_neighbours(_postings(reps)), "postings")
-    active = lists.select("id").distinct()
-    texts = stored(_texts_of(docs, active, key, text), "texts")
     # First step: links along the lists, and between the heads of a split list.
     heads = lists.where("part >= 0").groupBy("token").agg(F.min("head").alias("to"))
     near = lists.select(F.col("id").alias("x"), F.inline(F.array(F.struct(F.col("head").alias("y")), F.struct(F.col("previous").alias("y"))))).where(
         "y >= 0 AND x <> y")
     across = lists.where("part >= 0").select("token", F.col("head").alias("x")).distinct().join(heads, "token").select(
         "x", F.col("to").alias("y")).where("x <> y")
-    facts = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "k")
+    facts = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "k", "histogram").dropDuplicates(["id"]), "facts")
+    sizes = facts.drop("histogram")
     pairs = near.unionByName(across).groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count("*").alias("n"))
-    pairs = pairs.join(facts.toDF("a", "size_a", "k_a"), "a").join(facts.toDF("b", "size_b", "k_b"), "b")
+    pairs = pairs.join(sizes.toDF("a", "size_a", "k_a"), "a").join(sizes.toDF("b", "size_b", "k_b"), "b")
     # A list counts for its head and for a neighbour only, so these counts may fall short of k; what they miss is left to the second step.
     pairs = pairs.where(_similar("size_a", "size_b", share) & (F.col("n") >= F.least("k_a", "k_b"))).select("a", "b")
-    links = stored(compare(pairs, texts, n, share), "links")
+    links = stored(compare(pairs, facts, docs, n, share, key, text), "links")
     label = stored(components(links), "labels")
     # Second step: lists with several components.
     rows = lists.select("token", "id", "size", "k", "own").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -335,7 +367,7 @@ def similar_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
                    & ((F.col("own_a") & (F.col("size_a") <= F.col("size"))) | (F.col("own") & (F.col("size") <= F.col("size_a")))))
     counted = met.groupBy(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")).agg(
         F.count("*").alias("n"), F.min(F.least("k_a", "k")).alias("k")).where("n >= k").select("a", "b")
-    links = links.unionByName(stored(compare(counted, texts, n, share), "links"))
+    links = links.unionByName(stored(compare(counted, facts, docs, n, share, key, text), "links"))
     final = stored(components(links), "labels")
     # Only classes of several texts or with links need a name; any other text is its own component.
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL").select(
