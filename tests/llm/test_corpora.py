@@ -42,7 +42,7 @@ def test_components(spark, n, share):
 
 def test_components_when_lists_are_split(spark, monkeypatch):
     """With every shingle held to be frequent, all lists are cut into parts."""
-    monkeypatch.setattr(jaccard, "excess", lambda counts: np.full(len(counts), 5000.0))
+    monkeypatch.setattr(jaccard, "excess", lambda counts: np.full(len(counts), 300_000.0))
     rows = near_copies(2)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(
         spark.createDataFrame(rows, "doc_id bigint, text string"), 3, (80, 100)).collect()}

@@ -10,7 +10,7 @@ cheapest is taken. A pair must share the smaller ``k`` of the two before its tex
 Frequencies come from a sketch of fixed size that counts every shingle of every text: a bin well above the mean holds a
 frequent shingle, which moves to the end of the order.
 
-Links are found in two steps. First each posting list links its members to the list's first member and to their
+Links are found in two steps. First each posting list links its members to the list's first member (the text with the fewest rare shingles) and to their
 predecessors, which is linear in its length; texts of these pairs are compared and components are formed. Second, in lists that
 still hold several components, members outside the largest component meet all members of other components, counted by pair
 against ``k``. Pairs inside a component are never formed, so a group of thousands of near copies costs a few rows a text. Lists
@@ -43,6 +43,7 @@ MAX_MATCH = 16
 VERIFY_COST = 20.0  # of one comparison, in postings
 RARE = 0.1  # assumed partners of a shingle that the sketch does not tell from unique ones
 HISTOGRAM = 256
+SPLIT = 1 << 16  # members of a posting list beyond which it is sorted in parts
 _MASK = (1 << 63) - 1
 
 
@@ -113,7 +114,7 @@ def set_digests(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-SETS = ("doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k int, own int, tokens array<bigint>, frequent array<int>, "
+SETS = ("doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k int, own int, rare int, tokens array<bigint>, frequent array<int>, "
         "histogram binary")
 
 
@@ -129,7 +130,7 @@ def prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = frequency.value
         level = np.where(freq > 0, np.ceil(np.log2(np.maximum(freq, 1))) + 1, 0).astype(np.int64)
-        parts = np.where(freq > 1024, np.minimum(1 << 14, freq / 1024), 0).astype(np.int32)
+        parts = np.where(freq > SPLIT, np.minimum(1 << 14, freq / SPLIT + 1), 0).astype(np.int32)
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, bounds in text_chunks(batch.column(1)):
@@ -142,6 +143,7 @@ def prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text
                 h, bins = h[order], bins[order]
                 at = np.searchsorted(of, np.arange(rows + 1))
                 size = np.diff(at)
+                rare = np.bincount(of[freq[bins] == 0], minlength=rows)
                 cost = np.concatenate(([0.0], np.cumsum(freq[bins] + RARE)))
                 probe, index = size - least(share, size), size - least(both, size)
                 best, k = np.full(rows, np.inf), np.ones(rows, np.int64)
@@ -157,25 +159,28 @@ def prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text
                 offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, rows), pa.array(size), pa.array(d1), pa.array(d2), pa.array(k.astype(np.int32)),
-                    pa.array(np.minimum(index + k, size).astype(np.int32)),
+                    pa.array(np.minimum(index + k, size).astype(np.int32)), pa.array(rare.astype(np.int32)),
                     pa.ListArray.from_arrays(offsets, pa.array((h[take] & np.uint64(_MASK)).astype(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(parts[bins[take]])),
                     pa.array([cells[i:i + 2 * HISTOGRAM] for i in range(0, len(cells), 2 * HISTOGRAM)], pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "k", "own", "tokens", "frequent", "histogram"])
+                    ["doc_id", "n_shingles", "d1", "d2", "k", "own", "rare", "tokens", "frequent", "histogram"])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(run, SETS)
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    """One row per prefix token of a class: (token, part, id, size, k, own), lists in order of id within a partition.
+    """One row per prefix token of a class: (token, part, id, size, k, own), in lists within a partition.
+
+    A list begins with the member that has the fewest rare shingles. Among near copies that is the text they were made from,
+    which is closer to each of them than they are to each other; then ids decide.
 
     What a list has alone in its part, and does not share with other parts, is dropped by ``_neighbours``.
     """
-    rows = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"), F.col("k").cast("short").alias("k"), "own",
+    rows = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"), F.col("k").cast("short").alias("k"), "own", "rare",
                        F.posexplode(F.arrays_zip("tokens", "frequent")).alias("pos", "t"))
     part = F.when(F.col("t.frequent") > 1, F.pmod(F.xxhash64("id"), F.col("t.frequent"))).otherwise(-1).cast("short")
-    rows = rows.select(F.col("t.tokens").alias("token"), part.alias("part"), "id", "size", "k", (F.col("pos") < F.col("own")).alias("own"))
-    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "id")
+    rows = rows.select(F.col("t.tokens").alias("token"), part.alias("part"), "id", "size", "k", (F.col("pos") < F.col("own")).alias("own"), "rare")
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "rare", "id").drop("rare")
 
 
 NEIGHBOURS = "token bigint, part short, id bigint, size int, k short, own boolean, head bigint, previous bigint"
