@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpulse.functions.numeric import tie_safe
@@ -11,6 +13,7 @@ from textpulse.operators.sizes import small
 
 # A variance this small relative to the raw second moment is rounding noise of a constant column.
 CONSTANT = 1e-12
+PARTS = 16  # of a group's terms, so that a single group does not end in a single task
 
 
 def _numbered(weights: DataFrame, ids: DataFrame, vocab_rows: int | None) -> DataFrame:
@@ -37,42 +40,52 @@ def term_corr(weights: DataFrame, docs: DataFrame, vocab: DataFrame, chosen: Dat
     contain a chosen term are paired. ``weights`` and ``moments``, one row per group and term
     (``term_moments``), are read more than once: persist or store them.
 
-    Pairs that never share a document have a correlation too, so the answer is dense: groups x terms x terms. It is
-    unfolded only at the very end, inside the row of its (group, term), from two arrays no longer than the vocabulary:
-    the sums of products of that term, and the moments of all terms of the group.
+    Pairs that never share a document have a correlation too, so the answer is dense: groups x terms x terms. It is unfolded
+    only at the very end: the sums of products of a part of a group's terms meet the moments of all its terms, as matrices
+    with a row per term of the part and a column per term, both no longer than the capped vocabulary.
     """
     ids = number_terms(vocab.select("term"))
     rows = _numbered(weights, ids, vocab_rows)
     varying = term_moments(weights, docs, vocab, vocab_rows) if moments is None else moments
     if chosen is None:
         wanted, sums = varying, mirrored(pair_sums_all(rows, "w"))
+        asked = varying.withColumn("asked", F.lit(True))
     else:
         picked = ids.join(chosen.select("term"), "term", "left_semi").select("term_id")
         wanted = varying.join(small(picked, vocab_rows), "term_id", "left_semi")
         sums = pair_sums_for(rows, picked, "w")
-
-    none = lambda kind: F.lit(None).cast(kind)
-    entry = lambda *cols: F.collect_list(
-        F.struct(*[c.alias(n) for c, n in zip(cols, ("b", "own", "s", "sy", "tt", "other"))]))
-    products = sums.groupBy("grp", F.col("a").alias("term_id")).agg(entry(
-        F.col("b").cast("int"), F.lit(0), F.col("s"), none("double"), none("double"), none("string")).alias("_products"))
-    peers = varying.groupBy("grp").agg(entry(
-        F.col("term_id").cast("int"), F.lit(1), none("double"), F.col("sx"), F.col("ss"), F.col("term")).alias("_peers"))
-
-    merged = wanted.join(products, ["grp", "term_id"]).join(peers, "grp").select(
-        "grp", "term", "n", "sx", "ss", F.sort_array(F.concat("_products", "_peers")).alias("_m"))
-
-    def correlate(x: Column, i: Column) -> Column:
-        """A peer's correlation; its sum of products, if there is one, is the entry just before it."""
-        before = F.get(F.col("_m"), i - 1)
-        s = F.when(before["b"] == x["b"], before["s"]).otherwise(0.0)
-        r = (F.col("n") * F.coalesce(s, F.lit(0.0)) - F.col("sx") * x["sy"]) / F.sqrt(F.col("ss") * x["tt"])
-        return F.when(x["own"] == 1, F.struct(x["other"].alias("other"), _unit(r).alias("corr")))
-
-    known = merged.select("grp", "term", F.inline_outer(F.transform("_m", correlate))).where(F.col("other").isNotNull())
+        asked = varying.join(small(picked.withColumn("asked", F.lit(True)), vocab_rows), "term_id", "left")
+    part = F.pmod("a", F.lit(PARTS)).cast("int")
+    cells = sums.select(F.col("grp").alias("g"), part.alias("p"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "s")
+    peers = asked.select("grp", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.col("term_id").cast("int").alias("t"),
+                         "term", F.col("n").cast("double").alias("n"), "sx", "ss", F.coalesce("asked", F.lit(False)).alias("asked"))
+    known = cells.groupBy("g", "p").cogroup(peers.groupBy("grp", "part")).applyInArrow(
+        _correlate, "grp string, term string, other string, corr double")
     return known.unionByName(_undefined(wanted, varying, docs, ids))
 
 
+def _correlate(cells: pa.Table, peers: pa.Table) -> pa.Table:
+    """Correlations of the asked terms of one part of a group with all varying terms of the group."""
+    schema = pa.schema([("grp", pa.string()), ("term", pa.string()), ("other", pa.string()), ("corr", pa.float64())])
+    if not peers.num_rows:
+        return schema.empty_table()
+    peers = peers.sort_by("t").combine_chunks()
+    column = {c: peers.column(c).to_numpy() for c in ("t", "n", "sx", "ss", "part", "asked")}
+    t, names = column["t"], peers.column("term").combine_chunks()
+    mine = np.flatnonzero(column["asked"] & (t % PARTS == column["part"]))
+    products = np.zeros((len(mine), len(t)))
+    if cells.num_rows and len(mine):
+        a, b, s = (cells.column(c).to_numpy() for c in ("a", "b", "s"))
+        i, j = np.searchsorted(t[mine], a), np.searchsorted(t, b)
+        met = (i < len(mine)) & (j < len(t))
+        met &= (t[mine][np.minimum(i, len(mine) - 1)] == a) & (t[np.minimum(j, len(t) - 1)] == b)
+        products[i[met], j[met]] = s[met]
+    r = (column["n"][mine, None] * products - column["sx"][mine, None] * column["sx"]) / np.sqrt(column["ss"][mine, None] * column["ss"])
+    grp = pa.array([peers.column("grp")[0].as_py()], pa.string()).take(pa.array(np.zeros(r.size, np.int32)))
+    return pa.Table.from_arrays([grp, names.take(pa.array(np.repeat(mine, len(t)))), names.take(pa.array(np.tile(np.arange(len(t)), len(mine)))),
+                                 pa.array(np.clip(r, -1.0, 1.0).ravel())], schema=schema)  # rounding may leave a hair outside
+
+
 def _undefined(wanted: DataFrame, varying: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Zero rows where ``other`` is constant in the group but the pair is defined in another group.
 
@@ -90,11 +103,6 @@ def _undefined(wanted: DataFrame, varying: DataFrame, docs: DataFrame, ids: Data
         "grp", "term", "other", F.lit(0.0).alias("corr"))
 
 
-def _unit(r: Column) -> Column:
-    """Rounding may leave a correlation a hair outside [-1, 1]."""
-    return F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))
-
-
 def word_correlations(corr: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` strongest per (term, group), from which the term itself is then removed."""
     order = Window.partitionBy("term", "grp").orderBy(F.desc(tie_safe(F.abs("corr"))), "other")

@@ -497,8 +497,8 @@ def melt(spark, folder):
 
 
 def _corr(main: Main, chosen: DataFrame | None = None) -> DataFrame:
-    kept = main.weights.persist()
-    moments = assoc.term_moments(kept, main.keys, main.vocab, vocab.MAX_TERMS).persist()
+    kept = stored(main.weights, "weights")
+    moments = stored(assoc.term_moments(kept, main.keys, main.vocab, vocab.MAX_TERMS), "moments")
     return assoc.term_corr(kept, main.keys, main.vocab, chosen, vocab.MAX_TERMS, moments)
 
 
