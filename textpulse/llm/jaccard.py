@@ -347,16 +347,17 @@ def similar_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
     lists = stored(_neighbours(_postings(reps)), "postings")
     # First step: links along the lists, and between the heads of a split list.
     heads = lists.where("part >= 0").groupBy("token").agg(F.min("head").alias("to"))
-    near = lists.select(F.col("id").alias("x"), F.inline(F.array(F.struct(F.col("head").alias("y")), F.struct(F.col("previous").alias("y"))))).where(
+    near = lists.select(F.col("id").alias("x"), "k", F.inline(F.array(F.struct(F.col("head").alias("y")), F.struct(F.col("previous").alias("y"))))).where(
         "y >= 0 AND x <> y")
     across = lists.where("part >= 0").select("token", F.col("head").alias("x")).distinct().join(heads, "token").select(
-        "x", F.col("to").alias("y")).where("x <> y")
+        "x", F.lit(1).cast("short").alias("k"), F.col("to").alias("y")).where("x <> y")
     facts = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "k", "histogram").dropDuplicates(["id"]), "facts")
-    sizes = facts.drop("histogram")
-    pairs = near.unionByName(across).groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.count("*").alias("n"))
-    pairs = pairs.join(sizes.toDF("a", "size_a", "k_a"), "a").join(sizes.toDF("b", "size_b", "k_b"), "b")
+    sizes = facts.select("id", "size")
     # A list counts for its head and for a neighbour only, so these counts may fall short of k; what they miss is left to the second step.
-    pairs = pairs.where(_similar("size_a", "size_b", share) & (F.col("n") >= F.least("k_a", "k_b"))).select("a", "b")
+    pairs = near.unionByName(across).groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(
+        F.count("*").alias("n"), F.max("k").alias("k")).where("n >= k").select("a", "b")
+    pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(
+        _similar("size_a", "size_b", share)).select("a", "b")
     links = stored(compare(pairs, facts, docs, n, share, key, text), "links")
     label = stored(components(links), "labels")
     # Second step: lists with several components.
