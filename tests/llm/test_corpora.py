@@ -255,6 +255,36 @@ def test_url_scores_match_plain_python(spark):
     assert {r["url"]: r["score"] for r in got} == {"abab": pytest.approx(sum(parts) / len(parts), abs=1e-8), "": None}
 
 
+def test_url_counts_are_of_the_strings_themselves(spark):
+    """More strings than a fixed table would hold apart; the joins by key agree with the broadcast ones."""
+    import random
+    rng = random.Random(5)
+    urls = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)), i % 2 == 0) for i in range(1500)]
+    counts = {True: Counter(), False: Counter()}
+    for url, kind in urls:
+        padded = "\2" * 3 + url + "\3"
+        for i in range(3, len(padded)):
+            counts[kind].update([padded[i - k + 1:i + 1] for k in range(1, 5)] + [""])
+
+    def log_p(kind, s):
+        c = counts[kind]
+        p = (c[s[-1:]] + 4 / 256) / (c[""] + 4)
+        for k in range(1, 4):
+            p = (c[s[3 - k:]] + 4 * p) / (max(c[s[3 - k:3]], c[s[3 - k:]]) + 4)
+        return math.log(p)
+
+    want = {}
+    for url, _ in urls[:40]:
+        padded = "\2" * 3 + url + "\3"
+        parts = [log_p(True, padded[i - 3:i + 1]) - log_p(False, padded[i - 3:i + 1]) for i in range(3, len(padded))]
+        want[url] = pytest.approx(sum(parts) / len(parts), abs=1e-8)
+    model = urlfilter.stored(urlfilter.train(spark.createDataFrame(urls, "url string, accepted boolean")), "url-model")
+    asked = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r["url"]: r["score"] for r in urlfilter.score(asked, model).collect()} == want
+    assert {r["url"]: r["score"] for r in urlfilter.score(asked, model, broadcast_bytes=0).collect()} == want
+    assert model.count() == len(set(counts[True]) | set(counts[False]))
+
+
 def test_pipeline_stages(spark, docs, none, items, corpus, tmp_path):
     import corpus_pipeline
     items.write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -2,9 +2,11 @@
 
 The models for accepted and rejected URLs are variable-order Markov models: the probability of a character mixes the count
 of (context, character) with the probability given the next shorter context, so contexts that were never seen hand over to
-shorter ones. Contexts have up to ``ORDER`` characters. Counts are kept in ``BINS`` bins of hashed character strings, which
-bounds the broadcast whatever the number of URLs; all URLs that a rule decides are counted, except the fifth on which the
-limit is calibrated.
+shorter ones. Contexts have up to ``ORDER`` characters. Counts are a table keyed by the character string itself, which grows
+with the URLs and is joined by key; only a table measured at no more than ``BROADCAST_BYTES`` is broadcast. All URLs that a
+rule decides are counted, except the fifth on which the limit is calibrated.
+
+What a character adds to the score depends on it and its context only, so it is computed once for each distinct string.
 
 A URL's score is the difference of its log-likelihoods divided by its length. The limit is the one that separates the held
 back URLs best (largest sum of both classes' shares on their side), in the middle between the scores around it.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from textpulse.llm.tables import stored
 
 ORDER = 3
-BINS = 1 << 17
+BROADCAST_BYTES = 16 << 20
 WEIGHT = 4.0  # of the shorter context's probability, in observations
 ALPHABET = 256
 EDGE = 10.0
@@ -49,8 +51,10 @@ def with_rule(pages: DataFrame, rules: list[tuple[str, str, str]], url: str = "u
     return out.withColumns({"rule": rule, "_action": action})
 
 
-def _bin(s: Column) -> Column:
-    return F.pmod(F.xxhash64(s), F.lit(BINS)).cast("int")
+def _broadcast_if_small(table: DataFrame, key: str, most: int) -> DataFrame:
+    """``table`` (written before), marked for broadcast if its rows, at 64 bytes and their key each, have at most ``most`` bytes."""
+    size = table.agg(F.sum(F.octet_length(key) + 64)).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
 
 
 def _positions(urls: DataFrame) -> DataFrame:
@@ -61,29 +65,24 @@ def _positions(urls: DataFrame) -> DataFrame:
 
 
 def train(decided: DataFrame) -> DataFrame:
-    """Counts of hashed strings of 1 to ``ORDER + 1`` characters: ``(bin, accepted, rejected)``; bin -1 holds totals.
+    """Counts of the strings of 1 to ``ORDER + 1`` characters: ``(string, accepted, rejected)``; the empty string holds totals.
 
     ``decided`` has ``url`` and ``accepted`` (boolean).
     """
     rows = _positions(decided.select("url", "accepted"))
-    cells = rows.select("accepted", F.explode(F.array(F.lit(-1), *(_bin(F.col(f"s{k}")) for k in range(1, ORDER + 2)))).alias("bin"))
-    return cells.groupBy("bin").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
+    cells = rows.select("accepted", F.explode(F.array(F.lit(""), *(F.col(f"s{k}") for k in range(1, ORDER + 2)))).alias("string"))
+    return cells.groupBy("string").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
-def score(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """``(url, score)`` of distinct URLs. The model has at most ``BINS + 1`` rows and is broadcast."""
-    rows = _positions(urls.select("url").distinct())
-    total = model.where("bin = -1").select("accepted", "rejected").first()
-    if total is None or not total["accepted"] or not total["rejected"]:
-        return urls.select("url").distinct().select("url", F.when(F.length("url") > 0, F.lit(0.0)).alias("score"))
-    cells = F.broadcast(model.where("bin >= 0"))
+def _ratios(strings: DataFrame, model: DataFrame, accepted: int, rejected: int, most: int) -> DataFrame:
+    """``(string, ratio)`` of distinct strings of ``ORDER + 1`` characters: what their last character adds to the score."""
     # The count of a context is that of the string of its characters.
-    names = {f"s{k}": F.col(f"s{k}") for k in range(1, ORDER + 2)}
-    names |= {f"c{k}": F.left(F.col(f"s{k + 1}"), F.lit(k)) for k in range(1, ORDER + 1)}
-    rows = rows.select("url", *(_bin(c).alias(n) for n, c in names.items()))
-    for n in names:
-        side = cells.select(F.col("bin").alias(n), F.col("accepted").alias(f"{n}_a"), F.col("rejected").alias(f"{n}_r"))
-        rows = rows.join(side, n, "left").drop(n)
+    tail = {f"s{k}": F.right("string", F.lit(k)) for k in range(1, ORDER + 2)}
+    parts = tail | {f"c{k}": F.left(tail[f"s{k + 1}"], F.lit(k)) for k in range(1, ORDER + 1)}
+    asked = strings.select("string", F.inline(F.array(*(F.struct(F.lit(n).alias("name"), c.alias("part")) for n, c in parts.items()))))
+    counts = _broadcast_if_small(model.where("string <> ''").withColumnRenamed("string", "part"), "part", most)
+    found = asked.join(counts, "part", "left").groupBy("string").agg(*(
+        F.sum(F.when(F.col("name") == n, F.col(of))).alias(f"{n}_{of[0]}") for n in parts for of in ("accepted", "rejected")))
 
     def log_probability(kind: str, all_: int) -> Column:
         def n(name: str) -> Column:
@@ -93,8 +92,19 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
             p = (n(f"s{k + 1}") + WEIGHT * p) / (F.greatest(n(f"c{k}"), n(f"s{k + 1}")) + WEIGHT)
         return F.log(p)
 
-    ratio = log_probability("a", total["accepted"]) - log_probability("r", total["rejected"])
-    return rows.groupBy("url").agg((F.sum(ratio) / F.count("*")).alias("score")).select(
+    return found.select("string", (log_probability("a", accepted) - log_probability("r", rejected)).alias("ratio"))
+
+
+def score(urls: DataFrame, model: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``(url, score)`` of distinct URLs. Tables of strings larger than ``broadcast_bytes`` are joined by shuffles."""
+    distinct = urls.select("url").distinct()
+    total = model.where("string = ''").select("accepted", "rejected").first()
+    if total is None or not total["accepted"] or not total["rejected"]:
+        return distinct.select("url", F.when(F.length("url") > 0, F.lit(0.0)).alias("score"))
+    rows = _positions(distinct).select("url", F.col(f"s{ORDER + 1}").alias("string"))
+    ratios = stored(_ratios(rows.select("string").distinct(), model, *total, broadcast_bytes), "url-ratios")
+    rows = rows.join(_broadcast_if_small(ratios, "string", broadcast_bytes), "string")
+    return rows.groupBy("url").agg((F.sum("ratio") / F.count("*")).alias("score")).select(
         "url", F.when(F.length("url") > 0, F.round("score", 9)).alias("score"))
 
 
