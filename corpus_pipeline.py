@@ -1,6 +1,7 @@
 """From raw documents to a weighted training mixture: five stages, each written as Parquet and read back by the next.
 
-1. language: texts without a letter, or whose language is uncertain, go.
+1. language: texts without a letter, or whose language is uncertain, go: those in none of the learned languages, by the mean
+   log-likelihood of their n-grams, and those torn between two of them.
 2. near duplicates: of every group of similar texts (5-word shingles, Jaccard 0.8) the smallest doc_id stays.
 3. benchmark: windows shared with benchmark items are cut out; texts that mostly consist of them go.
 4. personal data: spans are replaced by their kind.
@@ -36,8 +37,7 @@ def _unpacked(done: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.identify(_packed(docs))
-    return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs)
+    return _unpacked(langid.certain(_packed(docs), MIN_LANGUAGE_SCORE), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,6 +285,21 @@ def test_url_counts_are_of_the_strings_themselves(spark):
     assert model.count() == len(set(counts[True]) | set(counts[False]))
 
 
+def test_pipeline_language_rejects_unlearned_languages_and_junk(spark):
+    import random
+
+    import corpus_pipeline
+    rng = random.Random(6)
+    words = {"en": "the of and that house water which there with from have would little night because under morning people again through",
+             "de": "der und nicht eine haus wasser welche dort durch werden wieder morgen leute unter schon zwischen über weil kleine nacht"}
+    rows = [(i, " ".join(rng.choices(words[lang].split(), k=rng.randint(30, 300))), lang) for i in range(400) for lang in [("en", "de")[i % 2]]]
+    foreign = ["Быстрая коричневая лиса перепрыгивает через ленивую собаку " * 4, "素早い茶色の狐がのろまな犬を飛び越えて静かな町を歩いて家に帰る" * 4,
+               "asdkfj qwoeiru zxmcnv bqpwoe xkcjv wqpeoi zmxn qwpoe rtyqp lkzjx " * 4, "a gyors barna róka átugrik a lusta kutya felett, jó éjt kívánok " * 4]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None) for i, t in enumerate(foreign)], "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == set(range(400))
+
+
 def test_pipeline_stages(spark, docs, none, items, corpus, tmp_path):
     import corpus_pipeline
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
