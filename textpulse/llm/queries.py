@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpulse.llm import decontaminate, jaccard, langid, mixing, pii, quality, rollups, suffixes, urlfilter, warc
+from textpulse.llm import codes, decontaminate, jaccard, langid, mixing, negatives, pii, quality, records, rollups, suffixes, urlfilter, warc
 from textpulse.llm.tables import table
 from textpulse.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def query(fn: Query) -> Query:
@@ -102,6 +104,26 @@ def op10_quality(spark, folder):
     return quality.judge(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept", "char_distance", "word_distance")
 
 
+@query
+def op11_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+@query
+def op12_codes(spark, folder):
+    coded, books = codes.coded(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", codes.hex_code(F.col("_code")).alias("code"), F.col("_error").alias("error"),
+                        F.col("_label_error").alias("label_error"), F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+@query
+def op13_records(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return records.round_trip(docs, shared_dir(spark, "llm-records"), TOKENIZER, end_id=2)
+
+
 SQL["op4_warc"] = """
     WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
     h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
@@ -150,3 +172,42 @@ SQL["op2_jaccard"] = r"""
     reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
     SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(reach.b) AS component_id
     FROM w LEFT JOIN n USING (doc_id) JOIN reach ON reach.a = w.doc_id GROUP BY ALL"""
+
+SQL["op11_negatives"] = """
+    WITH k AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM k),
+    s AS (SELECT a.vec_id AS anchor, a.label AS own, b.vec_id AS id, b.label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor, id, score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.anchor, p.id AS positive, p.score AS ps, s.id, s.score,
+        row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank FROM p JOIN s ON s.anchor = p.anchor
+        AND s.label <> s.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+    SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, id AS negative_id, ps AS positive_score,
+        score AS negative_score FROM n WHERE rank <= 10"""
+
+
+def _codes_sql() -> str:
+    """Codebook, distances and assignment spelled out as rows by (vector, part, position, entry)."""
+    steps = ["""k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             """x AS (SELECT vec_id, (i - 1) // (n // 16) AS part, (i - 1) % (n // 16) AS pos, x FROM (SELECT vec_id, len(v) AS n,
+        generate_subscripts(v, 1) AS i, unnest(v) AS x FROM k))""",
+             """b0 AS (SELECT part, entry, pos, x AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k
+        WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT 64) USING (vec_id))"""]
+    for r in range(3):
+        steps.append(f"""a{r} AS (SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT vec_id, x.part, entry,
+        CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN b{r} ON b{r}.part = x.part AND b{r}.pos = x.pos GROUP BY ALL) GROUP BY vec_id, part)""")
+        if r < 2:
+            steps.append(f"""b{r + 1} AS (SELECT b.part, b.entry, b.pos, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT part, entry, pos,
+        CAST(floor(sum(x) / count(*)) AS BIGINT) AS c FROM x JOIN a{r} USING (vec_id, part) GROUP BY ALL) m
+        ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)""")
+    return f"""WITH {", ".join(f"{s.split(' AS ', 1)[0]} AS MATERIALIZED {s.split(' AS ', 1)[1]}" for s in steps)},
+    o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 JOIN k USING (vec_id)
+        GROUP BY ALL)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM b2) AS codebooks_sha256 FROM o"""
+
+
+SQL["op12_codes"] = _codes_sql()
