@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpulse.functions.numeric import tie_safe
+from textpulse.operators import svd
 from textpulse.operators.weights import idf
 
 MAX_TOPICS = 400
@@ -29,11 +29,19 @@ _COMPONENTS = "topic_id int, term string, weight double"
 
 @dataclass
 class TopicModel:
-    """``topics(topic_id, sigma)``, ``components(topic_id, term, weight)``, ``scores(doc_id, grp, topic_id, score)``."""
+    """``topics(topic_id, sigma)``, ``components(topic_id, term, weight)``, ``scores(doc_id, grp, topic_id, score)``.
+
+    ``terms``, ``sigma`` and ``loadings`` are the same in the driver's memory, for an update or for scores of other documents;
+    ``vectors`` are the documents that the scores belong to.
+    """
 
     topics: DataFrame
     components: DataFrame
     scores: DataFrame
+    terms: list[str] = field(default_factory=list)
+    sigma: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    loadings: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    vectors: DataFrame | None = None
 
 
 def tfidf_vectors(tokenized: DataFrame, vocab: DataFrame, n_docs: Column, key: str = "doc_id"
@@ -58,22 +66,33 @@ def tfidf_vectors(tokenized: DataFrame, vocab: DataFrame, n_docs: Column, key: s
 def svd_topics(vectors: DataFrame, terms: list[str], k: int = MAX_TOPICS, key: str = "doc_id") -> TopicModel:
     """The ``k`` strongest topics (at most one per term), each signed so that its largest loading is positive.
 
-    ``vectors`` are read by the solver and again for the scores, so store them first. The driver holds the V x k loadings, which
-    the solver returns there; components and scores are made of their broadcast by tasks.
+    ``vectors`` are read at most ``svd.PASSES`` times by the solver and again for the scores, so store them first. The driver holds
+    the vocabulary and the solver's basis, whose size is checked; components and scores are made of the broadcast loadings by tasks.
     """
+    if not terms:
+        return _model(vectors, terms, np.zeros(0), np.zeros((0, 0)), key)
+    return _model(vectors, terms, *svd.truncated(vectors.select("features"), len(terms), k), key)
+
+
+def update_topics(model: TopicModel, fresh: DataFrame, k: int = MAX_TOPICS, key: str = "doc_id") -> TopicModel:
+    """The model of the old documents and of ``fresh`` ones, with vectors over the same terms; old documents are not read.
+
+    Its scores are those of the fresh documents. The result is that of the whole if the old model kept all topics; with fewer, what
+    was left out of it stays out. Weights are those the vocabulary had when the model was made.
+    """
+    if not model.terms:
+        return _model(fresh, [], np.zeros(0), np.zeros((0, 0)), key)
+    return _model(fresh, model.terms, *svd.updated(model.sigma, model.loadings, fresh.select("features"), k), key)
+
+
+def _model(vectors: DataFrame, terms: list[str], sigma: np.ndarray, loadings: np.ndarray, key: str) -> TopicModel:
     spark = vectors.sparkSession
-    kind = vectors.schema[key].dataType.simpleString()
     if not terms:
+        kind = vectors.schema[key].dataType.simpleString()
         return TopicModel(*[spark.createDataFrame([], s) for s in (
-            _TOPICS, _COMPONENTS, f"{key} {kind}, grp string, topic_id int, score double")])
-    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"), numCols=len(terms))
-    svd = matrix.computeSVD(min(k, len(terms)), computeU=False)
-    sigma, loadings = svd.s.toArray(), svd.V.toArray()
-    largest = loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])]
-    loadings = loadings * np.where(largest < 0, -1.0, 1.0)
+            _TOPICS, _COMPONENTS, f"{key} {kind}, grp string, topic_id int, score double")], vectors=vectors)
     topics = spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], _TOPICS)
-    components = _components(spark, terms, loadings)
-    return TopicModel(topics, components, document_scores(vectors, loadings, key))
+    return TopicModel(topics, _components(spark, terms, loadings), document_scores(vectors, loadings, key), terms, sigma, loadings, vectors)
 
 
 def _components(spark: SparkSession, terms: list[str], loadings: np.ndarray) -> DataFrame:
@@ -113,6 +132,69 @@ def document_scores(vectors: DataFrame, loadings: np.ndarray, key: str = "doc_id
     return wide.select(key, "grp", F.posexplode("_scores").alias("topic_id", "score"))
 
 
+def model_gaps(a: TopicModel, b: TopicModel) -> dict[str, float]:
+    """Largest difference of two models' sigmas, and the sine of the largest angle between the spaces of their topics."""
+    if not len(a.sigma) or not len(b.sigma):
+        return {"sigma_gap": 0.0, "angle": 0.0}
+    n = min(len(a.sigma), len(b.sigma))
+    outside = a.loadings[:, :n] - b.loadings[:, :n] @ (b.loadings[:, :n].T @ a.loadings[:, :n])
+    return {"sigma_gap": float(np.abs(a.sigma[:n] - b.sigma[:n]).max()), "angle": float(np.linalg.norm(outside, 2))}
+
+
+def top_topics(vectors: DataFrame, model: TopicModel, n: int = TOPICS_PER_DOC, key: str = "doc_id") -> DataFrame:
+    """``doc_top_topics`` of the sigma-weighted scores, without the table of all scores: ``n`` rows a document leave the task.
+
+    Topics are read in the order of their sigma, some at a time. What a document's vector holds outside the topics read so far
+    bounds its score on each later one, times sigma; a document stops when that cannot reach its n-th best. A document without a
+    kept term scores 0 on all topics, as in the full table.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, grp string, _best array<struct<topic_id int, score double>>"
+    if not model.terms:
+        return vectors.sparkSession.createDataFrame([], f"{key} {kind}, grp string, topic_id int, score double, pos int")
+    shared = vectors.sparkSession.sparkContext.broadcast((model.sigma, model.loadings))
+    names = ["topic_id", "score"]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigma, loadings = shared.value
+        for batch in batches:
+            topic = np.tile(np.arange(min(n, len(sigma)), dtype=np.int32), (len(batch), 1))
+            score = np.zeros(topic.shape)
+            for rows, used, dense in svd.pieces(iter([pa.RecordBatch.from_arrays([batch.column(2)], ["features"])])):
+                topic[rows], score[rows] = _threshold(dense, sigma, loadings[used], topic.shape[1])
+            flat = pa.StructArray.from_arrays([pa.array(topic.ravel()), pa.array(score.ravel())], names)
+            bounds = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * topic.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, flat)], [key, "grp", "_best"])
+
+    found = vectors.select(key, "grp", "features").mapInArrow(best, schema)
+    rows = found.select(key, "grp", F.posexplode("_best").alias("pos", "_b"))
+    return rows.select(key, "grp", "_b.topic_id", "_b.score", (F.col("pos") + 1).alias("pos"))
+
+
+def _threshold(x: np.ndarray, sigma: np.ndarray, loadings: np.ndarray, n: int, step: int = 2 * TOPICS_PER_DOC) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` highest sigma-weighted scores of each row and their topics; equal to nine digits, the smaller topic comes first."""
+    scores = np.full((len(x), len(sigma)), -np.inf)
+    left, open_ = (x * x).sum(axis=1), np.arange(len(x))
+    for lo in range(0, len(sigma), step):
+        part = x[open_] @ loadings[:, lo:lo + step]
+        scores[open_, lo:lo + step] = part * sigma[lo:lo + step]
+        left[open_] -= (part * part).sum(axis=1)
+        if lo + step < len(sigma) and lo + step >= n:
+            nth = np.partition(scores[open_], len(sigma) - n, axis=1)[:, len(sigma) - n]
+            open_ = open_[sigma[lo + step] * np.sqrt(np.maximum(left[open_], 0) + 1e-12) >= nth - 1e-8]
+            if not len(open_):
+                break
+    order = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :n]
+    return order.astype(np.int32), np.take_along_axis(scores, order, axis=1)
+
+
+def topic_report(top: DataFrame, labels: DataFrame, topics: DataFrame, n: int = TOPICS_PER_DOC, key: str = "doc_id") -> DataFrame:
+    """Topics with their names and sigmas and the ``n`` documents that score highest among those that kept the topic."""
+    order = Window.partitionBy("topic_id").orderBy(F.desc(tie_safe(F.col("score"))), key)
+    first = top.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return first.join(F.broadcast(labels.join(topics, "topic_id")), "topic_id").select("topic_id", "label", "sigma", "place", key, "grp", "score")
+
+
 def topic_terms(components: DataFrame, n: int = TERMS_PER_TOPIC) -> DataFrame:
     """The ``n`` highest signed loadings per topic; ``pos`` ascends with the weight, as the report lists them."""
     order = Window.partitionBy("topic_id").orderBy(F.desc(tie_safe(F.col("weight"))), "term")

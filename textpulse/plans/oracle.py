@@ -311,6 +311,10 @@ BODIES = {
         CROSS JOIN (SELECT DISTINCT word FROM near) LEFT JOIN near USING (grp, word)""",
     "svd_energy": f"""SELECT {_r('(SELECT sum(x * x) FROM tx)', 'squares')}, round((SELECT sum(s * s) FROM tg), 3) AS fourths,
         {_r('(SELECT sum(x * x) FROM tx)', 'score_squares')}""",
+    "svd_term_products": f"""SELECT p.term, q.term AS other, {_r("coalesce(s, 0)", "s")} FROM tv p CROSS JOIN tv q LEFT JOIN (SELECT a.term, b.term AS other,
+        sum(a.x * b.x) AS s FROM tx a JOIN tx b USING (doc_id) GROUP BY ALL) t ON t.term = p.term AND t.other = q.term""",
+    "svd_update": f"""SELECT {_r('(SELECT sum(x * x) FROM tx)', 'squares')}, round((SELECT sum(s * s) FROM tg), 3) AS fourths,
+        CAST(0 AS DOUBLE) AS sigma_gap, CAST(0 AS DOUBLE) AS angle""",
     "svd_residual": "SELECT CAST(0 AS DOUBLE) AS skew, CAST(0 AS DOUBLE) AS gap",
     "topic_terms": f"SELECT topic_id, term, {_r('weight')}, pos FROM gl",
     "topics_with_term": f"""SELECT topic_id, term, {_r('weight')} FROM gl WHERE term = (SELECT term FROM gl GROUP BY term

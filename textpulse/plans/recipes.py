@@ -577,6 +577,39 @@ def doc_topic_scores(spark, folder):
     return _model(spark, folder).scores.select("doc_id", "topic_id", r6("score"))
 
 
+@query
+def svd_term_products(spark, folder):
+    """Sums over the topics of sigma squared times two terms' weights: products of the terms' columns, whatever the signs of the topics."""
+    model = _model(spark, folder)
+    parts = stored(model.components.join(model.topics, "topic_id").select("topic_id", "term", (F.col("weight") * F.col("sigma")).alias("x")), "components")
+    products = parts.join(parts.select("topic_id", F.col("term").alias("other"), F.col("x").alias("y")), "topic_id")
+    return products.groupBy("term", "other").agg(F.sum(F.col("x") * F.col("y")).alias("s")).select("term", "other", r6("s"))
+
+
+@query
+def svd_update(spark, folder):
+    """The topics of one half of the documents, updated with the other: sums as in svd_energy, and how far the values and the space of
+    the topics are from those of all documents at once."""
+    vectors, words = _vectors(spark, folder)
+    vectors = stored(vectors, "topic-vectors")
+    first = topics.svd_topics(vectors.where("doc_id % 2 = 0"), words)
+    both = topics.update_topics(first, vectors.where("doc_id % 2 = 1"))
+    gaps = topics.model_gaps(both, topics.svd_topics(vectors, words))
+    square = F.col("sigma") * F.col("sigma")
+    return both.topics.agg(r6(F.sum(square), "squares"), F.round(F.sum(square * square), 3).alias("fourths"),
+                           *(F.round(F.lit(gap), 6).alias(name) for name, gap in gaps.items()))
+
+
+@query
+def topic_documents(spark, folder):
+    """From texts to a report: every topic of the documents, its name, and the documents that carry it most, with title and place."""
+    model, docs = _model(spark, folder), corpora.documents(spark, folder)
+    best = topics.top_topics(model.vectors, model)
+    report = topics.topic_report(best, topics.topic_labels(topics.topic_terms(model.components)), model.topics)
+    titles = docs.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    return report.join(titles, "doc_id").select("topic_id", "label", r6("sigma"), "place", "doc_id", "grp", "title", r6("score"))
+
+
 @query
 def svd_energy(spark, folder):
     """Sums over the topics, and over the scores of the documents, that the vectors alone determine if all topics are kept."""
