@@ -170,24 +170,45 @@ TEXTS = ["", " ", "a", "  two  blanks ", "line\n next\n\n  line ", "<|endoftext|
          "\t tab \r\n x", "end. ", "x" * 3000 + " tail", "a b. c, d! e"]
 
 
-def test_pieces_give_the_ids_of_whole_texts():
+def encoded(texts):
+    raw = [t.encode() for t in texts]
+    return tokens.encoder(TOKENIZER)(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def odd_texts(n=3000):
+    rng = random.Random(7)
+    letters = ["a", "b", "X", "é", "ß", "×", "ñ", "ō", " ", " ", "  ", "\n", "\n", "\t", ".", ",", "!", "'s", "7", "\u00a0", "\u3000", "😀", "e\u0301", "<|endoftext|>", "the", "und"]
+    return TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("remembered", [300_000, 50])
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch, remembered):
     from tokenizers import Tokenizer
-    whole, rng = Tokenizer.from_file(TOKENIZER), random.Random(7)
-    letters = ["a", "b", "X", "é", "ß", " ", " ", "  ", "\n", "\t", ".", ",", "'s", "7", " ", "😀", "<|endoftext|>", "the", "und"]
-    texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
-    encode = tokens.encoder(TOKENIZER)
+    monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+    tokens.encoder.cache_clear()
+    whole, texts = Tokenizer.from_file(TOKENIZER), odd_texts()
     for lo in range(0, len(texts), 500):
-        ids, counts = encode(texts[lo:lo + 500])
+        ids, counts = encoded(texts[lo:lo + 500])
         at = np.cumsum([0, *counts])
         for i, t in enumerate(texts[lo:lo + 500]):
             assert ids[at[i]:at[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    assert encoded([])[1].tolist() == [] and encoded(["", ""])[1].tolist() == [0, 0]
 
 
-def test_pieces_are_forgotten_when_there_are_many(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 10)
-    encode = tokens.encoder(TOKENIZER)
-    first, again = encode(TEXTS), encode(TEXTS)
-    assert (first[0] == again[0]).all() and (first[1] == again[1]).all()
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    want = encoded(TEXTS)
+    monkeypatch.setattr(tokens.Prefix, "spans", lambda self, start, end: (end - start).astype(np.uint64))
+    got = encoded(TEXTS)
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer
+    lower = TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")
+    whole = Tokenizer.from_file(lower)
+    raw = [t.encode() for t in TEXTS]
+    ids, counts = tokens.encoder(lower)(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert ids.tolist() == [i for t in TEXTS for i in whole.encode(t, add_special_tokens=False).ids] and counts.sum() == len(ids)
 
 
 def brute_records(rows):

@@ -32,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textpulse.llm.buffers import text_chunks
 from textpulse.llm.tokens import encoder
 
 POLYNOMIAL = 0x82F63B78  # Castagnoli, reflected
 MASK = 0xA282EAD8
 PIECE = 256
-TEXT_BYTES = 64 << 20  # of texts to a file
+TEXT_BYTES = 32 << 20  # of texts to a file
 UNKNOWN = 1 << 56  # Spark's estimate for what is not a table is near 2**63
-ROW_CHARS = 1 << 20
 HEAD, TAIL, FACTS = 12, 4, 12
-CHECKED_BYTES = 8 << 20
+CHECKED_BYTES = 2 << 20
 INDEX = "file bigint, at bigint, bytes bigint, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
@@ -151,22 +151,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-
-        def framed(keys: list, texts: list) -> pa.RecordBatch:
-            ids, counts = encode(texts)
-            return pa.RecordBatch.from_arrays([pa.array([frames(keys, np.insert(ids, np.cumsum(counts), end_id), counts + 1)], pa.binary())], ["value"])
-
-        keys, texts, size = [], [], 0
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys.append(k)
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= ROW_CHARS:
-                    yield framed(keys, texts)
-                    keys, texts, size = [], [], 0
-        if keys:
-            yield framed(keys, texts)
+            for lo, hi, data, bounds in text_chunks(batch.column(1)):
+                ids, counts = encode(data, bounds)
+                value = frames(batch.column(0).slice(lo, hi - lo).to_pylist(), np.insert(ids, np.cumsum(counts), end_id), counts + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
 
     separator = empty_record().decode("latin-1")
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", separator).option(
