@@ -3,26 +3,31 @@
 A text's set is its distinct ``n``-word shingles as 64-bit hashes. Texts with equal sets form one class; classes are joined,
 not texts. With similarity of at least ``t``, two sets of sizes a <= b share at least ``2t/(1+t) a`` and ``t b`` shingles, so
 after ordering all shingles by one global order, rare ones first, they share ``k`` of the first ``a - ceil(2t/(1+t) a) + k``
-and ``b - ceil(t b) + k``. Every class chooses its own ``k``: the estimated cost of its posting lists and of the candidates
-left after asking for ``k`` shared tokens is computed for ``k`` from 1 to ``MAX_MATCH`` from the estimated frequencies, and the
-cheapest is taken. A pair must share the smaller ``k`` of the two before its texts are compared.
-
-Frequencies come from a sketch of fixed size that counts every shingle of every text: a bin well above the mean holds a
-frequent shingle, which moves to the end of the order.
-
-Links are found in two steps. First each posting list links its members to the list's first member (the text with the fewest rare shingles) and to their
-predecessors, which is linear in its length; texts of these pairs are compared and components are formed. Second, in lists that
-still hold several components, members outside the largest component meet all members of other components, counted by pair
-against ``k``. Pairs inside a component are never formed, so a group of thousands of near copies costs a few rows a text. Lists
-of frequent shingles are split by a hash of the member before they are sorted, and joined again by their first members.
-
-Comparison is exact: a histogram of the hashes bounds what two sets can share, and for pairs within the bound shingle sets are
-rebuilt from the two whole texts. Components are computed by alternating the large-star
-and small-star steps on written tables.
+and ``b - ceil(t b) + k``. The order decides how many pairs meet, so frequencies are learned in two steps.
+
+A sketch of fixed size, in which every shingle of every text counts, tells very frequent shingles, which move to the end of the order.
+The lists themselves are then measured exactly: the shingles of the longest prefix that a class may choose are counted by a shuffle, and
+those that no other class has there drop out, as they link nothing. Each class chooses its own ``k`` from 1 to
+``MAX_MATCH``: the lengths of its lists, and what is left to compare after asking for ``k`` shared tokens, give a cost,
+and the cheapest is taken. A pair must share the smaller ``k`` of the two before it is compared.
+
+Links are found in rounds. In the first, each list links its members to the list's first member (the one with the fewest shingles of
+its own) and to their predecessors, and each member is compared with the one of each kind that it meets most often. Components
+are formed; in the next, the components of a list other than its largest one send one member each to meet one
+of the largest. This is linear in the lists. At last, in lists that still hold several components, members outside the largest
+component meet all members of other components, in the shortest prefixes, where similar sets meet at least once, and the pairs'
+chosen prefixes are counted against ``k``. No pair is formed there that cannot be similar: a
+token that only one of two sets has, before one that both have, is in the other nowhere, and what follows is bounded by what is left
+of the smaller. Pairs inside a component are never formed, so a
+group of thousands of near copies costs a few rows a text. Lists that the sketch tells to be very long are split by a hash of the
+member before they are sorted, and joined again by their first members.
+
+Comparison is exact: a histogram of the hashes bounds what two sets can share, and for pairs within the bound the sets are
+rebuilt from the whole texts. Components are computed by alternating the large-star and small-star steps on written tables.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; a text with fewer than ``n`` words
-has its whole sequence as its one shingle; rows with equal texts are one class; a row without id links with nothing and has a null component; of several
-texts under one id one is compared; other columns are kept by ``deduplicate`` and ignored by the join.
+has its whole sequence as its one shingle; rows with equal texts are one class. A row without id links with nothing and has a null
+component. Several texts under one id are all compared, and belong together. Other columns are kept by ``deduplicate`` and ignored by the join.
 """
 
 from __future__ import annotations
@@ -34,17 +39,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textpulse.llm.buffers import LOWER_VALUES, VISIBLE, Prefix, collect_vectors, mix, summed_vectors, text_chunks, words
+from textpulse.llm.buffers import LOWER_VALUES, VISIBLE, Prefix, collect_vectors, mix, summed_vectors, text_chunks, with_text_columns, words
 from textpulse.llm.tables import bit_table, in_bit_table, stored
 
 SKETCH = 1 << 18
 MAX_MATCH = 16
 VERIFY_COST = 20.0  # of one comparison, in postings
-RARE = 0.1  # assumed partners of a shingle that the sketch does not tell from unique ones
 HISTOGRAM = 256
 SPLIT = 1 << 16  # members of a posting list beyond which it is sorted in parts
-_MASK = (1 << 63) - 1
+ROUNDS = 1
+_MASK = (1 << 63) - 1  # digests are 63 bits
 
 
 def stable(values: np.ndarray, most: int) -> np.ndarray:
@@ -114,76 +120,140 @@ def set_digests(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
-SETS = ("doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, k int, own int, rare int, tokens array<bigint>, frequent array<int>, "
-        "histogram binary")
+def _signed(h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64))
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)
 
 
-def prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Set size, digests, chosen ``k`` and prefix of every text.
+SETS = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, tokens array<bigint>, heat array<bigint>, histogram binary"
 
-    The first ``own`` tokens are the shorter prefix, by which a set meets sets that are not smaller; ``frequent`` tells for each
-    token into how many parts its posting list is split (0 and 1: not at all).
+
+def longest_prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Set size, digests, histogram, and the longest prefix that a text may choose, in order.
+
+    ``heat`` is the estimated number of texts of a token's list if that is to be split, else 0.
     """
     frequency = docs.sparkSession.sparkContext.broadcast(excess(sketch(docs, n, text)).astype(np.float32))
-    both = 2 * share / (1 + share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = frequency.value
         level = np.where(freq > 0, np.ceil(np.log2(np.maximum(freq, 1))) + 1, 0).astype(np.int64)
-        parts = np.where(freq > SPLIT, np.minimum(1 << 14, freq / SPLIT + 1), 0).astype(np.int32)
         for batch in batches:
             ids = batch.column(0)
             for lo, hi, data, bounds in text_chunks(batch.column(1)):
                 rows = hi - lo
                 h, of = shingle_sets(data, bounds, n)
                 d1, d2 = set_digests(h, of, rows)
-                bins = _bins(h)
-                order = stable(level[bins], 64)  # rows of h are in order of hash already
+                order = stable(level[_bins(h)], 64)  # rows of h are in order of hash already
                 order = order[stable(of[order], rows)]
-                h, bins = h[order], bins[order]
                 at = np.searchsorted(of, np.arange(rows + 1))
                 size = np.diff(at)
-                rare = np.bincount(of[freq[bins] == 0], minlength=rows)
-                cost = np.concatenate(([0.0], np.cumsum(freq[bins] + RARE)))
-                probe, index = size - least(share, size), size - least(both, size)
-                best, k = np.full(rows, np.inf), np.ones(rows, np.int64)
-                for m in range(1, MAX_MATCH + 1):
-                    length = np.minimum(probe + m, size)
-                    price = (cost[at[:-1] + length] - cost[at[:-1]]) * (1 + VERIFY_COST / m)
-                    better = (price < best) & ((m == 1) | (m <= least(share, size)))
-                    best, k = np.where(better, price, best), np.where(better, m, k)
-                length = np.minimum(probe + k, size)
+                length = np.minimum(size - least(share, size) + MAX_MATCH, size)
+                take = order[np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())]
+                heat = freq[_bins(h[take])]
                 cells = np.bincount(of * HISTOGRAM + (h & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=rows * HISTOGRAM)
                 cells = np.minimum(cells, 65535).astype("<u2").tobytes()  # clipped counts are no bound: see _may_be_similar
-                take = np.repeat(at[:-1] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-                offsets = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(lo, rows), pa.array(size), pa.array(d1), pa.array(d2), pa.array(k.astype(np.int32)),
-                    pa.array(np.minimum(index + k, size).astype(np.int32)), pa.array(rare.astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array((h[take] & np.uint64(_MASK)).astype(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(parts[bins[take]])),
+                    ids.slice(lo, rows), pa.array(size), pa.array(d1), pa.array(d2), _lists(_signed(h[take]), length),
+                    _lists(pa.array(np.where(heat > SPLIT, heat, 0).astype(np.int64)), length),
                     pa.array([cells[i:i + 2 * HISTOGRAM] for i in range(0, len(cells), 2 * HISTOGRAM)], pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "k", "own", "rare", "tokens", "frequent", "histogram"])
+                    [f.split()[0] for f in SETS.split(", ")])
 
     return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(run, SETS)
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """One row per prefix token of a class: (token, part, id, size, k, own), in lists within a partition.
+def repeated(rows: DataFrame) -> DataFrame:
+    """Of distinct rows ``(h, node)`` those whose ``h`` has several, with their number: ``(node, h, n)``.
+
+    A stream over sorted rows that holds the rows of one ``h``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(h: np.ndarray, node: np.ndarray, counts: np.ndarray):
+            number = np.repeat(counts, counts)
+            keep = number > 1
+            return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(h[keep]), pa.array(number[keep])], ["node", "h", "n"])
+
+        for batch in batches:
+            h, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if held and len(h) and h[0] == h[-1] == held[0][0][0]:
+                held.append((h, node))
+                continue
+            h, node = (np.concatenate(x) for x in zip(*held, (h, node)))
+            if len(h):
+                starts = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
+                last = starts[-1]
+                yield out(h[:last], node[:last], np.diff(starts))
+                held = [(h[last:], node[last:])]
+        if held:
+            h, node = (np.concatenate(x) for x in zip(*held))
+            yield out(h, node, np.array([len(h)]))
+
+    return rows.repartition("h").sortWithinPartitions("h").select("h", "node").mapInArrow(run, "node bigint, h bigint, n bigint")
+
 
-    A list begins with the member that has the fewest rare shingles. Among near copies that is the text they were made from,
+CHOSEN = "id bigint, size bigint, k int, own int, short_own int, short int, rare bigint, tokens array<bigint>, frequent array<int>, room array<int>, rest array<int>"
+
+
+def chosen_prefixes(classes: DataFrame, shared: DataFrame, share: Fraction) -> DataFrame:
+    """``k`` and prefix of the classes whose prefix holds shared tokens, which ``shared`` lists as ``(node, h, n)``.
+
+    The first ``own`` tokens are of the shorter prefix, by which a set meets sets that are not smaller; ``short_own`` and ``short`` are
+    the lengths of both prefixes for ``k`` = 1, one token of which two similar sets share at least. ``frequent`` tells for each
+    token into how many parts its posting list is split (0 and 1: not at all). ``rare`` tokens of the longest prefix are in no other;
+    ``room`` is the size without those before a token: a set that shares the token has none of them, as its own prefix would hold it.
+    ``rest`` is how many shingles come after the token.
+    """
+    listed = shared.groupBy("node").agg(F.collect_list(F.struct("h", "n")).alias("s"))  # no longer than a prefix
+    hot = F.exists("heat", lambda x: x > 0)
+    rows = classes.select("node", "n_shingles", "tokens", "heat").join(listed, "node", "left").where(F.col("s").isNotNull() | hot)
+    both = 2 * share / (1 + share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, len(b), 256)):  # Python objects of a few rows at a time
+            out = []
+            for node, size, tokens, heat, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                known = {x["h"]: x["n"] for x in s or ()}
+                lengths = np.array([x or known.get(t, 0) for t, x in zip(tokens, heat)], np.float64)
+                whole = np.array([size])
+                probe, index, most = size - int(least(share, whole)[0]), size - int(least(both, whole)[0]), max(1, int(least(share, whole)[0]))
+                cost = np.concatenate(([0.0], np.cumsum(lengths)))
+                m = np.arange(1, min(MAX_MATCH, most) + 1)
+                k = int(np.argmin(cost[np.minimum(probe + m, size)] * (1 + VERIFY_COST / m))) + 1
+                at = np.flatnonzero(lengths[:min(probe + k, size)])
+                if len(at):
+                    out.append((node, size, k, *(int(np.searchsorted(at, min(x, size))) for x in (index + k, index + 1, probe + 1)), int((lengths == 0).sum()),
+                                [tokens[i] for i in at], [int(heat[i] // SPLIT) + 1 if heat[i] else 0 for i in at],
+                                (size - np.cumsum(lengths == 0)[at]).tolist(), (size - at - 1).tolist()))
+            columns = list(zip(*out)) or [[]] * 11
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], [f.split()[0] for f in CHOSEN.split(", ")])
+
+    return rows.mapInArrow(run, CHOSEN)
+
+
+def _postings(chosen: DataFrame) -> DataFrame:
+    """One row per prefix token of a class: (token, part, id, size, k, own, short, room, rest), in lists within a partition.
+
+    A list begins with the member that has the fewest shingles of its own. Among near copies that is the text they were made from,
     which is closer to each of them than they are to each other; then ids decide.
 
     What a list has alone in its part, and does not share with other parts, is dropped by ``_neighbours``.
     """
-    rows = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"), F.col("k").cast("short").alias("k"), "own", "rare",
-                       F.posexplode(F.arrays_zip("tokens", "frequent")).alias("pos", "t"))
-    part = F.when(F.col("t.frequent") > 1, F.pmod(F.xxhash64("id"), F.col("t.frequent"))).otherwise(-1).cast("short")
-    rows = rows.select(F.col("t.tokens").alias("token"), part.alias("part"), "id", "size", "k", (F.col("pos") < F.col("own")).alias("own"), "rare")
+    rows = chosen.select("id", F.col("size").cast("int").alias("size"), F.col("k").cast("short").alias("k"), "short_own", "short", "rare",
+                         F.posexplode(F.arrays_zip("tokens", "frequent", "room", "rest")).alias("pos", "t"))
+    parts = F.least(F.col("t.frequent"), F.lit(1 << 14))
+    part = F.when(parts > 1, F.pmod(F.xxhash64("id"), parts)).otherwise(-1).cast("short")
+    rows = rows.select(F.col("t.tokens").alias("token"), part.alias("part"), "id", "size", "k", (F.col("pos") < F.col("short_own")).alias("own"),
+                       (F.col("pos") < F.col("short")).alias("short"),                        F.col("t.room").alias("room"), F.col("t.rest").alias("rest"), "rare")
     return rows.repartition("token", "part").sortWithinPartitions("token", "part", "rare", "id").drop("rare")
 
 
-NEIGHBOURS = "token bigint, part short, id bigint, size int, k short, own boolean, head bigint, previous bigint"
+NEIGHBOURS = "token bigint, part short, id bigint, size int, k short, own boolean, short boolean, room int, rest int, head bigint, previous bigint"
 
 
 def _neighbours(postings: DataFrame) -> DataFrame:
@@ -238,12 +308,12 @@ def _similar(sizes_a: str, sizes_b: str, share: Fraction):
     return (a * share.denominator >= b * share.numerator) & (b * share.denominator >= a * share.numerator)
 
 
-def _may_be_similar(pairs: DataFrame, facts: DataFrame, share: Fraction) -> DataFrame:
+def _may_be_similar(pairs: DataFrame, classes: DataFrame, share: Fraction) -> DataFrame:
     """Drop pairs whose histograms rule the similarity out.
 
     A histogram counts a set's shingles by 8 bits of their hash; the sum of the smaller counts bounds the intersection from above.
     """
-    side = facts.select("id", "size", "histogram")
+    side = classes.select("node", F.col("n_shingles").cast("int"), "histogram")
     joined = pairs.join(side.toDF("a", "size_a", "cells_a"), "a").join(side.toDF("b", "size_b", "cells_b"), "b").select(
         "a", "b", "size_a", "size_b", "cells_a", "cells_b")
 
@@ -263,32 +333,41 @@ def _may_be_similar(pairs: DataFrame, facts: DataFrame, share: Fraction) -> Data
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def compare(pairs: DataFrame, facts: DataFrame, docs: DataFrame, n: int, share: Fraction, key: str, text: str) -> DataFrame:
-    """Those ``(a, b)`` whose whole texts are similar enough; only texts of pairs that histograms leave are fetched."""
-    pairs = stored(_may_be_similar(pairs, facts, share), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(_texts_of(docs, ids, key, text), "texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def whole_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """``(node, hashes)`` of ``nodes``, rebuilt from the texts of their classes' smallest ids."""
+    kept = classes.join(nodes, "node", "left_semi").select("node", "rep", "d1", "d2", "n_shingles")
+    kept = stored(kept, "fetched")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"))
+    # Most other texts are dropped before the shuffle by a bit table of fixed size.
+    rows = in_bit_table(rows, "rep", bit_table(kept.select("rep"))).join(kept.select("rep").distinct(), "rep", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, bounds in text_chunks(batch.column(1)):
+                h, of = shingle_sets(data, bounds, n)
+                at = np.searchsorted(of, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), *map(pa.array, set_digests(h, of, hi - lo)),
+                    pa.array([h[at[i]:at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], ["rep", "n_shingles", "d1", "d2", "hashes"])
+
+    found = rows.mapInArrow(run, "rep bigint, n_shingles bigint, d1 bigint, d2 bigint, hashes binary")
+    keys = ["rep", "d1", "d2", "n_shingles"]
+    return found.join(kept, keys).dropDuplicates(keys).select("node", "hashes")
+
+
+def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share: Fraction, key: str, text: str) -> DataFrame:
+    """Those ``(a, b)`` whose whole sets are similar enough; only texts of pairs that histograms leave are fetched."""
+    pairs = stored(_may_be_similar(pairs, classes, share), "pairs")
+    sets = stored(whole_sets(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n, key, text), "sets")
+    joined = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                column = batch.column(name)
-                sides.append([(lo, hi, *shingle_sets(data, bounds, n)) for lo, hi, data, bounds in text_chunks(column)])
-            sets = []
-            for side in sides:
-                own: list[np.ndarray] = []
-                for lo, hi, h, of in side:
-                    own += np.split(h, np.searchsorted(of, np.arange(1, hi - lo)))
-                sets.append(own)
             keep = []
-            for x, y in zip(*sets):
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - shared
-                keep.append(union > 0 and share.denominator * shared >= share.numerator * union)
+                keep.append(share.denominator * shared >= share.numerator * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "a bigint, b bigint")
@@ -328,64 +407,180 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(table.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) of ``ids``. Most other texts are dropped before the shuffle by a bit table of fixed size."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    kept = in_bit_table(rows, "id", bit_table(ids.select("id")))
-    return kept.join(ids.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+def _best_partners(met: DataFrame, *kind: str) -> DataFrame:
+    """Of rows ``(x, y, k)``, one a shared list, each x with the y it meets most often (of each kind), at least ``k`` times."""
+    pairs = met.groupBy("x", "y", *kind).agg(F.count("*").alias("n"), F.max("k").alias("k"))
+    best = pairs.groupBy("x", *kind).agg(F.max_by(F.struct("y", "n", "k"), F.struct("n", -F.col("y"))).alias("p"))
+    return best.where("p.n >= p.k").select(F.greatest("x", "p.y").alias("a"), F.least("x", "p.y").alias("b")).distinct()
+
+
+def _along_lists(lists: DataFrame) -> DataFrame:
+    """Pairs of the first round: members with first members and predecessors, and first members of the parts of split lists."""
+    sides = F.array(F.struct(F.lit(0).alias("kind"), F.col("head").alias("y")), F.struct(F.lit(1).alias("kind"), F.col("previous").alias("y")))
+    near = lists.select(F.col("id").alias("x"), "k", F.inline(sides)).where("y >= 0 AND x <> y")
+    split = lists.where("part >= 0")
+    across = split.select("token", F.col("head").alias("x")).distinct().join(split.groupBy("token").agg(F.min("head").alias("to")), "token")
+    across = across.where("x <> to").select(F.greatest("x", "to").alias("a"), F.least("x", "to").alias("b"))
+    # A list counts for its head and a neighbour only, so these counts may fall short of k; what they miss is left to later steps.
+    return _best_partners(near, "kind").unionByName(across).distinct()
+
+
+def _across_components(rows: DataFrame) -> DataFrame:
+    """Pairs of a further round: for each list, one member of every component but the largest with one of the largest."""
+    groups = rows.groupBy("token", "component").agg(F.count("*").alias("m"), F.min(F.struct("id", "k")).alias("one"))
+    main = groups.groupBy("token").agg(F.max_by(F.struct("component", "one"), F.struct("m", "component")).alias("main"))
+    met = groups.join(main, "token").where(F.col("component") != F.col("main.component"))
+    return _best_partners(met.select(F.col("one.id").alias("x"), F.col("main.one.id").alias("y"), F.least("one.k", "main.one.k").alias("k")))
+
+
+def _met_in_lists(rows: DataFrame, share: Fraction) -> DataFrame:
+    """The exact rest: members outside a list's largest component with all members of other components.
+
+    A similar pair meets in the shortest prefixes, so only these are joined: in the first shared token, from which on either set has as
+    many as they must share. Two sets that share a token share, up to it, no more than
+    either has there of tokens that others have, and after it no more than either has left; if that is too little the pair is not formed.
+    """
+    enough = lambda most: most * (share.numerator + share.denominator) >= (F.col("size_a") + F.col("size")) * share.numerator
+    rows = rows.where("short")
+    shares = rows.groupBy("token", "component").agg(F.count("*").alias("m"))
+    mixed = shares.groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("m", "component")).alias("main"))
+    rows = rows.join(mixed.where("groups > 1").select("token", "main"), "token")
+    few = rows.where("component <> main").select(F.col("token").alias("t"), *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "room", "rest", "component")))
+    met = few.join(rows, (F.col("t") == F.col("token")) & (F.col("component_a") != F.col("component")) & _similar("size_a", "size", share)
+                   & enough(F.least(F.col("room_a") - F.col("rest_a"), F.col("room") - F.col("rest")) + F.least("rest_a", "rest"))
+                   & enough(F.least("rest_a", "rest") + 1)
+                   & ((F.col("component") == F.col("main")) | (F.col("id_a") > F.col("id"))))
+    return met.select(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")).distinct()
+
+
+def _sharing_enough(pairs: DataFrame, prefixes: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs whose chosen prefixes share the smaller ``k`` of the two, and whose sets can still share enough after the last shared token."""
+    side = prefixes.select("id", "size", "k", "own", "tokens", "rest")
+    names = ("size", "k", "own", "tokens", "rest")
+    joined = pairs.join(side.toDF("a", *(f"{c}_a" for c in names)), "a").join(side.toDF("b", *(f"{c}_b" for c in names)), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, len(b), 1024)):
+            facts = {f"{c}_{x}": batch.column(f"{c}_{x}").to_pylist() for c in ("size", "k", "own") for x in "ab"}
+            lists = {f"{c}_{x}": batch.column(f"{c}_{x}") for c in ("tokens", "rest") for x in "ab"}
+            keep = []
+            for i in range(len(batch)):
+                small, large = ("a", "b") if facts["size_a"][i] <= facts["size_b"][i] else ("b", "a")
+                own = facts[f"own_{small}"][i] if facts["size_a"][i] != facts["size_b"][i] else len(lists[f"tokens_{small}"][i])
+                x, y = (lists[f"tokens_{s}"][i].values.to_numpy(zero_copy_only=False) for s in (small, large))
+                _, at, to = np.intersect1d(x[:own], y, assume_unique=True, return_indices=True)
+                k = min(facts["k_a"][i], facts["k_b"][i])
+                if len(at) < k:
+                    keep.append(False)
+                    continue
+                left = min(lists[f"rest_{small}"][i][int(at.max())].as_py(), lists[f"rest_{large}"][i][int(to.max())].as_py())
+                total = facts["size_a"][i] + facts["size_b"][i]
+                keep.append((len(at) + left) * (share.numerator + share.denominator) >= total * share.numerator)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
+    label = stored(components(links), "labels")
+    rows = lists.select("token", "id", "size", "own", "short", "room", "rest", "k").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return stored(rows, "labelled")
 
 
 def similar_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` of every row; the component is the smallest id that links reach."""
+    out = _grouped(docs, n, share, key, text)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def _grouped(docs: DataFrame, n: int, share: tuple[int, int], key: str, text: str) -> DataFrame:
+    """``(doc_id, n_shingles, d1, d2, component)`` of every row; without a component the row is alone in its own."""
     share = Fraction(*share)
-    sets = stored(prefixes(docs, n, share, key, text), "shingle-sets")
+    sets = stored(longest_prefixes(docs, n, share, key, text), "shingle-sets")
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("members"))
-    classes = stored(classes, "shingle-classes")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(
-        ["doc_id", "d1", "d2"])  # by the keys of the join, so the prefixes are shuffled once
-    lists = stored(_neighbours(_postings(reps)), "postings")
-    # First step: links along the lists, and between the heads of a split list.
-    heads = lists.where("part >= 0").groupBy("token").agg(F.min("head").alias("to"))
-    near = lists.select(F.col("id").alias("x"), "k", F.inline(F.array(F.struct(F.col("head").alias("y")), F.struct(F.col("previous").alias("y"))))).where(
-        "y >= 0 AND x <> y")
-    across = lists.where("part >= 0").select("token", F.col("head").alias("x")).distinct().join(heads, "token").select(
-        "x", F.lit(1).cast("short").alias("k"), F.col("to").alias("y")).where("x <> y")
-    facts = stored(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "k", "histogram").dropDuplicates(["id"]), "facts")
-    sizes = facts.select("id", "size")
-    # A list counts for its head and for a neighbour only, so these counts may fall short of k; what they miss is left to the second step.
-    pairs = near.unionByName(across).groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(
-        F.count("*").alias("n"), F.max("k").alias("k")).where("n >= k").select("a", "b")
-    pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(
-        _similar("size_a", "size_b", share)).select("a", "b")
-    links = stored(compare(pairs, facts, docs, n, share, key, text), "links")
-    label = stored(components(links), "labels")
-    # Second step: lists with several components.
-    rows = lists.select("token", "id", "size", "k", "own").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = stored(rows, "labelled")
-    shares = rows.groupBy("token", "component").agg(F.count("*").alias("m"))
-    mixed = shares.groupBy("token").agg(F.count("*").alias("groups"), F.max_by("component", F.struct("m", "component")).alias("main"))
-    mixed = mixed.where("groups > 1").select("token", "main")
-    rows = rows.join(mixed, "token")
-    few = rows.where("component <> main").select(F.col("token").alias("t"), *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "k", "own", "component")))
-    met = few.join(rows, (F.col("t") == F.col("token")) & (F.col("component_a") != F.col("component")) & _similar("size_a", "size", share)
-                   & ((F.col("component") == F.col("main")) | (F.col("id_a") > F.col("id")))
-                   & ((F.col("own_a") & (F.col("size_a") <= F.col("size"))) | (F.col("own") & (F.col("size") <= F.col("size_a")))))
-    counted = met.groupBy(F.greatest("id_a", "id").alias("a"), F.least("id_a", "id").alias("b")).agg(
-        F.count("*").alias("n"), F.min(F.least("k_a", "k")).alias("k")).where("n >= k").select("a", "b")
-    links = links.unionByName(stored(compare(counted, facts, docs, n, share, key, text), "links"))
-    final = stored(components(links), "labels")
-    # Only classes of several texts or with links need a name; any other text is its own component.
-    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").where("members > 1 OR component IS NOT NULL").select(
-        F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("component"))
+        F.min("doc_id").alias("rep"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("tokens", "heat", "histogram")))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
+    tokens = classes.select("node", F.explode(F.arrays_zip("tokens", "heat")).alias("t")).where("t.heat = 0").select(F.col("t.tokens").alias("h"), "node")
+    prefixes = stored(chosen_prefixes(classes, repeated(tokens), share), "prefixes")
+    lists = stored(_neighbours(_postings(prefixes)), "postings")
+    sizes = classes.select("node", F.col("n_shingles").alias("size"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(_similar("size_a", "size_b", share))
+        return stored(compare(pairs.select("a", "b"), classes, docs, n, share, key, text), "links")
+
+    links = linked(_along_lists(lists))
+    rows = _labelled(lists, links)
+    for _ in range(ROUNDS):
+        more = linked(_across_components(rows))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        rows = _labelled(lists, links)
+    links = links.unionByName(linked(_sharing_enough(_met_in_lists(rows, share), prefixes, share)))
+    # Several texts of one id belong together.
+    several = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min(F.struct("d1", "d2", "n_shingles")).alias("a"), F.max(F.struct("d1", "d2", "n_shingles")).alias("b")).where("a <> b").select("doc_id")
+    keyed = sets.select("doc_id", "d1", "d2", "n_shingles").join(several, "doc_id", "left_semi").join(
+        classes.select("d1", "d2", "n_shingles", "node"), ["d1", "d2", "n_shingles"]).select("doc_id", "node").distinct()
+    same = keyed.join(keyed.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").where("a <> b")
+    final = stored(components(links.unionByName(same)), "labels")
+    # A component is named by the smallest id of its classes. Only classes of several texts or with links need a name.
+    reach = classes.select("d1", "d2", "n_shingles", "rep", "members", F.col("node").alias("id")).join(final, "id", "left").where(
+        "members > 1 OR component IS NOT NULL")
+    names = reach.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("name"))
+    named = reach.join(names, "component", "left").select(
+        F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n_shingles").alias("_n"), F.coalesce("name", "rep").alias("component"))
     out = sets.select("doc_id", "n_shingles", "d1", "d2").join(
         named, (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n_shingles") == F.col("_n")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "n_shingles", "d1", "d2", "component")
 
 
 def deduplicate(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 100), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component. Rows without id stay."""
-    groups = similar_groups(docs, n, share, key, text)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key].cast("bigint") == gone["_gone"], "left_anti")
+    """One row of each group of similar texts: one with the smallest id, and of several such rows the one with the smallest text.
+
+    Rows with equal texts but without id are a group, which goes if a row with an id has that text. Texts without words are alike
+    in nothing and stay, repeated or not.
+    """
+    groups = stored(_grouped(docs, n, share, key, text), "groups")
+    gone = groups.where("component < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = docs.join(gone, docs[key].cast("bigint") == gone["_gone"], "left_anti")
+    several = groups.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(
+        F.col("doc_id").alias("_several"))
+    nameless = groups.where("n_shingles > 0 AND doc_id IS NULL")
+    if several.isEmpty() and nameless.isEmpty():
+        return rows
+    return _single(docs, rows, several, groups, n, key, text)
+
+
+def _single(docs: DataFrame, rows: DataFrame, several: DataFrame, groups: DataFrame, n: int, key: str, text: str) -> DataFrame:
+    """One row for each of the ids in ``several``, and for each text of rows without id; repeated rows are combined before a shuffle."""
+    columns = docs.columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    with_id = rows.where(F.col(key).isNotNull())
+    once = with_id.join(several, with_id[key].cast("bigint") == several["_several"], "left_anti")
+    packed = with_id.join(several, with_id[key].cast("bigint") == several["_several"], "left_semi").select(
+        F.col(key).alias("_id"), F.col(text).alias("_text"), whole.alias("_row"))
+    packed = _with_digests(packed, n)
+    wordless = packed.where("_size = 0").select("_row.*")
+    kept = packed.where("_size > 0").groupBy("_id").agg(F.min_by("_row", "_text").alias("_row")).select("_row.*")
+    bare = _with_digests(rows.where(F.col(key).isNull()).select(F.col(key).alias("_id"), F.col(text).alias("_text"), whole.alias("_row")), n)
+    known = groups.where("doc_id IS NOT NULL AND n_shingles > 0").select(
+        F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n_shingles").alias("_size")).distinct()
+    alone = bare.where("_size > 0").join(known, ["_d1", "_d2", "_size"], "left_anti").groupBy("_d1", "_d2", "_size").agg(
+        F.min_by("_row", "_text").alias("_row")).select("_row.*")
+    return once.unionByName(wordless).unionByName(kept).unionByName(bare.where("_size = 0").select("_row.*")).unionByName(alone)
+
+
+def _with_digests(packed: DataFrame, n: int) -> DataFrame:
+    """Adds set size and digests of the column ``_text``."""
+    fields = [T.StructField(c, T.LongType()) for c in ("_size", "_d1", "_d2")]
+
+    def make():
+        def compute(data: np.ndarray, bounds: np.ndarray):
+            h, of = shingle_sets(data, bounds, n)
+            return (np.bincount(of, minlength=len(bounds) - 1), *set_digests(h, of, len(bounds) - 1))
+        return compute
+
+    return with_text_columns(packed, fields, make, text="_text")
