@@ -49,6 +49,39 @@ def test_components_when_lists_are_split(spark, monkeypatch):
     assert got == brute.components(rows, 3, (80, 100))
 
 
+def test_templates_among_many_other_texts_stay_linear(spark, monkeypatch):
+    """Groups of texts made from a template, too different to link: their pairs are not formed, however large the corpus."""
+    rng = random.Random(5)
+    word = lambda: f"x{rng.randrange(10 ** 9)}"
+    rows = []
+    for _ in range(20):
+        template = [word() for _ in range(60)]
+        rows += [[*template, *(word() for _ in range(25))] for _ in range(25)]
+    rows += [[word() for _ in range(40)] for _ in range(6000)]
+    compared = []
+    inner = jaccard._may_be_similar
+    monkeypatch.setattr(jaccard, "_may_be_similar", lambda pairs, *rest: compared.append(pairs.count()) or inner(pairs, *rest))
+    table = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    got = jaccard.similar_groups(table, 5, (80, 100))
+    assert got.where("component_id <> doc_id").count() == 0
+    assert sum(compared) < len(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+    near = base[0].replace("a30", "zz")
+    rows = [(5, base[0], 1)] * 4 + [(9, near, 2), (7, base[1], 3), (7, base[2], 4), (8, base[2] + " more", 5), (None, base[3], 6), (None, base[3], 6),
+                                    (None, base[1], 7), (1, None, 8), (1, None, 8), (2, "", 9), (3, "alone here", 10), (6, base[3] + " other", 11)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, _row int").repartition(3)
+    kept = sorted((r.doc_id or 0, r["_row"]) for r in jaccard.deduplicate(table).collect())
+    # 5 once; 7 with the smaller of its two texts; the text without id once; one without words is alike in nothing.
+    assert kept == [(0, 6), (1, 8), (1, 8), (2, 9), (3, 10), (5, 1), (6, 11), (7, 3)]
+    alone = spark.createDataFrame([(3, base[0])] * 500 + [(4, base[1])], "doc_id bigint, text string").repartition(5)
+    assert sorted(r.doc_id for r in jaccard.deduplicate(alone).collect()) == [3, 4]
+    groups = {(r.doc_id, r.component_id) for r in jaccard.similar_groups(table).collect()}
+    assert {(7, 7), (8, 7), (5, 5), (9, 5), (None, None)} <= groups  # 8 is linked with the second text of 7
+
+
 def test_components_on_odd_rows(docs, none, corpus):
     got = jaccard.similar_groups(docs, 5, (80, 100)).collect()
     want = brute.components([(r[0], r[1]) for r in corpus if r[0] is not None], 5, (80, 100))
@@ -153,6 +186,10 @@ def test_exponent_meets_its_target(spark):
     alpha = mixing.exponent(totals, mixing.Target(entropy=0.8))
     p = sizes ** alpha / (sizes ** alpha).sum()
     assert abs(-(p * np.log(p)).sum() - 0.8 * np.log(4)) < 1e-6
+    alpha = mixing.exponent(totals, mixing.Target(gap=0.25))
+    entropy = lambda p: -(p * np.log(p)).sum()
+    plain, p = sizes / sizes.sum(), sizes ** alpha / (sizes ** alpha).sum()
+    assert 0 < alpha < 1 and abs(entropy(p) - entropy(plain) - 0.25 * (np.log(4) - entropy(plain))) < 1e-6
     assert mixing.exponent(totals, mixing.Target(max_repeat=1e9)) == 0.0 and mixing.exponent(totals, mixing.Target(entropy=0.0)) == 1.0
     assert mixing.exponent(totals.limit(0), mixing.Target(max_repeat=4.0)) == 1.0
 
@@ -175,6 +212,71 @@ def test_mixture_spends_the_budget(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def brute_mixture(rows, hashes, block_tokens, seed=7):
+    """``{(key, text): (passes, copies, block, place)}``; ``hashes`` are Spark's, of documents and of (source, block, pass)."""
+    tokens = {k: len((t or "").split()) for k, (_, t, _) in rows.items()}
+    total = Counter()
+    for k, (_, _, source) in rows.items():
+        total[source] += tokens[k]
+    sizes = np.array([v for v in total.values() if v], float)
+    entropy = lambda a: -sum(p * math.log(p) for p in sizes ** a / (sizes ** a).sum())
+    wanted, lo, hi = entropy(1) + 0.5 * (math.log(len(sizes)) - entropy(1)), 0.0, 1.0
+    for _ in range(32):  # eight passes of four halvings
+        lo, hi = ((lo + hi) / 2, hi) if entropy((lo + hi) / 2) >= wanted - 1e-12 else (lo, (lo + hi) / 2)
+    weight = {s: v ** lo / (sizes ** lo).sum() for s, v in total.items() if v}
+    budget = max(total[s] / w for s, w in weight.items())
+    out = {}
+    for s in total:
+        passes = round(weight[s] * budget / total[s], 9) if total[s] else 1.0
+        full, blocks = int(passes), max(1, -(-total[s] // block_tokens))
+        left = math.floor((passes - full) * total[s])
+        own = {k: hashes["doc"][k] for k, r in rows.items() if r[2] == s}
+        block = {k: hashes["block"](h, blocks) for k, h in own.items()}
+        order = lambda n: sorted(range(blocks), key=lambda b: (hashes["order"](s, b, n), b))
+        taken, room = set(), left
+        for b in order(full):
+            size = sum(tokens[k] for k in own if block[k] == b)
+            if not left or not any(block[k] == b for k in own):
+                continue
+            if size <= room:
+                taken |= {k for k in own if block[k] == b}
+                room -= size
+                continue
+            for h in sorted({own[k] for k in own if block[k] == b}):
+                same = [k for k in own if block[k] == b and own[k] == h]
+                if sum(tokens[k] for k in same) > room:
+                    break
+                room -= sum(tokens[k] for k in same)
+                taken |= set(same)
+            break
+        place = {b: i + 1 for i, b in enumerate(order(0))}
+        out |= {k: (passes, full + (k in taken), block[k], place[block[k]]) for k in own}
+    return out
+
+
+def test_mixture_against_a_plain_one(spark):
+    """Passes, copies, blocks and places, with columns that have the names of working ones."""
+    rng = random.Random(9)
+    data = [(i, " ".join(["w"] * rng.randrange(0, 40)), ("a", "a", "a", "b", "b", "c", None)[rng.randrange(7)], 1, 2, 3, 4, 5, 6, 7) for i in range(500)]
+    names = ["doc_id", "text", "source", "tokens", "_doc", "_left", "_row", "_source", "_s", "_of"]
+    table = spark.createDataFrame(data, ", ".join(f"{n} {'string' if n in ('text', 'source') else 'bigint'}" for n in names)).repartition(3)
+    rows = {r[0]: (r[0], r[1], r[2]) for r in data}
+    doc = {r.doc_id: r.h for r in table.select("doc_id", mixing._order(F.col("doc_id"), F.col("text"), seed=7).alias("h")).collect()}
+    places = spark.createDataFrame([(h, s, b) for h in [0] for s in ("a", "b", "c", None) for b in range(60)], "h bigint, s string, b int")
+    turn = {(r.s, r.b, n): r[f"o{n}"] for r in places.select("s", "b", *(
+        mixing._order(F.col("s"), F.col("b"), F.lit(n).cast("bigint"), seed=9).alias(f"o{n}") for n in range(6))).collect() for n in range(6)}
+    salted = {r.h: r.v for r in spark.createDataFrame([(h,) for h in doc.values()], "h bigint").select("h", F.xxhash64(F.lit(8), "h").alias("v")).collect()}
+    got = mixing.mix(table, block_tokens=200)
+    assert set(got.columns) == {*names, *mixing.RESULTS}
+    want = brute_mixture(rows, {"doc": doc, "block": lambda h, n: salted[h] % n, "order": lambda s, b, n: turn[s, b, n]}, 200)
+    found = {r.doc_id: (r.passes, r.copies, r.block, r.place) for r in got.collect()}
+    assert {k: v[1:] for k, v in found.items()} == {k: v[1:] for k, v in want.items()}
+    assert all(abs(found[k][0] - want[k][0]) < 1e-6 for k in found)
+    assert len({r[2] for r in found.values()}) > 5 and len({round(r[0], 3) for r in found.values()}) > 2
+    kept = got.where("doc_id = 3").first()
+    assert [kept[n] for n in names[3:]] == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_rollups(spark, docs, none, corpus, tmp_path):
     rollup = rollups.Rollup(spark, str(tmp_path / "rollup"))
     assert rollup.totals().count() == 0

@@ -2,7 +2,8 @@
 
 Weights are source token shares raised to an exponent and normalised: 1 keeps the shares, 0 makes sources equal. Entropy
 falls and the repetition of the scarcest source shrinks as the exponent grows, so a bisection finds the exponent that meets
-an entropy target, or the smallest one within a repetition limit. Each pass over the table of source totals evaluates the
+an entropy target, or the smallest one within a repetition limit. The default target lies halfway between the entropy of the plain
+shares and the largest one, so it follows the data and is met by a bisection unless all sources are equal. Each pass over the table of source totals evaluates the
 15 exponents of four halvings at once; totals stay in Spark, however many sources there are.
 
 A source's budget is its weight times the token budget. It is spent in whole passes over the source and a part of one more.
@@ -17,12 +18,13 @@ scarcer sources repeat.
 Defined results: a null source is a source of its own; documents without words (null and empty texts) count no tokens, are in
 every pass and cost nothing; a source without tokens has weight 0 and one pass; repeated rows count and are drawn like other
 documents (the order of rows with equal keys follows their text hash, rows equal in that too are taken together); an empty
-table has no rows; other columns are kept, columns named like the results are replaced.
+table has no rows; other columns are kept whatever their names, columns named like the results are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +32,10 @@ from pyspark.sql import functions as F
 from textpulse.llm.tables import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_REPEAT = 4.0
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 16
 MAX_BLOCKS = 4096
 HALVINGS, PASSES = 4, 8
-RESULTS = ["n_tokens", "weight", "passes", "copies", "block"]
+RESULTS = ["n_tokens", "weight", "passes", "copies", "block", "place"]
 
 
 def with_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -48,9 +49,11 @@ def source_totals(docs: DataFrame, source: str = "source") -> DataFrame:
 
 @dataclass(frozen=True)
 class Target:
-    """Either the entropy as a share of its largest value, or the most passes over any source relative to the least repeated."""
+    """One of: the entropy as a share of its largest value; the entropy as a share of the way from that of the plain shares to the
+    largest; the most passes over any source relative to the least repeated."""
 
     entropy: float | None = None
+    gap: float | None = None
     max_repeat: float | None = None
 
 
@@ -61,6 +64,11 @@ def exponent(totals: DataFrame, target: Target) -> float:
     if not whole["n"] or whole["n"] == 1:
         return 1.0
     share = F.col("tokens") / F.lit(float(whole["t"]))
+    flat = target.max_repeat is None
+    if flat:
+        most = log(whole["n"])
+        plain = held.agg(-F.sum(share * F.log(share))).first()[0]
+        wanted = target.entropy * most if target.gap is None else plain + target.gap * (most - plain)
 
     def measured(exponents: list[float]) -> list[bool]:
         """Whether each exponent is flat enough (entropy) or not too flat (repetition)."""
@@ -72,10 +80,9 @@ def exponent(totals: DataFrame, target: Target) -> float:
         row = held.agg(*cells).first()
         out = []
         for i in range(len(exponents)):
-            if target.entropy is not None:
-                from math import log
+            if flat:
                 entropy = log(row[f"z{i}"]) - row[f"l{i}"] / row[f"z{i}"]
-                out.append(entropy >= target.entropy * log(whole["n"]) - 1e-12)
+                out.append(entropy >= wanted - 1e-12)
             else:
                 out.append(row[f"hi{i}"] / row[f"lo{i}"] <= target.max_repeat + 1e-12)
         return out
@@ -83,23 +90,22 @@ def exponent(totals: DataFrame, target: Target) -> float:
     # Entropy: the largest exponent that is flat enough. Repetition: the smallest that repeats no more than allowed.
     low, high = 0.0, 1.0
     at_low, at_high = measured([low, high])
-    wanted_low = target.entropy is not None
-    if wanted_low and at_high:
+    if flat and at_high:
         return high
-    if not wanted_low and at_low:
+    if not flat and at_low:
         return low
-    if not (at_low if wanted_low else at_high):
-        return low if wanted_low else high
+    if not (at_low if flat else at_high):
+        return low if flat else high
     for _ in range(PASSES):
         step = (high - low) / (1 << HALVINGS)
         points = [low + step * i for i in range(1, 1 << HALVINGS)]
         fits = measured(points)
         kept = sum(fits)  # the condition holds below (entropy) or above (repetition) one point
-        if wanted_low:
+        if flat:
             low, high = ([low, *points])[kept], ([*points, high])[kept]
         else:
             low, high = ([low, *points])[len(points) - kept], ([*points, high])[len(points) - kept]
-    return low if wanted_low else high
+    return low if flat else high
 
 
 def weights(totals: DataFrame, alpha: float, budget: float | None = None) -> DataFrame:
@@ -121,7 +127,8 @@ def _order(*parts: Column, seed: int) -> Column:
 
 def realise(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
             block_tokens: int = BLOCK_TOKENS, seed: int = 7) -> DataFrame:
-    """Adds ``weight``, ``passes`` (of the source), ``copies`` (of the document in the mixture) and ``block``.
+    """Adds ``weight``, ``passes`` (of the source), ``copies`` (of the document in the mixture), ``block`` and the block's ``place``
+    in the order of the first pass over its source, from 1.
 
     ``docs`` has ``n_tokens``. Rows of a source that the partial pass does not reach keep the copies of its whole passes.
     """
@@ -129,9 +136,14 @@ def realise(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str =
     plan = plan.select(F.col("source").alias("_source"), "weight", "passes", "tokens", blocks.alias("_blocks"),
                        F.floor("passes").cast("bigint").alias("_full"))
     plan = plan.withColumn("_left", F.floor((F.col("passes") - F.col("_full")) * F.col("tokens")).cast("bigint"))
-    placed = docs.join(plan, docs[source].eqNullSafe(F.col("_source")))
-    placed = placed.withColumn("_doc", _order(F.col(key), F.col(text), seed=seed)).withColumn(
+    # Whole rows travel in one struct, so that no column of theirs can clash with a working one.
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("_row"), F.col(source).alias("_of"), "n_tokens",
+                       _order(F.col(key), F.col(text), seed=seed).alias("_doc"))
+    placed = rows.join(plan, F.col("_of").eqNullSafe(F.col("_source"))).drop("_of").withColumn(
         "block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_doc")), F.col("_blocks")).cast("int"))
+    every = plan.select("_source", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"))
+    first = Window.partitionBy("_source").orderBy(_order(F.col("_source"), F.col("block"), F.lit(0).cast("bigint"), seed=seed + 2), "block")
+    places = every.select(F.col("_source").alias("_s"), F.col("block").alias("_b"), F.row_number().over(first).alias("place"))
     # Block totals of sources with a partial pass, in the order of that pass.
     sums = placed.where("_left > 0").groupBy("_source", "block").agg(
         F.sum("n_tokens").alias("_sum"), F.first("_left").alias("_left"), F.first("_full").alias("_full"))
@@ -152,15 +164,15 @@ def realise(docs: DataFrame, plan: DataFrame, key: str = "doc_id", source: str =
     stop = stop.withColumnsRenamed({"_source": "_s", "block": "_b"})
     marks = stored(ordered.join(stop, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").select(
         F.col("_source").alias("_s"), F.col("block").alias("_b"), "_fits", "_room", "_stop"), "mixing-marks")
-    out = placed.join(marks, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
+    out = placed.join(marks, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").drop("_s", "_b")
+    out = out.join(stored(places, "mixing-places"), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     extra = F.coalesce(F.col("_fits"), F.lit(False)) | (F.col("_room").isNotNull() & (F.coalesce(F.col("_doc") < F.col("_stop"), F.lit(True))))
-    return out.withColumn("copies", F.col("_full") + extra.cast("bigint")).drop(
-        "_source", "tokens", "_blocks", "_full", "_left", "_doc", "_s", "_b", "_fits", "_room", "_stop")
+    return out.select("_row.*", "weight", "passes", (F.col("_full") + extra.cast("bigint")).alias("copies"), "block", "place")
 
 
-def mix(docs: DataFrame, target: Target = Target(max_repeat=MAX_REPEAT), budget: float | None = None, key: str = "doc_id",
+def mix(docs: DataFrame, target: Target = Target(gap=0.5), budget: float | None = None, key: str = "doc_id",
         source: str = "source", text: str = "text", **realised) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``weight``, ``passes``, ``copies`` and ``block``. Documents with 0 copies stay listed."""
+    """``docs`` with ``n_tokens``, ``weight``, ``passes``, ``copies``, ``block`` and ``place``. Documents with 0 copies stay listed."""
     counted = with_tokens(docs, text)
     totals = stored(source_totals(counted, source), "source-totals")
     plan = weights(totals, exponent(totals, target), budget)

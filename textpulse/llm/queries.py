@@ -53,10 +53,10 @@ def op4_warc(spark, folder):
 
 @query
 def op5_mixing(spark, folder):
-    """Sources repeat at most four times as often as the least repeated one; nothing is left out."""
+    """Weights halfway, by their entropy, from the plain shares to equal ones; nothing is left out, scarcer sources repeat in part."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs)
-    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "passes", "copies", "block")
+    mixed = mixing.mix(docs, block_tokens=1 << 13)
+    return mixed.select("doc_id", "source", "n_tokens", F.round("weight", 9).alias("weight"), "passes", "copies", "block", "place")
 
 
 @query
