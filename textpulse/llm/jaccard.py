@@ -33,11 +33,12 @@ component. Several texts under one id are all compared, and belong together. Oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +51,7 @@ VERIFY_COST = 20.0  # of one comparison, in postings
 HISTOGRAM = 256
 SPLIT = 1 << 16  # members of a posting list beyond which it is sorted in parts
 ROUNDS = 1
+SET_ROWS = 256  # pairs with their whole sets, or texts, that go to Python at once
 _MASK = (1 << 63) - 1  # digests are 63 bits
 
 
@@ -302,6 +304,18 @@ def _neighbours(postings: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, NEIGHBOURS)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that end inside the block pass ``SET_ROWS`` rows at a time to Python, as a row may hold two long texts' sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(SET_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _similar(sizes_a: str, sizes_b: str, share: Fraction):
     """Sizes that allow the similarity."""
     a, b = F.col(sizes_a), F.col(sizes_b)
@@ -508,7 +522,9 @@ def _grouped(docs: DataFrame, n: int, share: tuple[int, int], key: str, text: st
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(_similar("size_a", "size_b", share))
-        return stored(compare(pairs.select("a", "b"), classes, docs, n, share, key, text), "links")
+        pairs = stored(pairs.select("a", "b"), "candidates")
+        with _small_batches(docs.sparkSession):
+            return stored(compare(pairs, classes, docs, n, share, key, text), "links")
 
     links = linked(_along_lists(lists))
     rows = _labelled(lists, links)
