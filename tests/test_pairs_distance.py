@@ -113,6 +113,15 @@ def test_edges_nodes_and_vector(spark, rows):
     assert rows(reshape.pivot_vector(near, ["u", "v"])) == [("a", .5, 0.0), ("b", 0.0, .4), ("c", .2, 0.0)]
 
 
+def test_pivot_without_null_rows_and_columns(spark):
+    long = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("b", "x", None), ("b", "y", None), ("c", "x", None), ("c", "z", 3.0), ("c", None, None)],
+                                 "g string, t string, v double")
+    wide = reshape.pivot_known(long, ["g"], "t", "v")
+    assert wide.columns == ["g", "x", "z"]
+    assert sorted(map(tuple, wide.collect())) == [("a", 1.0, None), ("c", None, 3.0)]
+    assert reshape.pivot_known(long.where("v IS NULL"), ["g"], "t", "v").count() == 0
+
+
 def _fold(frame, batch):
     parts = [frame.iloc[i:i + batch] for i in range(0, len(frame), batch)]
     out = pd.concat(list(pairs._fold(iter(parts))))

@@ -115,6 +115,15 @@ def test_fingerprint(spark):
     assert got == hashlib.sha224(url.encode()).hexdigest()
 
 
+def test_fingerprints_of_all_pages(spark):
+    """SQL has no SHA-224, so the query over the given pages is held against the standard library's."""
+    from textpulse.plans.recipes import QUERIES
+    folder = "/root/testdata/sf0.001"
+    got = {r.page_id: r.key for r in QUERIES["url_fingerprint"](spark, folder).collect()}
+    want = {r.page_id: hashlib.sha224(r.url.encode()).hexdigest() for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    assert got == want and len(got) > 10
+
+
 def test_merge_is_per_field(spark, rows):
     old = spark.createDataFrame([("k1", 1, "a", "x"), ("k2", 1, "b", "y")], "k string, v int, f string, g string")
     new = spark.createDataFrame([("k1", 2, "c"), ("k3", 2, "d")], "k string, v int, f string")

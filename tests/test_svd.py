@@ -37,10 +37,11 @@ def known(spark):
 WORDS = [f"t{i:03d}" for i in range(TERMS)]
 
 
-@pytest.mark.parametrize("k, oversample, passes", [(10, 6, 8), (5, 3, 8), (TERMS, 56, 8), (30, 56, 8)])
-def test_values_and_space(known, monkeypatch, k, oversample, passes):
+@pytest.mark.parametrize("k, oversample, passes, wide", [(10, 6, 8, 4096), (10, 8, 8, 0), (5, 6, 8, 0), (TERMS, 56, 8, 0), (30, 56, 8, 0)])
+def test_values_and_space(known, monkeypatch, k, oversample, passes, wide):
     vectors, x = known
     monkeypatch.setattr(svd, "OVERSAMPLE", oversample)
+    monkeypatch.setattr(svd, "WIDE", wide)
     read = []
     through, triangle = svd.through, svd.triangle
     monkeypatch.setattr(svd, "through", lambda *a: read.append(1) or through(*a))
@@ -74,10 +75,11 @@ def test_more_values_than_the_rows_have(spark):
 
 
 def test_a_basis_has_a_bound(known, monkeypatch):
-    monkeypatch.setattr(svd, "MOST_BYTES", 8 * TERMS * 16 * 3)
-    assert svd._affordable(TERMS, 16, 7) == 2
+    monkeypatch.setattr(svd, "MOST_BYTES", 16 * TERMS * 16 * 3)
+    monkeypatch.setattr(svd, "WIDE", 0)
+    assert svd._affordable(TERMS, 16, 7) == 3
     with pytest.raises(ValueError):
-        svd.truncated(known[0].select("features"), TERMS, 100)
+        svd.truncated(known[0].select("features"), TERMS, 60)
 
 
 def test_an_update_equals_the_whole_if_all_topics_were_kept(known):
@@ -90,8 +92,10 @@ def test_an_update_equals_the_whole_if_all_topics_were_kept(known):
     assert {r.doc_id for r in both.scores.select("doc_id").distinct().collect()} == set(range(150, DOCS))
 
 
-def test_updates_of_a_truncated_model_stay_near(known, monkeypatch):
+@pytest.mark.parametrize("wide", [0, 4096])
+def test_updates_of_a_truncated_model_stay_near(known, monkeypatch, wide):
     monkeypatch.setattr(svd, "OVERSAMPLE", 10)
+    monkeypatch.setattr(svd, "WIDE", wide)
     vectors, x = known
     k = 25
     model = topics.svd_topics(vectors.where("doc_id < 100"), WORDS, k)

@@ -18,6 +18,16 @@ def pivot_vector(near: DataFrame, words: list[str], fill: float = 0.0) -> DataFr
     return near.groupBy("grp").pivot("word", words).agg(F.first("dist")).na.fill(fill, words)
 
 
+def pivot_known(long: DataFrame, ids: list[str], column: str, value: str) -> DataFrame:
+    """A matrix with a row for each ``ids`` and a column for each value of ``column``, without rows and columns that are null throughout.
+
+    For export: the names of the columns come to the driver, as they are the schema of the answer.
+    """
+    known = long.where(F.col(value).isNotNull())
+    names = [r[0] for r in known.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    return known.groupBy(*ids).pivot(column, names).agg(F.first(value))
+
+
 def encode_series(series: DataFrame, value: str = "mean_prop") -> DataFrame:
     """One row per term holding the map (day, group) -> value."""
     entry = F.struct(F.struct("day", "grp").alias("key"), F.col(value).alias("value"))

@@ -1,17 +1,18 @@
 """Singular values and right singular vectors of tall sparse matrices, in a fixed small number of passes (L1).
 
 The rows are documents and stay where they are; the columns are the terms of a vocabulary. A seeded Gaussian block is multiplied by
-A^T A once a pass. Its images, made orthonormal against all earlier ones in the driver, span a Krylov space that holds the wanted
-directions; once it is as wide as the vocabulary it is all there is, and passes end. The last pass reduces A, seen through that basis,
-to a triangular factor by a tree of QR factorisations: each task folds its rows into one triangle, and triangles are stacked
-and folded again, ``FAN_IN`` at a time. The small SVD of the last triangle gives the values to full precision, as no
-product A^T A enters it.
+A^T A once a pass. Its images, made orthonormal against all earlier ones in the driver, span a Krylov space; of that space the
+directions with the largest products are kept, somewhat more than are wanted. A vocabulary of up to ``WIDE`` terms is its
+own space, which one pass measures. The last pass reduces A, seen through the kept directions, to a triangular factor by a tree of QR
+factorisations: each task folds its rows into one triangle, and triangles are stacked and folded again, ``FAN_IN`` at a time.
+The small SVD of the last triangle gives the values to full precision, as no product A^T A enters it.
 
 An update needs no old document: with A = U S V^T, the rows S V^T stand for all of A. The residual of the new documents
 outside V is searched for its own range, and the triangle of the new documents through [V, J] is stacked below S (Brand's
 update, with a block of documents for one).
 
-The driver holds vocabulary x width of the basis, in 8 bytes each; ``MOST_BYTES`` bounds it, and a larger one is an error.
+The driver holds vocabulary x width of the space, in 8 bytes each; ``MOST_BYTES`` bounds it. A vocabulary for which not even two
+blocks fit is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 
 PASSES = 8
 OVERSAMPLE = 56
+WIDE = 4096  # A^T A of as many terms takes 128 MB
 FAN_IN = 8
 ROWS = 256  # folded or multiplied at once
 TERMS = 64  # of a row of sums
@@ -60,15 +62,18 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tupl
             yield some, used, dense
 
 
-def through(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """A^T (A basis): one pass; tasks' sums are added by blocks of terms before they come to the driver."""
+def through(vectors: DataFrame, basis: np.ndarray | None, terms: int) -> np.ndarray:
+    """A^T (A basis), or A^T A: one pass; tasks' sums are added by blocks of terms before they come to the driver."""
     shared = vectors.sparkSession.sparkContext.broadcast(basis)
+    wide = terms if basis is None else basis.shape[1]
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis = shared.value
-        total, touched = np.zeros_like(basis), np.zeros(len(basis), bool)
+        total, touched = np.zeros((terms, wide)), np.zeros(terms, bool)
         for _, used, dense in pieces(batches):
-            total[used] += dense.T @ (dense @ basis[used])
+            if shared.value is None:
+                total[np.ix_(used, used)] += dense.T @ dense
+            else:
+                total[used] += dense.T @ (dense @ shared.value[used])
             touched[used] = True
         blocks = np.unique(np.flatnonzero(touched) // TERMS)
         yield _batch(blocks, [total[b * TERMS:(b + 1) * TERMS] for b in blocks])
@@ -82,9 +87,9 @@ def through(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
         yield _batch(sums.keys(), sums.values())
 
     rows = vectors.mapInArrow(product, _BLOCK).repartition("block").mapInArrow(add, _BLOCK)
-    out = np.zeros_like(basis)
+    out = np.zeros((terms, wide))
     for r in rows.toLocalIterator():
-        part = np.frombuffer(r["cells"]).reshape(-1, basis.shape[1])
+        part = np.frombuffer(r["cells"]).reshape(-1, wide)
         out[r["block"] * TERMS:r["block"] * TERMS + len(part)] = part
     return out
 
@@ -120,12 +125,11 @@ def triangle(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
             yield _batch([TaskContext.get().partitionId() // FAN_IN], [held])
 
     def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
+        found: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for b, cells in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(cells.as_buffer()).reshape(-1, wide)
-                found[b] = _fold(found[b], [part]) if b in found else part
-        yield _batch([b // FAN_IN for b in found], found.values())
+                found.setdefault(b, []).append(np.frombuffer(cells.as_buffer()).reshape(-1, wide))
+        yield _batch([b // FAN_IN for b in found], [_fold(parts[0], parts[1:]) for parts in found.values()])
 
     tasks, level = vectors.rdd.getNumPartitions(), vectors.mapInArrow(reduce, _BLOCK)
     while tasks > 1:
@@ -150,27 +154,40 @@ def _orthonormal(block: np.ndarray, against: np.ndarray) -> np.ndarray:
 
 
 def _affordable(terms: int, block: int, passes: int) -> int:
-    """Products whose blocks ``MOST_BYTES`` can hold; fewer passes give a less accurate end of the spectrum."""
-    fits = MOST_BYTES // (8 * terms * block) - 1
+    """Blocks of a space that ``MOST_BYTES`` can hold with their images; fewer give a less accurate end of the spectrum."""
+    fits = MOST_BYTES // (16 * terms * block)
     if fits < 1:
         raise ValueError(f"two blocks of {terms} terms and {block} columns take more than {MOST_BYTES} bytes; ask for fewer topics or prune the vocabulary")
     return min(passes, fits)
 
 
-def krylov(vectors: DataFrame, terms: int, block: int, passes: int, outside: np.ndarray | None = None, seed: int = SEED) -> np.ndarray:
-    """An orthonormal basis, ``terms`` rows, of the space that ``passes`` products span; all of it orthogonal to ``outside``."""
+def strongest(vectors: DataFrame, terms: int, n: int, passes: int, outside: np.ndarray | None = None, seed: int = SEED) -> np.ndarray:
+    """An orthonormal basis of ``n`` directions with the largest products, orthogonal to ``outside``, from ``passes`` products."""
     outside = np.zeros((terms, 0)) if outside is None else outside
     room = terms - outside.shape[1]
-    passes = _affordable(terms, min(block, max(room, 1)), passes)
-    if block >= room:  # nothing to search for
+    n = min(n, room)
+    if not n:
+        return np.zeros((terms, 0))
+    if n == room:
         return _orthonormal(np.eye(terms), outside)
-    known = newest = _orthonormal(np.random.default_rng(seed).normal(size=(terms, block)), outside)
-    for _ in range(passes):
-        if known.shape[1] >= room or not newest.shape[1]:
-            break
-        newest = _orthonormal(through(vectors, newest), np.concatenate((outside, known), axis=1))
-        known = np.concatenate((known, newest), axis=1)
-    return known
+    if terms <= WIDE:
+        space = np.eye(terms) if not outside.shape[1] else _orthonormal(np.eye(terms), outside)
+        image = through(vectors, None, terms)
+        image = image if not outside.shape[1] else image @ space
+    else:
+        passes = _affordable(terms, n, passes)
+        space = newest = _orthonormal(np.random.default_rng(seed).normal(size=(terms, n)), outside)
+        image = np.zeros((terms, 0))
+        while True:
+            image = np.concatenate((image, through(vectors, newest, terms)), axis=1)
+            passes -= 1
+            newest = _orthonormal(image[:, -newest.shape[1]:], np.concatenate((outside, space), axis=1)) if passes else newest[:, :0]
+            if not newest.shape[1]:
+                break
+            space = np.concatenate((space, newest), axis=1)
+    small = space.T @ image
+    _, turned = np.linalg.eigh((small + small.T) / 2)
+    return _orthonormal(space @ turned[:, ::-1][:, :n], outside)
 
 
 def _solved(small: np.ndarray, basis: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +205,14 @@ def truncated(vectors: DataFrame, terms: int, k: int, passes: int = PASSES) -> t
     ``vectors`` has one column of vectors with ``terms`` positions.
     """
     k = min(k, terms)
-    basis = krylov(vectors, terms, min(terms, k + OVERSAMPLE), passes - 1)
+    basis = strongest(vectors, terms, k + OVERSAMPLE, passes - 1)
     return _solved(triangle(vectors, basis), basis, k)
 
 
 def updated(sigma: np.ndarray, loadings: np.ndarray, vectors: DataFrame, k: int, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
     """Values and vectors of the old documents, known by ``sigma`` and ``loadings``, and of the new ones in ``vectors``."""
     terms = len(loadings)
-    beyond = krylov(vectors, terms, min(terms, k + OVERSAMPLE), passes - 1, outside=loadings)
+    beyond = strongest(vectors, terms, k + OVERSAMPLE, passes - 1, outside=loadings)
     basis = np.concatenate((loadings, beyond), axis=1)
     old = np.zeros((len(sigma), basis.shape[1]))
     old[np.arange(len(sigma)), np.arange(len(sigma))] = sigma

@@ -38,12 +38,12 @@ def _ngrams(p: str, docs: str) -> dict[str, str]:
     }
 
 
-def _distances(p: str, asked: str) -> dict[str, str]:
+def _distances(p: str, asked: str, docs: str | None = None, vocab: str | None = None) -> dict[str, str]:
     """Cosine distances of the asked terms and what follows from them.
 
     The 60 nearest of a term are among its stored pairs, itself, and the first 120 (group, word) pairs at distance 1.
     """
-    docs = f"{p}d" if p else "d"
+    docs, vocab = docs or (f"{p}d" if p else "d"), vocab or f"{p}gv"
     return {
         f"{p}ask": asked,
         f"{p}gs": f"""SELECT x.grp, x.term, y.term AS other, sum(x.tf * y.tf) AS s FROM {p}gc x JOIN {p}gc y USING (doc_id)
@@ -51,7 +51,7 @@ def _distances(p: str, asked: str) -> dict[str, str]:
         f"{p}gn": f"SELECT grp, term, sqrt(sum(tf * tf)) AS nrm FROM {p}gc GROUP BY ALL",
         f"{p}cos": f"""SELECT g.grp, g.term, g.other, greatest(1 - s / (x.nrm * y.nrm), 0) AS dist FROM {p}gs g
             JOIN {p}gn x ON x.grp = g.grp AND x.term = g.term JOIN {p}gn y ON y.grp = g.grp AND y.term = g.other""",
-        f"{p}lead": f"""SELECT grp, word FROM (SELECT DISTINCT grp FROM {docs}) CROSS JOIN (SELECT term AS word FROM {p}gv
+        f"{p}lead": f"""SELECT grp, word FROM (SELECT DISTINCT grp FROM {docs}) CROSS JOIN (SELECT term AS word FROM {vocab}
             ORDER BY term LIMIT 120) ORDER BY grp, word LIMIT 120""",
         f"{p}near": f"""SELECT term, grp, word, dist FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY dist, grp, word) AS rn
             FROM (SELECT term, grp, word, min(dist) AS dist FROM (
@@ -130,6 +130,8 @@ VIEWS = {
     "cd": "SELECT conv_id || '-' || turn AS doc_id, role AS grp, text FROM conversations",
     **_ngrams("c", "cd"),
     **_distances("c", "SELECT term FROM cgv"),
+    "pgc": "SELECT * FROM gc",
+    **_distances("p", "SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) AS i FROM gv) WHERE i % 50 = 1", docs="d", vocab="gv"),
     # documents in which a term is informative
     "ascii": f"""SELECT doc_id, grp, term, count(*) AS tf FROM (SELECT doc_id, grp, unnest(regexp_extract_all(lower(text), {A2}))
         AS term FROM d) GROUP BY ALL""",
@@ -193,6 +195,15 @@ VIEWS = {
 }
 
 
+# The same chain over the documents that three batches leave.
+VIEWS["live_d"] = """SELECT d.* FROM d LEFT JOIN labels USING (doc_id)
+    WHERE NOT coalesce(quality = 0 AND NOT (toxic = 1 AND doc_id % 3 <> 0), FALSE)"""
+_CHAIN = ("tok", "tf", "st", "v", "w", "cell", "td")
+for _name in _CHAIN:
+    VIEWS[f"live_{_name}"] = re.sub(rf"\b(FROM|JOIN) (d|{'|'.join(_CHAIN)})\b", r"\1 live_\2 AS \2",
+                                    VIEWS[_name].replace(N, "(SELECT count(*) FROM d)"))
+
+
 def _uses(sql: str, name: str) -> bool:
     return re.search(rf"\b(FROM|JOIN)\s+{name}\b", sql) is not None
 
@@ -282,6 +293,8 @@ BODIES = {
     "vocab_pruned": "SELECT term, df, cf FROM v",
     "tfidf": f"SELECT doc_id, term, {_r('w')} FROM w",
     "term_day_mean": f"SELECT day, grp, term, {_r('mean_prop')} FROM td",
+    "delta_tfidf": f"SELECT doc_id, term, {_r('w')} FROM live_w",
+    "delta_day_mean": f"SELECT day, grp, term, {_r('mean_prop')} FROM live_td",
     "word_trend": f"""SELECT day, grp, term, {_r('mean_prop')}, {_r('avg(mean_prop) OVER (PARTITION BY grp, term ORDER BY day '
         'ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)', 'rolling')} FROM (SELECT day, grp, term, coalesce(mean_prop, 0) AS mean_prop
         FROM td WHERE term IN (SELECT term FROM f1))""",
@@ -296,6 +309,8 @@ BODIES = {
         SELECT *, row_number() OVER (PARTITION BY day, grp ORDER BY rank, term) AS rn FROM mr
         WHERE term IN ({_list(WORDS)}) AND rank IS NOT NULL) WHERE rn = 1) USING (day, grp)""",
     "series_align": f"SELECT day, grp, {', '.join(_r(w) for w in WORDS)} FROM grid",
+    "rank_matrix": """SELECT day, grp, term, rank FROM (SELECT DISTINCT day, grp FROM mr WHERE rank IS NOT NULL)
+        CROSS JOIN (SELECT DISTINCT term FROM mr WHERE rank IS NOT NULL) LEFT JOIN mr USING (day, grp, term)""",
     "melt": " UNION ALL ".join(f"SELECT day, grp, '{w}' AS word, {_r(w, 'value')} FROM grid" for w in WORDS),
     "term_corr": f"SELECT grp, term, other, {_r('corr')} FROM corr",
     "word_correlations": f"""SELECT term, grp, other, {_r('corr')} FROM (SELECT *, row_number() OVER (PARTITION BY term, grp
@@ -304,6 +319,10 @@ BODIES = {
     "term_cosine": f"SELECT grp, term, other, {_r('dist')} FROM cos",
     "term_nearest": f"SELECT term, grp, word, {_r('dist')} FROM cnear",
     "group_distance": f"SELECT term, g1, g2, {_r('dist')} FROM cgd",
+    "term_nearest_pages": f"SELECT term, grp, word, {_r('dist')} FROM pnear",
+    "term_edges_all": f"SELECT term, grp, word, {_r('dist')} FROM cedge",
+    "word_rank": """SELECT day, grp, term, n, rank() OVER w + (count(*) OVER (PARTITION BY day, grp, n) - 1) / 2 AS rank FROM (
+        SELECT day, grp, term, count(*) AS n FROM tok GROUP BY ALL) WINDOW w AS (PARTITION BY day, grp ORDER BY n DESC)""",
     "term_edges": f"SELECT term, grp, word, {_r('dist')} FROM edge",
     "graph_node_join": f"""SELECT grp, word, {_r('dist')}, count(*) OVER (PARTITION BY grp) AS grp_degree,
         count(*) OVER (PARTITION BY word) AS word_degree FROM edge WHERE term IN (SELECT term FROM g1st)""",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textpulse.functions import dates, text
 from textpulse.functions.stopwords import ENGLISH, WITH_EXTRA
-from textpulse.operators import assoc, clean, compare, distance, ranks, reshape, terms, topics, trends, vocab, weights
+from textpulse.operators import assoc, clean, compare, deltas, distance, nearest, ordinals, ranks, reshape, terms, topics, trends, vocab, weights
 from textpulse.plans import corpora
 from textpulse.session import shared_dir, spread, stored
 from textpulse.sources import articles, items, pages, store
@@ -431,6 +431,33 @@ def term_day_mean(spark, folder):
     return Main(spark, folder).series().select("day", "grp", "term", r6("mean_prop"))
 
 
+def _changed(spark, folder) -> deltas.ChangingCorpus:
+    """Two thirds of the documents come; the others come and toxic ones go; those come back and poor ones go. The second batch comes twice."""
+    main, labels = Main(spark, folder), corpora.table(spark, folder, "labels")
+    toxic, poor = labels.where("toxic = 1").select("doc_id"), labels.where("quality = 0").select("doc_id")
+    corpus = deltas.ChangingCorpus(spark, shared_dir(spark, "changing"), lambda docs: terms.without_terms(
+        terms.term_counts(terms.tokenize(docs, stop_words=WITH_EXTRA)), main.boilerplate))
+    corpus.commit("load", main.docs.where("doc_id % 3 <> 0"))
+    for _ in range(2):
+        corpus.commit("more", main.docs.where("doc_id % 3 = 0"), toxic)
+    corpus.commit("back", main.docs.join(toxic, "doc_id", "left_semi"), poor)
+    return corpus
+
+
+@query
+def delta_tfidf(spark, folder):
+    corpus = _changed(spark, folder)
+    kept = stored(corpus.vocabulary(group_min_df=5, min_groups=2), "delta-vocabulary")
+    return corpus.weights(kept, vocab.MAX_TERMS).select("doc_id", "term", r6("w"))
+
+
+@query
+def delta_day_mean(spark, folder):
+    corpus = _changed(spark, folder)
+    kept = stored(corpus.vocabulary(group_min_df=5, min_groups=2), "delta-vocabulary")
+    return corpus.daily_means(kept, vocab.MAX_TERMS).select("day", "grp", "term", r6("mean_prop"))
+
+
 @query
 def word_trend(spark, folder):
     main = Main(spark, folder)
@@ -471,6 +498,14 @@ def term_rank(spark, folder):
     return ranks.term_rank(corpora.monthly_words(spark, folder))
 
 
+@query
+def word_rank(spark, folder):
+    """Every word of every (day, source) cell by its count: words of any number, no cell in one task."""
+    docs = corpora.documents(spark, folder)
+    counts = terms.term_counts(terms.tokenize(docs)).groupBy("day", "grp", "term").agg(F.sum("tf").alias("n"))
+    return ordinals.average_ranks(counts, ["day", "grp"], "n")
+
+
 @query
 def term_rank_ordinal(spark, folder):
     return ranks.term_rank_ordinal(corpora.monthly_words(spark, folder))
@@ -487,6 +522,13 @@ def series_align(spark, folder):
     return aligned.select("day", "grp", *[r6(w) for w in WORDS])
 
 
+@query
+def rank_matrix(spark, folder):
+    """Ranks as a matrix of words, months and regions without any rank left out, melted again to compare it."""
+    wide = reshape.pivot_known(ranks.term_rank(corpora.monthly_words(spark, folder)), ["day", "grp"], "term", "rank")
+    return reshape.melt(wide, ["day", "grp"], wide.columns[2:], "term", "rank").select("day", "grp", "term", "rank")
+
+
 @query
 def melt(spark, folder):
     aligned = ranks.align_series(corpora.monthly_words(spark, folder), WORDS)
@@ -523,6 +565,25 @@ def term_nearest(spark, folder):
     return Ngrams(spark, folder, short=True).near.select("term", "grp", "word", r6("dist"))
 
 
+def _asked(words: DataFrame) -> DataFrame:
+    """Every fiftieth term, in the order of the terms."""
+    return ordinals.row_numbers(words.select("term"), "term").where("row_number % 50 = 1").select("term")
+
+
+@query
+def term_nearest_pages(spark, folder):
+    """The nearest words of every fiftieth term of whole pages, among all terms, by bounded sums."""
+    grams = Ngrams(spark, folder)
+    asked = stored(_asked(grams.vocab), "asked-terms")
+    cosine = nearest.nearest_cosine(grams.counts, asked)
+    return distance.term_nearest(cosine, grams.vocab, grams.keys, chosen=asked).select("term", "grp", "word", r6("dist"))
+
+
+@query
+def term_edges_all(spark, folder):
+    return distance.term_edges(Ngrams(spark, folder, short=True).near).select("term", "grp", "word", r6("dist"))
+
+
 @query
 def group_distance(spark, folder):
     return distance.group_distance(Ngrams(spark, folder, short=True).near).select("term", "g1", "g2", r6("dist"))
