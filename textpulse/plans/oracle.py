@@ -130,8 +130,6 @@ VIEWS = {
     "cd": "SELECT conv_id || '-' || turn AS doc_id, role AS grp, text FROM conversations",
     **_ngrams("c", "cd"),
     **_distances("c", "SELECT term FROM cgv"),
-    "pgc": "SELECT * FROM gc",
-    **_distances("p", "SELECT term FROM (SELECT term, row_number() OVER (ORDER BY term) AS i FROM gv) WHERE i % 50 = 1", docs="d", vocab="gv"),
     # documents in which a term is informative
     "ascii": f"""SELECT doc_id, grp, term, count(*) AS tf FROM (SELECT doc_id, grp, unnest(regexp_extract_all(lower(text), {A2}))
         AS term FROM d) GROUP BY ALL""",
@@ -319,7 +317,6 @@ BODIES = {
     "term_cosine": f"SELECT grp, term, other, {_r('dist')} FROM cos",
     "term_nearest": f"SELECT term, grp, word, {_r('dist')} FROM cnear",
     "group_distance": f"SELECT term, g1, g2, {_r('dist')} FROM cgd",
-    "term_nearest_pages": f"SELECT term, grp, word, {_r('dist')} FROM pnear",
     "term_edges_all": f"SELECT term, grp, word, {_r('dist')} FROM cedge",
     "word_rank": """SELECT day, grp, term, n, rank() OVER w + (count(*) OVER (PARTITION BY day, grp, n) - 1) / 2 AS rank FROM (
         SELECT day, grp, term, count(*) AS n FROM tok GROUP BY ALL) WINDOW w AS (PARTITION BY day, grp ORDER BY n DESC)""",

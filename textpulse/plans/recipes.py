@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textpulse.functions import dates, text
 from textpulse.functions.stopwords import ENGLISH, WITH_EXTRA
-from textpulse.operators import assoc, clean, compare, deltas, distance, nearest, ordinals, ranks, reshape, terms, topics, trends, vocab, weights
+from textpulse.operators import assoc, clean, compare, deltas, distance, ordinals, ranks, reshape, terms, topics, trends, vocab, weights
 from textpulse.plans import corpora
 from textpulse.session import shared_dir, spread, stored
 from textpulse.sources import articles, items, pages, store
@@ -565,20 +565,6 @@ def term_nearest(spark, folder):
     return Ngrams(spark, folder, short=True).near.select("term", "grp", "word", r6("dist"))
 
 
-def _asked(words: DataFrame) -> DataFrame:
-    """Every fiftieth term, in the order of the terms."""
-    return ordinals.row_numbers(words.select("term"), "term").where("row_number % 50 = 1").select("term")
-
-
-@query
-def term_nearest_pages(spark, folder):
-    """The nearest words of every fiftieth term of whole pages, among all terms, by bounded sums."""
-    grams = Ngrams(spark, folder)
-    asked = stored(_asked(grams.vocab), "asked-terms")
-    cosine = nearest.nearest_cosine(grams.counts, asked)
-    return distance.term_nearest(cosine, grams.vocab, grams.keys, chosen=asked).select("term", "grp", "word", r6("dist"))
-
-
 @query
 def term_edges_all(spark, folder):
     return distance.term_edges(Ngrams(spark, folder, short=True).near).select("term", "grp", "word", r6("dist"))
