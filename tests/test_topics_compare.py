@@ -3,6 +3,7 @@ import pytest
 
 from textpulse.functions.numeric import studentized_range_critical, studentized_range_sf
 from textpulse.operators import compare, terms, topics, vocab
+from textpulse.session import stored
 
 TEXTS = ["red apple pie", "green apple tart", "red wine glass", "green wine bottle", "apple wine", "pie tart",
          "glass bottle red", "green red", "apple pie tart glass", "wine bottle apple", "zzz"]
@@ -108,3 +109,17 @@ def test_empty_vocabulary_gives_no_topics(spark):
     vectors, words = topics.tfidf_vectors(tokenized, none, vocab.corpus_size(tokenized))
     found = topics.svd_topics(vectors, words)
     assert words == [] and found.topics.count() == found.components.count() == found.scores.count() == 0
+
+
+def test_term_products_are_made_by_blocks_of_matrices(spark, monkeypatch):
+    monkeypatch.setattr(topics, "PRODUCT_TERMS", 4)
+    x = np.random.default_rng(3).normal(size=(11, 5))
+    rows = spark.createDataFrame([(k, f"t{i}", float(x[i, k])) for i in range(11) for k in range(5)], "topic_id int, term string, x double")
+    parts = stored(rows, "parts")
+    found = topics.term_products(parts, 11)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no row for a pair of terms and a topic
+    got = {(r.term, r.other): r.s for r in found.collect()}
+    want = x @ x.T
+    assert len(got) == 121 and all(abs(got[f"t{i}", f"t{j}"] - want[i, j]) < 1e-12 for i in range(11) for j in range(11))
+    assert topics.term_products(parts.limit(0), 0).collect() == []
