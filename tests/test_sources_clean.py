@@ -109,6 +109,27 @@ def test_links_by_selector(spark, rows):
     assert rows(pages.page_links(table, "nav > a")) == [(1, 0, "/nav")]
 
 
+def test_pages_leave_the_task_some_at_a_time(spark, rows):
+    """A task never holds the strings of a whole Arrow batch."""
+    table = spark.createDataFrame([(i, None if i == 7 else f"<p>{i}</p><a href='{i}'>x</a>") for i in range(150)], "page_id long, html string")
+    assert rows(pages.page_text(table)) == rows(spark.createDataFrame(
+        [(i, articles.FAILED_MARKER if i == 7 else f"{i}x") for i in range(150)], "page_id long, text string"))
+    seen = []
+
+    class Captured:
+        schema = table.schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            seen.extend(run(iter(table.toArrow().combine_chunks().to_batches())))
+            return table
+
+    pages.page_text(Captured())
+    assert [len(b) for b in seen] == [64, 64, 22]
+
+
 def test_fingerprint(spark):
     url = "http://é.example/"
     got = spark.createDataFrame([(url,)], "u string").select(pages.fingerprint(F.col("u"))).first()[0]
