@@ -76,3 +76,10 @@ def test_everything_leaves(spark, rows, corpus):
     corpus.commit("one", spark.createDataFrame(docs, SCHEMA))
     corpus.commit("two", None, spark.createDataFrame([(i,) for i in range(6)], "doc_id long"))
     assert corpus.statistics().count() == corpus.keys().count() == 0
+
+
+def test_only_kept_terms_are_shuffled_to_sum_their_signs(spark, corpus):
+    corpus.commit("one", spark.createDataFrame(texts(), SCHEMA))
+    kept = spark.createDataFrame([("word1", 5)], "term string, df long")
+    plan = corpus.weights(kept)._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.index("Aggregate [doc_id") < plan.index("LeftSemi")  # the choice is made below the sums

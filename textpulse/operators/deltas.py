@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.operators import trends, vocab, weights
+from textpulse.operators.sizes import small
 
 
 class ChangingCorpus:
@@ -59,8 +60,7 @@ class ChangingCorpus:
         if leaving is not None and live is not None:
             gone = live.join(leaving.select("doc_id").distinct(), "doc_id", "left_semi")
             docs.append(gone.select("doc_id", "grp", "day", F.lit(-1).alias("sign")))
-            old = self._live_counts().join(gone.select("doc_id"), "doc_id", "left_semi")
-            counts.append(old.withColumn("sign", F.lit(-1)))
+            counts.append(self._live_counts(gone.select("doc_id"), "doc_id").withColumn("sign", F.lit(-1)))
         if not docs:
             return False
         columns = ["doc_id", "grp", "day", "term", "tf", "sign"]
@@ -81,8 +81,10 @@ class ChangingCorpus:
             out = out.unionByName(p.select(columns))
         return out
 
-    def _live_counts(self) -> DataFrame:
-        counts = self._read("counts").groupBy("doc_id", "grp", "day", "term", "tf").agg(F.sum("sign").alias("_n"))
+    def _live_counts(self, chosen: DataFrame, on: str) -> DataFrame:
+        """Counts of the chosen documents or terms; only those are shuffled to sum their signs."""
+        counts = self._read("counts").join(chosen, on, "left_semi")
+        counts = counts.groupBy("doc_id", "grp", "day", "term", "tf").agg(F.sum("sign").alias("_n"))
         return counts.where("_n > 0").drop("_n")
 
     def keys(self) -> DataFrame:
@@ -98,7 +100,8 @@ class ChangingCorpus:
 
     def weights(self, kept: DataFrame, rows: int | None = None) -> DataFrame:
         """``(doc_id, grp, day, term, w)`` of the terms of ``kept``; ``rows`` is its cap or count, if known."""
-        return weights.tfidf(self._live_counts(), kept, vocab.corpus_size(self.keys()), vocab_rows=rows)
+        counts = self._live_counts(small(kept.select("term"), rows), "term")
+        return weights.tfidf(counts, kept, vocab.corpus_size(self.keys()), vocab_rows=rows)
 
     def daily_means(self, kept: DataFrame, rows: int | None = None) -> DataFrame:
         return trends.term_day_mean(self.weights(kept, rows), self.keys(), kept)
