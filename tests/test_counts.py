@@ -46,3 +46,14 @@ def test_cosine_of_chosen_terms_from_a_row_a_document(spark, docs, rows, asked):
     found = distance.term_cosine(kept, words, 100, chosen, cells)
     assert bool(asked) == bool(found.count())
     assert rows(found) == rows(distance.term_cosine(kept, words, 100, chosen))
+
+
+@pytest.mark.parametrize("tokens", [counts.TOKENS, 40])
+def test_group_statistics_from_a_row_a_term_of_a_piece(docs, rows, monkeypatch, tokens):
+    monkeypatch.setattr(counts, "TOKENS", tokens)
+    tokenized = terms.tokenize(docs, text.ascii_tokens, ["bab"])
+    tf = terms.term_counts(tokenized)
+    parts = counts.group_counts(tokenized)
+    assert parts.count() < tf.count()
+    columns = ["grp", "term", "df", "cf"]
+    assert rows(vocab.group_term_stats(parts).select(columns)) == rows(vocab.group_term_stats(tf).select(columns)) != []
