@@ -163,3 +163,23 @@ def test_pairs_are_shuffled_once_after_they_are_formed(spark):
     plan = cosine._jdf.queryExecution().optimizedPlan().toString()
     formed = plan.index("Generate explode(slice")
     assert plan[:formed].count("Aggregate [grp") == 1 and "Join" not in plan[plan.index("Aggregate [grp"):formed]
+
+
+def test_cells_come_as_one_row_from_the_task_of_their_range(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(g, d, int(t), float(rng.integers(1, 5))) for g in ("a", "b", None) for d in range(40) for t in rng.choice(30, rng.integers(1, 12), replace=False)]
+    rows += [("a", None, 3, 1.0), ("a", None, 29, 2.0), ("b", 500, 28, 1.0), ("b", 500, 29, 3.0), ("b", 501, 7, 1.0)]
+    table = spark.createDataFrame(rows, "grp string, doc_id long, term_id long, x double")
+    want = {}
+    for g, d in {r[:2] for r in rows if r[0]}:
+        for (s, x), (t, y) in itertools.combinations(sorted(r[2:] for r in rows if r[:2] == (g, d)), 2):
+            want[g, s, t] = want.get((g, s, t), 0) + x * y
+    monkeypatch.setattr(pairs, "CELLS", 30 * 7)
+    monkeypatch.setattr(pairs, "CHUNK_PAIRS", 5)
+    for most, split in ((1 << 27, False), (100, True)):
+        monkeypatch.setattr(pairs, "PAIRS_PER_RANGE", most)
+        assert {(r.grp, r.a, r.b): r.s for r in pairs.cell_sums(table, "x", n_terms=30).collect()} == want
+        with monkeypatch.context() as patch:
+            patch.setattr(pairs, "_total", lambda cells: cells)
+            assert (pairs.cell_sums(table, "x", n_terms=30).count() > len(want)) == split
+    assert pairs.cell_sums(table.where("doc_id > 500"), "x", n_terms=30).count() == 0
