@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpulse.llm import decontaminate, jaccard, langid, mixing, pii
-from textpulse.llm.tables import stored, table
+from textpulse.llm.tables import bounded_batches, stored, table
 
 MIN_LANGUAGE_SCORE = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,6 +37,7 @@ def _unpacked(done: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return _unpacked(langid.certain(_packed(docs), MIN_LANGUAGE_SCORE), docs)
 
 
@@ -45,15 +46,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = decontaminate.find_benchmark(_packed(docs), table(spark, sf_dir, "benchmark"))
     return _unpacked(decontaminate.remove_hits(found), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return _unpacked(pii.redact(pii.find_pii(_packed(docs))), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return mixing.mix(docs)
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -423,3 +424,20 @@ def test_pipeline_stages(spark, docs, none, items, corpus, tmp_path):
     assert kept["personal data"][108]["text"].startswith("Write to [EMAIL] or call [PHONE]")
     assert kept["personal data"][108]["n_chars"] == len(kept["personal data"][108]["text"]) and kept["personal data"][5]["score"] == "x"
     assert kept["mixture"].keys() == kept["personal data"].keys() and all(r["copies"] >= 1 for r in kept["mixture"].values())
+
+
+def test_long_texts_go_to_python_in_bounded_batches(spark):
+    import corpus_pipeline
+    from textpulse.llm.tables import BATCH_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(16 * BATCH_BYTES))
+    try:
+        docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100_000).alias("text"),
+                                                F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(100_000).cast("bigint").alias("n_chars"))
+        corpus_pipeline.personal_data(spark, docs, "")
+        sizes = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()]
+        assert max(sizes) <= BATCH_BYTES + 2 * 100_000 and sum(sizes) >= 300 * 100_000
+    finally:
+        spark.conf.set(name, before)

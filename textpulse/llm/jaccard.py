@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpulse.llm.buffers import LOWER_VALUES, VISIBLE, Prefix, collect_vectors, mix, summed_vectors, text_chunks, with_text_columns, words
-from textpulse.llm.tables import bit_table, in_bit_table, stored
+from textpulse.llm.tables import bit_table, bounded_batches, in_bit_table, stored
 
 SKETCH = 1 << 18
 MAX_MATCH = 16
@@ -511,6 +511,7 @@ def similar_groups(docs: DataFrame, n: int = 5, share: tuple[int, int] = (80, 10
 def _grouped(docs: DataFrame, n: int, share: tuple[int, int], key: str, text: str) -> DataFrame:
     """``(doc_id, n_shingles, d1, d2, component)`` of every row; without a component the row is alone in its own."""
     share = Fraction(*share)
+    bounded_batches(docs.sparkSession)
     sets = stored(longest_prefixes(docs, n, share, key, text), "shingle-sets")
     classes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("tokens", "heat", "histogram")))

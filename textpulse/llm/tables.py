@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textpulse.llm.buffers import collect_vectors, mix, summed_vectors
 from textpulse.session import shared_dir
 
+BATCH_BYTES = 1 << 22
 BITS = 1 << 23  # 1 MB; as it fills up, more rows pass that an exact join then drops
 
 
@@ -18,6 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python ``BATCH_BYTES`` at a time, or one by one if longer.
+
+    A batch lies in memory several times, outside the heap of the executor and in its Python worker; Spark's own limit of 64 MB
+    lets a few concurrent tasks on long texts hold hundreds of them.
+    """
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
