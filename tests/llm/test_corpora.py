@@ -98,6 +98,26 @@ def test_chain_of_links_is_one_component(spark):
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 200: 100, 300: 100}
 
 
+def test_small_components_take_few_tables(spark, monkeypatch):
+    """Tasks link what they read before anything is shuffled, so a small table of links is not written round by round."""
+    written, inner = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: written.append(name) or inner(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 400)] + [(9, 9)], "a bigint, b bigint").coalesce(1)
+    got = {r["id"]: r["component"] for r in jaccard.components(edges).collect()}
+    assert got == {i: 1 for i in range(1, 401)} and len(written) == 1
+
+
+def test_components_across_tasks(spark, monkeypatch):
+    """Links of one chain lie in many tasks and are held a few at a time."""
+    monkeypatch.setattr(jaccard, "FOREST", 7)
+    rng = random.Random(4)
+    links = [(i, i + 1) if i % 2 else (i + 1, i) for i in range(1, 200)] + [(500, 600), (600, 700), (600, 700)]
+    rng.shuffle(links)
+    got = {r["id"]: r["component"] for r in jaccard.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(9)).collect()}
+    assert got == {i: 1 for i in range(1, 201)} | {500: 500, 600: 500, 700: 500}
+    assert jaccard.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_prefix_grows_with_match(spark):
     rows = spark.createDataFrame(near_copies(), "doc_id bigint, text string")
     for r in jaccard.prefixes(rows, 3, jaccard.Fraction(9, 10)).collect():

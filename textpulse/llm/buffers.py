@@ -185,11 +185,15 @@ def summed_vectors(df: DataFrame, count: Callable, size: int, union: bool = Fals
 
 
 def collect_vectors(parts: DataFrame, size: int, most: int) -> dict[str, np.ndarray]:
-    """The summed vectors in the driver. Their size is ``names * size * 8`` bytes; over ``most`` names is an error."""
+    """The summed vectors in the driver. Their size is ``names * size * 8`` bytes; over ``most`` names is an error.
+
+    One job for all partitions, whose compressed blocks come as Arrow batches.
+    """
     out: dict[str, np.ndarray] = {}
-    for row in parts.toLocalIterator():
-        vector = out.setdefault(row["name"], np.zeros(-(-size // BLOCK) * BLOCK, np.int64))
-        vector[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(row["cells"]), np.int64)
-        if len(out) > most:
-            raise ValueError(f"more than {most} names: the table of counts would not stay small")
+    for batch in parts.toArrow().to_batches():
+        for name, block, cells in zip(*batch.columns):
+            vector = out.setdefault(name.as_py(), np.zeros(-(-size // BLOCK) * BLOCK, np.int64))
+            vector[block.as_py() * BLOCK:(block.as_py() + 1) * BLOCK] = np.frombuffer(zlib.decompress(cells.as_buffer()), np.int64)
+            if len(out) > most:
+                raise ValueError(f"more than {most} names: the table of counts would not stay small")
     return {k: v[:size] for k, v in out.items()}

@@ -23,7 +23,8 @@ group of thousands of near copies costs a few rows a text. Lists that the sketch
 member before they are sorted, and joined again by their first members.
 
 Comparison is exact: a histogram of the hashes bounds what two sets can share, and for pairs within the bound the sets are
-rebuilt from the whole texts. Components are computed by alternating the large-star and small-star steps on written tables.
+rebuilt from the whole texts. Components are computed by alternating the large-star and small-star steps on written tables,
+with the trees of each task's own links formed in between.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; a text with fewer than ``n`` words
 has its whole sequence as its one shingle; rows with equal texts are one class. A row without id links with nothing and has a null
@@ -51,6 +52,7 @@ VERIFY_COST = 20.0  # of one comparison, in postings
 HISTOGRAM = 256
 SPLIT = 1 << 16  # members of a posting list beyond which it is sorted in parts
 ROUNDS = 1
+FOREST = 1 << 18  # links that a task makes stars of at once
 SET_ROWS = 256  # pairs with their whole sets, or texts, that go to Python at once
 _MASK = (1 << 63) - 1  # digests are 63 bits
 
@@ -255,11 +257,11 @@ def _postings(chosen: DataFrame) -> DataFrame:
     return rows.repartition("token", "part").sortWithinPartitions("token", "part", "rare", "id").drop("rare")
 
 
-NEIGHBOURS = "token bigint, part short, id bigint, size int, k short, own boolean, short boolean, room int, rest int, head bigint, previous bigint"
+NEIGHBOURS = "token bigint, part short, id bigint, size int, k short, own boolean, short boolean, room int, rest int, head bigint, head_size int, previous bigint, previous_size int"
 
 
 def _neighbours(postings: DataFrame) -> DataFrame:
-    """Adds the first member of the list part and the member before; members alone in an unsplit list are left out.
+    """Adds the first member of the list part and the member before, with their sizes; members alone in an unsplit list are left out.
 
     A stream over sorted rows that remembers one row, so a list may be of any length.
     """
@@ -268,7 +270,7 @@ def _neighbours(postings: DataFrame) -> DataFrame:
 
         def emit(table: pa.RecordBatch, after: tuple | None):
             nonlocal head, before
-            token, part, ids = (table.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            token, part, ids, size = (table.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             same = np.zeros(len(token), bool)
             same[1:] = (token[1:] == token[:-1]) & (part[1:] == part[:-1])
             same[0] = head is not None and head[0] == (token[0], part[0])
@@ -277,16 +279,17 @@ def _neighbours(postings: DataFrame) -> DataFrame:
             follows[-1] = after is not None and after == (token[-1], part[-1])
             starts = np.where(same, 0, np.arange(len(token)))
             first = np.maximum.accumulate(starts)
-            heads = ids[first]
+            heads, head_sizes = ids[first], size[first]
             if same[0]:
                 run_end = int(np.argmin(same)) if not same.all() else len(same)
-                heads[:run_end] = head[1]
-            previous = np.concatenate(([before if same[0] else -1], ids[:-1]))
+                heads[:run_end], head_sizes[:run_end] = head[1:]
+            previous, previous_sizes = (np.concatenate(([x if same[0] else -1], y[:-1])) for x, y in zip(before or (-1, -1), (ids, size)))
             previous = np.where(same, previous, -1)
-            head, before = ((token[-1], part[-1]), heads[-1]), ids[-1]
+            head, before = ((token[-1], part[-1]), heads[-1], head_sizes[-1]), (ids[-1], size[-1])
             keep = pa.array(same | follows | (part >= 0))
-            full = pa.RecordBatch.from_arrays([*table.columns, pa.array(heads), pa.array(previous)],
-                                              [*table.schema.names, "head", "previous"])
+            full = pa.RecordBatch.from_arrays(
+                [*table.columns, pa.array(heads), pa.array(head_sizes), pa.array(previous), pa.array(previous_sizes.astype(np.int32))],
+                [*table.schema.names, "head", "head_size", "previous", "previous_size"])
             return full.filter(keep)
 
         for batch in batches:
@@ -387,15 +390,54 @@ def compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, share
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """The links ``(a, b)`` of each task, ``FOREST`` at a time, as stars: every id of a task's tree links to the smallest one in it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> pa.RecordBatch:
+            ids, ends = np.unique(np.concatenate([np.stack(x) for x in held], axis=1), return_inverse=True)
+            a, b = ends.reshape(2, -1)
+            root = np.arange(len(ids))
+            while len(a):
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+                a, b = root[a], root[b]
+                a, b = a[a != b], b[a != b]
+            other = root != np.arange(len(ids))
+            return pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(ids[root[other]])], ["a", "b"])
+
+        for batch in batches:
+            for lo in range(0, len(batch), FOREST):
+                part = batch.slice(lo, FOREST)
+                held.append([part.column(i).to_numpy(zero_copy_only=False) for i in range(2)])
+                n += len(part)
+                if n >= FOREST:
+                    yield stars()
+                    held, n = [], 0
+        if held:
+            yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _are_stars(table: DataFrame) -> bool:
+    """Whether every ``a`` has one ``b``, which links no further. Rows are distinct."""
+    ends = F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up")))
+    degrees = table.select(F.inline(ends)).groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return degrees.where("up > 1 OR up = 1 AND least = 0").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` of all ids in ``edges(a, b)``: the smallest id that links reach.
 
-    Large star: every neighbour larger than a node links to the node's smallest neighbour. Small star: every smaller one
-    does. The steps alternate on written tables until nothing changes; then every node links to its smallest.
+    Tasks first turn their own links into stars. Then, until all links are stars, large star: every neighbour larger than a node
+    links to the node's smallest neighbour. Small star: every smaller one does. The next tasks make stars of what they read first.
     """
     def star(table: DataFrame, large: bool) -> DataFrame:
         if large:
-            both = table.select("a", "b").unionByName(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            both = table.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         else:
             both = table.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         smallest = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -406,19 +448,13 @@ def components(edges: DataFrame) -> DataFrame:
         moved = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         return moved.unionByName(smallest.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
 
-    def state(table: DataFrame):
-        return table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    table = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    table, before = stored(table, "edges"), None
-    while True:
-        table = stored(star(star(table, True), False), "edges")
-        now = state(table)
-        if now == before:
-            break
-        before = now
+    # Rows of two ids: an eighth of the tasks writes them, and reads more of them at once.
+    tasks = max(8, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    table = stored(_forest(edges.where("a <> b")).distinct().coalesce(tasks), "edges")
+    while not _are_stars(table):
+        table = stored(star(star(_forest(table), True), False).coalesce(tasks), "edges")
     nodes = table.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return nodes.unionByName(table.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return nodes.unionByName(table.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()).coalesce(tasks)
 
 
 def _best_partners(met: DataFrame, *kind: str) -> DataFrame:
@@ -428,22 +464,25 @@ def _best_partners(met: DataFrame, *kind: str) -> DataFrame:
     return best.where("p.n >= p.k").select(F.greatest("x", "p.y").alias("a"), F.least("x", "p.y").alias("b")).distinct()
 
 
-def _along_lists(lists: DataFrame) -> DataFrame:
-    """Pairs of the first round: members with first members and predecessors, and first members of the parts of split lists."""
-    sides = F.array(F.struct(F.lit(0).alias("kind"), F.col("head").alias("y")), F.struct(F.lit(1).alias("kind"), F.col("previous").alias("y")))
-    near = lists.select(F.col("id").alias("x"), "k", F.inline(sides)).where("y >= 0 AND x <> y")
+def _along_lists(lists: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs of the first round, of sizes that allow the similarity: members with first members and predecessors, and first members
+    of the parts of split lists."""
+    sides = F.array(*(F.struct(F.lit(i).alias("kind"), F.col(y).alias("y"), F.col(f"{y}_size").alias("size_y")) for i, y in enumerate(("head", "previous"))))
+    near = lists.select(F.col("id").alias("x"), "size", "k", F.inline(sides)).where("y >= 0 AND x <> y").where(_similar("size", "size_y", share))
     split = lists.where("part >= 0")
-    across = split.select("token", F.col("head").alias("x")).distinct().join(split.groupBy("token").agg(F.min("head").alias("to")), "token")
-    across = across.where("x <> to").select(F.greatest("x", "to").alias("a"), F.least("x", "to").alias("b"))
+    across = split.select("token", F.col("head").alias("x"), F.col("head_size").alias("size")).distinct().join(
+        split.groupBy("token").agg(F.min(F.struct("head", "head_size")).alias("to")), "token")
+    across = across.where(F.col("x") != F.col("to.head")).where(_similar("size", "to.head_size", share)).select(
+        F.greatest("x", "to.head").alias("a"), F.least("x", "to.head").alias("b"))
     # A list counts for its head and a neighbour only, so these counts may fall short of k; what they miss is left to later steps.
     return _best_partners(near, "kind").unionByName(across).distinct()
 
 
-def _across_components(rows: DataFrame) -> DataFrame:
+def _across_components(rows: DataFrame, share: Fraction) -> DataFrame:
     """Pairs of a further round: for each list, one member of every component but the largest with one of the largest."""
-    groups = rows.groupBy("token", "component").agg(F.count("*").alias("m"), F.min(F.struct("id", "k")).alias("one"))
+    groups = rows.groupBy("token", "component").agg(F.count("*").alias("m"), F.min(F.struct("id", "k", "size")).alias("one"))
     main = groups.groupBy("token").agg(F.max_by(F.struct("component", "one"), F.struct("m", "component")).alias("main"))
-    met = groups.join(main, "token").where(F.col("component") != F.col("main.component"))
+    met = groups.join(main, "token").where(F.col("component") != F.col("main.component")).where(_similar("one.size", "main.one.size", share))
     return _best_partners(met.select(F.col("one.id").alias("x"), F.col("main.one.id").alias("y"), F.least("one.k", "main.one.k").alias("k")))
 
 
@@ -495,8 +534,12 @@ def _sharing_enough(pairs: DataFrame, prefixes: DataFrame, share: Fraction) -> D
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    label = stored(components(links), "labels")
+def _stars(label: DataFrame) -> DataFrame:
+    """Components as links of their ids with the smallest one."""
+    return label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
     rows = lists.select("token", "id", "size", "own", "short", "room", "rest", "k").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return stored(rows, "labelled")
 
@@ -519,23 +562,19 @@ def _grouped(docs: DataFrame, n: int, share: tuple[int, int], key: str, text: st
     tokens = classes.select("node", F.explode(F.arrays_zip("tokens", "heat")).alias("t")).where("t.heat = 0").select(F.col("t.tokens").alias("h"), "node")
     prefixes = stored(chosen_prefixes(classes, repeated(tokens), share), "prefixes")
     lists = stored(_neighbours(_postings(prefixes)), "postings")
-    sizes = classes.select("node", F.col("n_shingles").alias("size"))
-
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b").where(_similar("size_a", "size_b", share))
-        pairs = stored(pairs.select("a", "b"), "candidates")
         with _small_batches(docs.sparkSession):
             return stored(compare(pairs, classes, docs, n, share, key, text), "links")
 
-    links = linked(_along_lists(lists))
-    rows = _labelled(lists, links)
+    label = stored(components(linked(_along_lists(lists, share))), "labels")
+    rows = _labelled(lists, label)
     for _ in range(ROUNDS):
-        more = linked(_across_components(rows))
+        more = linked(_across_components(rows, share))
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        rows = _labelled(lists, links)
-    links = links.unionByName(linked(_sharing_enough(_met_in_lists(rows, share), prefixes, share)))
+        label = stored(components(_stars(label).unionByName(more)), "labels")
+        rows = _labelled(lists, label)
+    links = _stars(label).unionByName(linked(_sharing_enough(_met_in_lists(rows, share), prefixes, share)))
     # Several texts of one id belong together.
     several = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.min(F.struct("d1", "d2", "n_shingles")).alias("a"), F.max(F.struct("d1", "d2", "n_shingles")).alias("b")).where("a <> b").select("doc_id")
