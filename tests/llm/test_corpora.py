@@ -118,6 +118,15 @@ def test_components_across_tasks(spark, monkeypatch):
     assert jaccard.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_sets_are_rebuilt_by_one_operator(spark):
+    """Every Python operator of a task has a worker of its own: texts are chosen and cut by the same."""
+    docs = spark.createDataFrame(near_copies(), "doc_id bigint, text string")
+    classes = jaccard.longest_prefixes(docs, 3, jaccard.Fraction(9, 10)).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("rep"), "d1", "d2", "n_shingles")
+    sets = jaccard.whole_sets(docs, classes, spark.createDataFrame([(3,), (5,)], "node bigint"), 3, "doc_id", "text")
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r["node"] for r in sets.collect()) == [3, 5]
+
+
 def test_prefix_grows_with_match(spark):
     rows = spark.createDataFrame(near_copies(), "doc_id bigint, text string")
     for r in jaccard.prefixes(rows, 3, jaccard.Fraction(9, 10)).collect():

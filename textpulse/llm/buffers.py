@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 1 << 20
+SMALL_CHUNK_BYTES = 1 << 18  # for operators whose arrays are many times the text
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,7 +117,7 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
 
 
 def with_text_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable], text: str = "text",
-                      beside: str | None = None) -> DataFrame:
+                      beside: str | None = None, limit: int = CHUNK_BYTES) -> DataFrame:
     """Add columns computed from whole texts. ``make()`` runs once a task and returns ``f(data, bounds) -> arrays``,
     or ``f(data, bounds, values)`` with the values of the column ``beside``.
 
@@ -131,7 +132,7 @@ def with_text_columns(df: DataFrame, fields: list[T.StructField], make: Callable
         for batch in batches:
             parts: list[list[pa.Array]] = [[] for _ in fields]
             extra = batch.column(beside).to_pylist() if beside else None
-            for lo, hi, data, bounds in text_chunks(batch.column(text)):
+            for lo, hi, data, bounds in text_chunks(batch.column(text), limit):
                 for into, kind, values in zip(parts, types, compute(data, bounds, *([extra[lo:hi]] if beside else []))):
                     into.append(values if isinstance(values, pa.Array) else pa.array(values, kind))
             new = [pa.concat_arrays(p) if p else pa.array([], k) for p, k in zip(parts, types)]

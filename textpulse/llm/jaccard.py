@@ -43,8 +43,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textpulse.llm.buffers import LOWER_VALUES, VISIBLE, Prefix, collect_vectors, mix, summed_vectors, text_chunks, with_text_columns, words
-from textpulse.llm.tables import bit_table, bounded_batches, in_bit_table, stored
+from textpulse.llm.buffers import (
+    LOWER_VALUES, SMALL_CHUNK_BYTES, VISIBLE, Prefix, collect_vectors, mix, summed_vectors, text_chunks, with_text_columns, words)
+from textpulse.llm.tables import bit_table, bounded_batches, may_be_in, stored
 
 SKETCH = 1 << 18
 MAX_MATCH = 16
@@ -93,7 +94,7 @@ def sketch(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for _, _, data, bounds in text_chunks(batch.column(0)):
+            for _, _, data, bounds in text_chunks(batch.column(0), SMALL_CHUNK_BYTES):
                 total += np.bincount(_bins(shingle_sets(data, bounds, n)[0]), minlength=SKETCH)
         return {"": total}
 
@@ -147,7 +148,7 @@ def longest_prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_i
         level = np.where(freq > 0, np.ceil(np.log2(np.maximum(freq, 1))) + 1, 0).astype(np.int64)
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, bounds in text_chunks(batch.column(1)):
+            for lo, hi, data, bounds in text_chunks(batch.column(1), SMALL_CHUNK_BYTES):
                 rows = hi - lo
                 h, of = shingle_sets(data, bounds, n)
                 d1, d2 = set_digests(h, of, rows)
@@ -355,12 +356,13 @@ def whole_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, n: int, ke
     kept = classes.join(nodes, "node", "left_semi").select("node", "rep", "d1", "d2", "n_shingles")
     kept = stored(kept, "fetched")
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("rep"), F.col(text).alias("text"))
-    # Most other texts are dropped before the shuffle by a bit table of fixed size.
-    rows = in_bit_table(rows, "rep", bit_table(kept.select("rep"))).join(kept.select("rep").distinct(), "rep", "left_semi")
+    # Most other texts are dropped by a bit table of fixed size, in the task that makes the sets; the join drops the rest.
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(kept.select("rep")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, bounds in text_chunks(batch.column(1)):
+            batch = batch.filter(pa.array(may_be_in(batch, "rep", table.value)))
+            for lo, hi, data, bounds in text_chunks(batch.column(1), SMALL_CHUNK_BYTES):
                 h, of = shingle_sets(data, bounds, n)
                 at = np.searchsorted(of, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([
@@ -639,4 +641,4 @@ def _with_digests(packed: DataFrame, n: int) -> DataFrame:
             return (np.bincount(of, minlength=len(bounds) - 1), *set_digests(h, of, len(bounds) - 1))
         return compute
 
-    return with_text_columns(packed, fields, make, text="_text")
+    return with_text_columns(packed, fields, make, text="_text", limit=SMALL_CHUNK_BYTES)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textpulse.llm.buffers import collect_vectors, summed_vectors, text_chunks, with_text_columns
+from textpulse.llm.buffers import SMALL_CHUNK_BYTES, collect_vectors, summed_vectors, text_chunks, with_text_columns
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
@@ -82,7 +82,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text") -> tuple[lis
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             labels = batch.column("label").to_pylist()
-            for lo, hi, data, bounds in text_chunks(batch.column("text")):
+            for lo, hi, data, bounds in text_chunks(batch.column("text"), SMALL_CHUNK_BYTES):
                 names, of = np.unique(np.array(labels[lo:hi], object), return_inverse=True)
                 feature, row, letters = features(data, bounds)
                 cells = np.bincount(of[row] * FEATURES + feature, minlength=len(names) * FEATURES).reshape(-1, FEATURES)
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, text: str = "
             return [pa.array(choice[best], pa.string()), score, pa.array(fit, from_pandas=True)]
         return compute
 
-    return with_text_columns(docs, FIELDS, make, text)
+    return with_text_columns(docs, FIELDS, make, text, limit=SMALL_CHUNK_BYTES)
 
 
 def held_out(key: str = "doc_id", folds: int = 5) -> Column:

@@ -55,14 +55,19 @@ def bit_table(ids: DataFrame, bits: int = BITS) -> np.ndarray:
     return found.get("", np.zeros(bits // 64, np.int64)).view(np.uint64)
 
 
+def may_be_in(batch: pa.RecordBatch, key: str, seen: np.ndarray) -> np.ndarray:
+    """Flags of the rows whose ``key`` may be among the ids of the table."""
+    cell, bit = _places(batch.column(key), len(seen) * 64)
+    return ((seen[cell] >> bit) & np.uint64(1)).astype(bool)
+
+
 def in_bit_table(df: DataFrame, key: str, seen: np.ndarray, inside: bool = True) -> DataFrame:
     """Rows whose ``key`` may be among the ids of the table, or those that certainly are not."""
     table = df.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, bit = _places(batch.column(key), len(table.value) * 64)
-            hit = ((table.value[cell] >> bit) & np.uint64(1)).astype(bool)
+            hit = may_be_in(batch, key, table.value)
             yield batch.filter(pa.array(hit if inside else ~hit))
 
     return df.mapInArrow(run, df.schema)
