@@ -156,3 +156,19 @@ def test_values_and_vectors_are_exact_whatever_the_vocabulary_and_the_memory(spa
     vt *= np.where(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)] < 0, -1, 1)[:, None]
     assert np.abs(sigma - s[:6]).max() < 1e-10 and np.abs(v - vt[:6].T).max() < 1e-6
     assert np.abs(v[0] - v[1]).max() < 1e-12
+
+
+def test_a_topic_report_does_not_depend_on_the_memory_of_the_solver(spark, monkeypatch, rows):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, TERMS)) * (rng.random((200, TERMS)) < 0.2)
+    x[:, :5] *= 5 - 0.5 * np.arange(5)
+    vectors, found = table(spark, x, 3), []
+    monkeypatch.setattr(svd, "OVERSAMPLE", 10)
+    for blocks in (12, 1):
+        monkeypatch.setattr(svd, "MOST_BYTES", 16 * TERMS * 15 * blocks)
+        monkeypatch.setattr(svd, "BLOCKS", blocks)
+        monkeypatch.setattr(svd, "WIDE", 4096 if blocks > 1 else 0)
+        model = topics.svd_topics(vectors, WORDS, 5)
+        report = topics.topic_report(topics.top_topics(vectors, model), topics.topic_labels(topics.topic_terms(model.components)), model.topics)
+        found.append(rows(report))
+    assert found[0] == found[1] and len(found[0]) == 50
