@@ -1,11 +1,13 @@
 """Counts by word numbers against counts of words; frequent terms by a table of hashes; cosines from a row a document."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textpulse.functions import text
 from textpulse.operators import counts, distance, terms, vocab
+from textpulse.plans import oracle, recipes
 
 
 @pytest.fixture
@@ -57,3 +59,26 @@ def test_group_statistics_from_a_row_a_term_of_a_piece(docs, rows, monkeypatch,
     assert parts.count() < tf.count()
     columns = ["grp", "term", "df", "cf"]
     assert rows(vocab.group_term_stats(parts).select(columns)) == rows(vocab.group_term_stats(tf).select(columns)) != []
+
+
+def test_cosines_of_all_terms_are_those_of_each_term(spark, docs, rows):
+    twice = docs.where("doc_id % 5 = 0").withColumn("grp", F.when(F.col("doc_id") % 10 == 0, F.lit("z")).otherwise(F.col("grp")))
+    again = docs.unionByName(twice).unionByName(docs.where("doc_id % 7 = 1").withColumn("doc_id", F.lit(None).cast("bigint")))
+    for some in (docs.where("doc_id <> 7"), again):
+        cells = counts.frequent_cells(terms.tokenize(some, text.ascii_tokens), 4, bigrams=True).persist()
+        words = vocab.prune(vocab.term_totals(cells.select(F.inline("cells"))), F.lit(120), 4, 1.0, cap=None).persist()
+        kept = terms.only_terms(cells.select("doc_id", "grp", F.inline("cells")), words)
+        found = rows(distance.term_cosine(kept, words, 100, cells=cells))
+        assert found == rows(distance.term_cosine(kept, words, 100, words, cells)) and len({r[1] for r in found}) == words.count()
+
+
+def test_the_query_compares_all_terms_of_all_pages(spark, docs, rows, tmp_path):
+    documents = docs.where("grp IS NOT NULL AND text IS NOT NULL AND doc_id <> 7").where("doc_id < 40").withColumnRenamed("grp", "source")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    found = recipes.QUERIES["term_cosine"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracle._sql(oracle.BODIES["term_cosine"])).fetchall()
+    columns = [c[0] for c in con.description]
+    assert sorted(map(tuple, found.select(columns).collect())) == sorted(want)
+    assert len({r[columns.index("term")] for r in want}) > 20
