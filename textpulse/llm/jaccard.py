@@ -241,6 +241,17 @@ def chosen_prefixes(classes: DataFrame, shared: DataFrame, share: Fraction) -> D
     return rows.mapInArrow(run, CHOSEN)
 
 
+def prefixes(docs: DataFrame, n: int, share: Fraction, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, k, tokens)``: the chosen ``k`` and whole prefix of every text; one that shares no token has ``k`` = 1."""
+    texts = stored(longest_prefixes(docs, n, share, key, text).withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    tokens = texts.select("node", F.explode(F.arrays_zip("tokens", "heat")).alias("t")).where("t.heat = 0").select(F.col("t.tokens").alias("h"), "node")
+    chosen = chosen_prefixes(texts, repeated(tokens), share).select(F.col("id").alias("node"), "k")
+    needed = F.expr(f"(n_shingles * {share.numerator} + {share.denominator - 1}) div {share.denominator}")
+    rows = texts.join(chosen, "node", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    length = F.least(F.col("n_shingles") - needed + F.col("k"), "n_shingles").cast("int")
+    return rows.select("doc_id", "n_shingles", "k", F.slice("tokens", F.lit(1), length).alias("tokens"))
+
+
 def _postings(chosen: DataFrame) -> DataFrame:
     """One row per prefix token of a class: (token, part, id, size, k, own, short, room, rest), in lists within a partition.
 
